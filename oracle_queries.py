@@ -293,11 +293,280 @@ step(
        FROM customer_360 JOIN rfm_segments USING (customer_id)""",
 )
 
+step(
+    "cut",
+    ("churn_feature_panel",),
+    """SELECT dates[CAST(floor(len(dates) * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE))) AS INTEGER) + 1] AS cutoff
+       FROM (SELECT list_sort(list_distinct(list(snapshot_date))) AS dates FROM churn_feature_panel)""",
+)
+
 FEATURES = """customer_id, snapshot_date, frequency_180d, monetary_180d, order_trend_90d,
     return_cancel_rate_90d, events_30d, events_90d, engagement_decay_30d, support_tickets_90d,
     avg_resolution_days_90d, days_since_last_ticket, churned_next_90d"""
 
 
+# --- fixed score -----------------------------------------------------------------------------
+
+step(
+    "scored_panel",
+    ("churn_feature_panel",),
+    """SELECT *, floor(1 / (1 + frequency_180d + coalesce(monetary_180d, 0) / CAST(100000 AS DOUBLE)
+                        + CAST(customer_id * 37 % 1009 AS DOUBLE) / 1009) * 1000000 + 0.5) / 1000000 AS churn_probability
+       FROM churn_feature_panel""",
+)
+step(
+    "scored_latest",
+    ("scored_panel",),
+    "SELECT * FROM scored_panel QUALIFY snapshot_date = max(snapshot_date) OVER (PARTITION BY customer_id)",
+)
+step(
+    "predictions",
+    ("scored_latest",),
+    """SELECT customer_id, snapshot_date, churn_probability,
+              CASE WHEN churn_probability <= edges[1] THEN 'low' WHEN churn_probability <= edges[2] THEN 'medium'
+                   ELSE 'high' END AS risk_band,
+              TIMESTAMP '2024-06-01' AS scored_at
+       FROM scored_latest, (SELECT quantile_cont(churn_probability, [1 / 3, 2 / 3]) AS edges FROM scored_latest)""",
+)
+step(
+    "high_risk",
+    ("predictions",),
+    "SELECT customer_id, snapshot_date, churn_probability FROM predictions WHERE risk_band = 'high'",
+)
+step(
+    "confusion",
+    ("scored_panel",),
+    """SELECT CAST(count(*) FILTER (WHERE hit AND actual) AS DOUBLE) AS tp,
+              CAST(count(*) FILTER (WHERE hit AND NOT actual) AS DOUBLE) AS fp,
+              CAST(count(*) FILTER (WHERE NOT hit AND actual) AS DOUBLE) AS fn,
+              CAST(count(*) FILTER (WHERE NOT hit AND NOT actual) AS DOUBLE) AS tn
+       FROM (SELECT churn_probability >= 0.5 AS hit, churned_next_90d = 1 AS actual FROM scored_panel)""",
+)
+step(
+    "class_lines",
+    ("confusion",),
+    """SELECT '0' AS label, coalesce(tn / nullif(tn + fn, 0), 0) AS p, coalesce(tn / nullif(tn + fp, 0), 0) AS r,
+              coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) AS f, tn + fp AS n FROM confusion
+       UNION ALL
+       SELECT '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0),
+              coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), tp + fn FROM confusion""",
+)
+step(
+    "report_lines",
+    ("class_lines",),
+    """SELECT * FROM class_lines
+       UNION ALL SELECT 'accuracy', (tp + tn) / (tp + tn + fp + fn), (tp + tn) / (tp + tn + fp + fn),
+                        (tp + tn) / (tp + tn + fp + fn), tp + tn + fp + fn FROM confusion
+       UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(n) FROM class_lines
+       UNION ALL SELECT 'weighted avg', sum(p * n) / sum(n), sum(r * n) / sum(n), sum(f * n) / sum(n), sum(n)
+                 FROM class_lines""",
+)
+
+# --- offers ----------------------------------------------------------------------------------
+
+step(
+    "purchased",
+    ("fct_order_lines", "dim_products"),
+    """SELECT customer_id, product_id, d.description, max(invoice_date) AS last_purchased_at
+       FROM fct_order_lines l JOIN dim_products d ON l.stock_code = d.product_id GROUP BY ALL""",
+)
+step(
+    "candidates",
+    ("purchased",),
+    """SELECT customer_id, product_id, description,
+              CAST(row_number() OVER (PARTITION BY customer_id
+                   ORDER BY last_purchased_at DESC NULLS FIRST, product_id) AS INTEGER) AS position
+       FROM purchased QUALIFY position <= 15""",
+)
+step(
+    "fallback",
+    ("purchased", "dim_customers"),
+    """SELECT customer_id, product_id, description, position
+       FROM (SELECT customer_id FROM dim_customers ANTI JOIN purchased USING (customer_id)) AS c,
+            (SELECT product_id, description, CAST(row_number() OVER (ORDER BY product_id) AS INTEGER) AS position
+             FROM dim_products ORDER BY product_id LIMIT 15) AS p""",
+)
+step(
+    "passages",
+    (),
+    """SELECT doc_id, unnest(pieces) AS passage, generate_subscripts(pieces, 1) - 1 AS n
+       FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_extract_all(text, '(?s).{1,400}')
+                                 ELSE regexp_extract_all(text, '(?s).{1,200}') END AS pieces FROM documents)""",
+)
+step(
+    "proposals",
+    ("passages",),
+    """SELECT doc_id AS customer_id, CAST(n + 1 AS INTEGER) AS attempt, doc_id AS offer_customer_id,
+              [0, 10, 15, 20, 5][(doc_id + n) % 5 + 1] AS discount_pct,
+              CASE WHEN (doc_id + n) % 7 = 6 THEN 'sms' WHEN (doc_id + n) % 2 = 0 THEN 'email' ELSE 'push' END AS channel,
+              CASE WHEN (doc_id + n) % 11 = 0 THEN 'none-such' ELSE CAST((doc_id + n) % 200 AS VARCHAR) END AS product_focus,
+              passage || CASE WHEN (doc_id + n) % 13 = 0 THEN ' call 555-123-4567' ELSE '' END AS messaging
+       FROM passages""",
+)
+step(
+    "checked",
+    ("proposals", "dim_products"),
+    r"""SELECT *, concat_ws(',',
+              CASE WHEN discount_pct NOT IN (0, 10, 15, 20) THEN 'discount_pct' END,
+              CASE WHEN channel NOT IN ('email', 'push') THEN 'channel' END,
+              CASE WHEN product_focus NOT IN (SELECT product_id FROM dim_products) THEN 'unknown_product' END,
+              CASE WHEN length(messaging) > 300 THEN 'messaging_length' END,
+              CASE WHEN contains(lower(messaging), 'damn') OR contains(lower(messaging), 'hell')
+                     OR contains(lower(messaging), 'crap') THEN 'profanity' END,
+              CASE WHEN regexp_matches(messaging, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') THEN 'pii_email' END,
+              CASE WHEN regexp_matches(messaging, '\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b') THEN 'pii_phone' END,
+              CASE WHEN regexp_matches(messaging, '\b(?:\d[ -]*?){13,16}\b') THEN 'pii_card' END) AS reasons
+        FROM proposals""",
+)
+step("validated", ("checked",), "SELECT * EXCLUDE (reasons) FROM checked WHERE reasons = ''")
+step(
+    "first_valid",
+    ("validated",),
+    """SELECT * FROM validated WHERE attempt <= 3
+       QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY attempt) = 1""",
+)
+step(
+    "outcomes",
+    ("high_risk", "rfm_segments", "first_valid"),
+    """SELECT h.customer_id, r.customer_id IS NOT NULL AND f.customer_id IS NOT NULL AS succeeded
+       FROM high_risk h LEFT JOIN rfm_segments r USING (customer_id) LEFT JOIN first_valid f USING (customer_id)""",
+)
+step(
+    "interventions",
+    ("outcomes",),
+    """SELECT offer_customer_id AS customer_id, discount_pct, channel, product_focus, messaging
+       FROM first_valid WHERE customer_id IN (SELECT customer_id FROM outcomes WHERE succeeded)""",
+)
+step(
+    "fixed_explanations",
+    ("scored_latest",),
+    """SELECT customer_id, snapshot_date, churn_probability,
+              list_sort([{rank: -abs(i1), pos: 0, name: 'frequency_180d', impact: i1},
+                         {rank: -abs(i2), pos: 1, name: 'monetary_180d', impact: i2},
+                         {rank: -abs(i3), pos: 2, name: 'order_trend_90d', impact: i3},
+                         {rank: -abs(i4), pos: 3, name: 'customer_term', impact: i4}])[1:3] AS top_features
+       FROM (SELECT customer_id, snapshot_date, churn_probability,
+                    CAST(-frequency_180d AS DOUBLE) AS i1,
+                    -coalesce(monetary_180d, 0) / CAST(100000 AS DOUBLE) AS i2,
+                    coalesce(order_trend_90d, CAST(0 AS DOUBLE)) AS i3,
+                    CAST(-(customer_id * 37 % 1009) AS DOUBLE) / 1009 AS i4
+             FROM scored_latest)""",
+)
+step(
+    "product_blocks",
+    ("candidates", "fallback"),
+    """SELECT customer_id, string_agg('- ' || product_id || ' (description: ' || coalesce(description, 'None') || ')',
+                                      chr(10) ORDER BY position) AS products_block
+       FROM (SELECT * FROM candidates UNION ALL SELECT * FROM fallback) GROUP BY customer_id""",
+)
+step(
+    "dashboard",
+    ("predictions", "customer_360", "rfm_segments"),
+    """SELECT p.customer_id, p.snapshot_date, p.churn_probability, p.risk_band, c.country, c.lifetime_revenue,
+              r.segment, r.frequency_lifetime
+       FROM predictions p JOIN customer_360 c USING (customer_id) JOIN rfm_segments r USING (customer_id)""",
+)
+step(
+    "risk_table",
+    ("dashboard",),
+    """SELECT customer_id, country, segment, risk_band, churn_probability, lifetime_revenue,
+              CASE WHEN churn_probability >= 0.66 THEN 'High Risk' WHEN churn_probability >= 0.33 THEN 'Medium Risk'
+                   ELSE 'Low Risk' END AS risk_label_fixed,
+              CAST(round(CAST(churn_probability AS DECIMAL(9, 6)) * 100, 1) AS DECIMAL(5, 1)) || '%' AS probability_text,
+              '$' || format('{:,.2f}', lifetime_revenue) AS revenue_text,
+              CASE segment WHEN 'at_risk' THEN 'At_Risk' ELSE upper(segment[1]) || segment[2:] END AS segment_text
+       FROM dashboard""",
+)
+
+
+def _json(*fields: tuple[str, str, bool]) -> str:
+    """SQL for a JSON object: (name, SQL text value, quoted)."""
+    parts = []
+    for name, value, quoted in fields:
+        shown = f"coalesce('\"' || {value} || '\"', 'null')" if quoted else f"coalesce(CAST({value} AS VARCHAR), 'null')"
+        parts.append(f"'\"{name}\":' || {shown}")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _stamp(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+
+
+PROFILE_JSON = _json(
+    ("customer_id", "p.customer_id", False),
+    ("country", "country", True),
+    ("first_order_date", _stamp("first_order_date"), True),
+    ("last_order_date", _stamp("last_order_date"), True),
+    ("lifetime_order_count", "lifetime_order_count", False),
+    ("lifetime_revenue", "CAST(lifetime_revenue AS DECIMAL(20, 6))", False),
+    ("recency_days", "recency_days", False),
+    ("frequency_lifetime", "frequency_lifetime", False),
+    ("monetary_lifetime", "CAST(monetary_lifetime AS DECIMAL(20, 6))", False),
+    ("avg_purchase_interval", "CAST(avg_purchase_interval AS DECIMAL(20, 6))", False),
+    ("segment", "segment", True),
+    ("rfm_score", "rfm_score", False),
+)
+EXPLANATION_JSON = (
+    "'{\"customer_id\":' || e.customer_id || ',\"snapshot_date\":\"' || strftime(e.snapshot_date, '%Y-%m-%d') "
+    "|| '\",\"churn_probability\":' || CAST(churn_probability AS DECIMAL(20, 4)) || ',\"top_features\":[' "
+    "|| array_to_string(list_transform(top_features, lambda f: '{\"name\":\"' || f.name || '\",\"impact\":' "
+    "|| CAST(round(f.impact, 4) AS DECIMAL(20, 4)) || '}'), ',') || ']}'"
+)
+
+# --- data quality ----------------------------------------------------------------------------
+
+
+def _dq_sql() -> str:
+    event_types = "('page_view', 'product_view', 'add_to_cart', 'login')"
+    statuses = "('open', 'resolved')"
+    segments = "('champions', 'loyal', 'at_risk', 'hibernating', 'new', 'standard')"
+    scores, flags, labels = "(1, 2, 3, 4, 5)", "(true, false)", "(0, 1)"
+    key = ["unique", "not_null"]
+    # (table, step, severity, {column: checks})
+    plan = [
+        ("raw_invoices", "raw_invoices", "warn", {"CustomerID": ["not_null"]}),
+        ("raw_events", "raw_events", "warn", {"customer_id": ["not_null"], "event_type": [event_types]}),
+        ("raw_support_tickets", "raw_support_tickets", "warn", {"customer_id": ["not_null"], "status": [statuses]}),
+        ("stg_invoices", "stg_invoices", "error", {"invoice_no": ["not_null"], "customer_id": ["not_null"], "is_cancelled": [flags]}),
+        ("stg_events", "stg_events", "error", {"event_id": key, "customer_id": ["not_null"], "event_type": [event_types]}),
+        ("stg_support_tickets", "stg_support_tickets", "error",
+         {"ticket_id": key, "customer_id": ["not_null"], "status": [statuses], "resolution_days": ["not_null"]}),
+        ("fct_order_lines", "fct_order_lines", "error", {"order_line_id": key, "customer_id": ["not_null"]}),
+        ("fct_orders", "fct_orders", "error", {"invoice_no": key}),
+        ("dim_customers", "dim_customers", "error", {"customer_id": key}),
+        ("customer_snapshot_dates", "snapshot_dates_120", "error", {"customer_id": ["not_null"]}),
+        ("churn_feature_panel", "churn_feature_panel", "error", {"churned_next_90d": [labels, "not_null"]}),
+        ("dim_products", "dim_products", "error", {"product_id": key}),
+        ("mart_customer_360", "customer_360", "error", {"customer_id": key}),
+        ("mart_rfm_segments", "rfm_segments", "error",
+         {"customer_id": key, "r_score": [scores], "f_score": [scores], "m_score": [scores], "segment": [segments]}),
+        ("churn_features", "churn_feature_panel", "error", {"churned_next_90d": ["not_null", labels]}),
+    ]
+    selects = []
+    for name, source, severity, columns in plan:
+        for column, tests in columns.items():
+            for test in tests:
+                if test == "not_null":
+                    failures = f"(SELECT count(*) FROM {source} WHERE {column} IS NULL)"
+                elif test == "unique":
+                    failures = (
+                        f"(SELECT count(*) FROM (SELECT {column} FROM {source} WHERE {column} IS NOT NULL "
+                        f"GROUP BY {column} HAVING count(*) > 1))"
+                    )
+                else:
+                    failures = f"(SELECT count(DISTINCT {column}) FROM {source} WHERE {column} NOT IN {test})"
+                kind = test if test in ("not_null", "unique") else "accepted_values"
+                selects.append(
+                    f"SELECT '{name}' AS table_name, '{column}' AS column_name, '{kind}' AS test, "
+                    f"'{severity}' AS severity, {failures} AS failures"
+                )
+    body = " UNION ALL ".join(selects)
+    return sql(f"SELECT *, failures = 0 AS passed FROM ({body})", *{p[1]: None for p in plan})
+
+
+FEATURE_NAMES = """CASE f.name WHEN 'frequency_180d' THEN 'Frequency 180D' WHEN 'monetary_180d' THEN 'Monetary 180D'
+    WHEN 'order_trend_90d' THEN 'Order Trend 90D' ELSE 'Customer Term' END"""
+
 def oracle_sql() -> dict[str, str]:
     same_name = (
         "raw_invoices raw_events raw_support_tickets stg_invoices stg_events stg_support_tickets "
@@ -309,4 +578,148 @@ def oracle_sql() -> dict[str, str]:
     out["snapshot_dates"] = table("snapshot_dates_60")
     out["snapshot_dates_long"] = table("snapshot_dates_120")
     out["churn_features"] = sql(f"SELECT {FEATURES} FROM churn_feature_panel", "churn_feature_panel")
+    out["time_split_summary"] = sql(
+        """SELECT CASE WHEN snapshot_date < cutoff THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,
+                  min(snapshot_date) AS first_date, max(snapshot_date) AS last_date
+           FROM churn_feature_panel, cut GROUP BY split""",
+        "cut",
+    )
+    out["class_weight"] = sql(
+        """SELECT count(*) FILTER (WHERE churned_next_90d = 0) AS negatives,
+                  count(*) FILTER (WHERE churned_next_90d = 1) AS positives,
+                  CAST(negatives AS DOUBLE) / positives AS positive_weight
+           FROM churn_feature_panel, cut WHERE snapshot_date < cutoff""",
+        "cut",
+    )
+    out["label_balance"] = sql(
+        """SELECT churned_next_90d, count(*) AS n_rows,
+                  round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS share
+           FROM churn_feature_panel GROUP BY churned_next_90d""",
+        "churn_feature_panel",
+    )
+    out["roc_auc"] = sql(
+        """SELECT count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives,
+                  round((sum(CASE WHEN y = 1 THEN rank2 END) - positives * (positives + 1)) / CAST(2 AS DOUBLE)
+                        / positives / negatives, 6) AS roc_auc
+           FROM (SELECT churned_next_90d AS y,
+                        2 * rank() OVER (ORDER BY churn_probability)
+                        + count(*) OVER (PARTITION BY churn_probability) - 1 AS rank2
+                 FROM scored_panel)""",
+        "scored_panel",
+    )
+    out["classification_report"] = sql(
+        """SELECT label, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1_score,
+                  CAST(n AS BIGINT) AS support FROM report_lines""",
+        "report_lines",
+    )
+    out["calibration_table"] = sql(
+        """SELECT CAST(1 + len(list_filter(inner_edges, lambda e: e < churn_probability)) AS INTEGER) AS bucket,
+                  round(CAST(sum(CAST(churn_probability AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) AS mean_pred,
+                  round(avg(churned_next_90d), 6) AS mean_actual, count(*) AS n_rows
+           FROM scored_panel,
+                (SELECT list_sort(list_distinct(quantile_cont(churn_probability,
+                        [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])))[2:-2] AS inner_edges FROM scored_panel)
+           GROUP BY bucket""",
+        "scored_panel",
+    )
+    out["latest_snapshot"] = sql(f"SELECT {FEATURES} FROM scored_latest", "scored_latest")
+    out["risk_bands"] = table("predictions")
+    out["risk_band_distribution"] = sql(
+        "SELECT risk_band, count(*) AS n_customers FROM predictions GROUP BY risk_band", "predictions"
+    )
+    out["high_risk_customers"] = table("high_risk")
+    out["high_risk_top_n"] = sql(
+        "SELECT * FROM high_risk ORDER BY churn_probability DESC, customer_id LIMIT 5", "high_risk"
+    )
+    out["highest_risk_row"] = sql(
+        """SELECT customer_id, snapshot_date, churn_probability, churned_next_90d FROM scored_panel
+           ORDER BY churn_probability DESC, customer_id, snapshot_date LIMIT 1""",
+        "scored_panel",
+    )
+    out["score_lookup"] = sql(
+        """SELECT c.customer_id, snapshot_date, churn_probability, risk_band, scored_at,
+                  CASE WHEN p.customer_id IS NULL THEN 'no_score' ELSE 'ok' END AS status
+           FROM dim_customers c LEFT JOIN predictions p USING (customer_id)""",
+        "dim_customers",
+        "predictions",
+    )
+    out["candidate_products"] = table("candidates")
+    out["candidate_products_fallback"] = table("fallback")
+    out["offer_context"] = sql(
+        f"""SELECT p.customer_id, {PROFILE_JSON} AS profile_json, {EXPLANATION_JSON} AS explanation_json,
+                   products_block, CAST(NULL AS VARCHAR) AS feedback
+            FROM customer_profile p JOIN fixed_explanations e ON e.customer_id = p.customer_id
+            JOIN product_blocks b ON b.customer_id = p.customer_id""",
+        "customer_profile",
+        "fixed_explanations",
+        "product_blocks",
+    )
+    out["validated_offers"] = table("validated")
+    out["rejected_offers"] = sql("SELECT * FROM checked WHERE reasons <> ''", "checked")
+    out["valid_product_focus"] = sql(
+        """SELECT customer_id, attempt, product_focus FROM proposals
+           WHERE product_focus IN (SELECT product_id FROM dim_products)""",
+        "proposals",
+        "dim_products",
+    )
+    out["first_valid_attempt"] = table("first_valid")
+    out["unprofiled_high_risk"] = sql(
+        "SELECT * FROM high_risk ANTI JOIN customer_profile USING (customer_id)", "high_risk", "customer_profile"
+    )
+    out["intervention_outcomes"] = sql(
+        """SELECT CASE WHEN succeeded THEN 'succeeded' ELSE 'failed' END AS result, count(*) AS n_customers
+           FROM outcomes GROUP BY result""",
+        "outcomes",
+    )
+    out["interventions"] = table("interventions")
+    out["dashboard_predictions"] = table("dashboard")
+    out["kpi_summary"] = sql(
+        """SELECT count(*) AS customers_scored, count(*) FILTER (WHERE risk_band = 'high') AS high_risk,
+                  round(CAST(sum(CAST(churn_probability AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) AS mean_probability,
+                  (SELECT count(*) FROM interventions) AS interventions
+           FROM predictions""",
+        "predictions",
+        "interventions",
+    )
+    out["filter_options"] = sql(
+        "SELECT 'segment' AS field, segment AS value FROM dashboard UNION SELECT 'risk_band', risk_band FROM dashboard",
+        "dashboard",
+    )
+    out["risk_table"] = table("risk_table")
+    out["risk_table_filtered"] = sql(
+        """SELECT * FROM risk_table WHERE segment IN ('champions', 'at_risk')
+           AND risk_band IN ('high', 'medium')""",
+        "risk_table",
+    )
+    out["explanation_table"] = sql(
+        f"""SELECT customer_id, snapshot_date,
+                   CASE WHEN churn_probability >= 0.66 THEN 'High Risk' WHEN churn_probability >= 0.33
+                        THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_label_fixed,
+                   CAST(position AS INTEGER) AS position, {FEATURE_NAMES} AS feature, round(f.impact, 4) + 0.0 AS impact,
+                   CASE WHEN f.impact > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction,
+                   printf('%+.2f', round(f.impact, 4) + 0.0) AS impact_text
+            FROM (SELECT *, unnest(top_features) AS f, generate_subscripts(top_features, 1) AS position
+                  FROM fixed_explanations)""",
+        "fixed_explanations",
+    )
+    out["dq_report"] = _dq_sql()
+    out["shift_years"] = sql(
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS shifted FROM shifted_orders",
+        "shifted_orders",
+    )
+    out["raw_union"] = table("raw_invoices")
+    out["explain_report"] = sql(
+        """SELECT c.customer_id, status, CASE WHEN status = 'ok' THEN segment END AS segment,
+                  CASE WHEN status = 'ok' THEN churn_probability END AS churn_probability,
+                  CASE WHEN status = 'ok' THEN product_focus END AS product_focus
+           FROM (SELECT d.customer_id, p.segment, s.churn_probability, f.product_focus,
+                        CASE WHEN p.customer_id IS NULL THEN 'no_profile' WHEN s.customer_id IS NULL THEN 'no_panel_row'
+                             WHEN f.customer_id IS NULL THEN 'no_valid_offer' ELSE 'ok' END AS status
+                 FROM dim_customers d LEFT JOIN customer_profile p USING (customer_id)
+                 LEFT JOIN scored_latest s USING (customer_id) LEFT JOIN first_valid f USING (customer_id)) c""",
+        "dim_customers",
+        "customer_profile",
+        "scored_latest",
+        "first_valid",
+    )
     return out

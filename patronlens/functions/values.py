@@ -38,8 +38,19 @@ def surrogate_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("-", *[F.coalesce(p.cast("string"), F.lit(NULL_KEY_PART)) for p in parts]))
 
 
+def stripped(text: Column) -> Column:
+    """Text without surrounding white space of any kind."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def title_case(text: Column) -> Column:
+    """Upper-case every letter that follows a non-letter, as in ``180D``."""
+    pieces = F.split(text, r"(?<=\P{L})|(?=\P{L})")
+    return F.array_join(F.transform(pieces, F.initcap), "")
+
+
 def pretty_name(name: Column) -> Column:
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    return title_case(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
 def lower_names(df):

@@ -146,3 +146,24 @@ def proposals(t: TestTables) -> DataFrame:
 
 def _passages(width: int) -> Column:
     return F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+
+def fixed_score(rows: DataFrame) -> DataFrame:
+    """``rows`` plus a ``churn_probability`` that SQL can state too.
+
+    It stands in for the model where a result is compared with SQL. Only exact
+    operations are used, so every engine gets the same bits.
+    """
+    customer_term = (F.col("customer_id") * 37 % 1009) / 1009
+    raw = 1 / (1 + F.col("frequency_180d") + F.coalesce(F.col("monetary_180d"), F.lit(0.0)) / 100000 + customer_term)
+    return rows.withColumn("churn_probability", F.floor(raw * 1000000 + 0.5) / 1000000)
+
+
+def fixed_impacts() -> list[tuple[str, Column]]:
+    """The terms of the fixed score, in the role of feature impacts."""
+    return [
+        ("frequency_180d", -F.col("frequency_180d").cast("double")),
+        ("monetary_180d", -F.coalesce(F.col("monetary_180d"), F.lit(0.0)) / 100000),
+        ("order_trend_90d", F.coalesce(F.col("order_trend_90d"), F.lit(0.0))),
+        ("customer_term", -(F.col("customer_id") * 37 % 1009) / 1009),
+    ]

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patronlens.operators import core, panel
+from patronlens.functions.dates import timestamp_text
+from patronlens.operators import (
+    attribution,
+    core,
+    evaluation,
+    offers,
+    panel,
+    quality,
+    reporting,
+    scoring,
+    training,
+)
+from patronlens.plans import churn, retention
 from patronlens.plans.warehouse import RawInputs, Warehouse
-from patronlens.sources import bindings
+from patronlens.sources import bindings, invoices, storage
 from patronlens.sources.bindings import TestTables
+from patronlens.sources.storage import stash
 
 # The test events start after the month a 60-month grid ends, so queries that need
 # events use a longer grid; ``snapshot_dates`` keeps 60.
@@ -78,3 +93,248 @@ _warehouse_query("churn_features", lambda w: panel.assert_no_leakage(w.churn_fea
 _warehouse_query("customer_360", lambda w: w.mart_customer_360)
 _warehouse_query("rfm_segments", lambda w: w.mart_rfm_segments)
 _warehouse_query("customer_profile", lambda w: w.customer_profile)
+
+
+# --- split and evaluation on the fixed score -------------------------------------------------
+
+
+class Scored:
+    """The panel with the fixed score, and predictions from it, for one set of tables."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.tables = spark, _tables(spark, folder)
+        self.warehouse = _warehouse(spark, folder)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return bindings.fixed_score(self.warehouse.churn_features)
+
+    @cached_property
+    def panel_scores(self) -> DataFrame:
+        """Score and label of every panel row; only order features are needed for them."""
+        w = self.warehouse
+        orders_only = panel.order_features(w.customer_spans, w.fct_orders)
+        scored = bindings.fixed_score(orders_only)
+        label = (F.lit(1) - F.col("has_future_order")).alias("churned_next_90d")
+        return scored.select("customer_id", "snapshot_date", "churn_probability", label)
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        scored = bindings.fixed_score(scoring.latest_snapshot(self.warehouse.churn_features))
+        return stash(scored, "latest")
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        stamp = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+        return scoring.with_risk_bands(self.latest, stamp)
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return stash(self.warehouse.customer_profile, "profiles")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self.warehouse.dim_products
+
+    @cached_property
+    def proposals(self) -> DataFrame:
+        return bindings.proposals(self.tables)
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        return offers.check_offers(self.proposals, self.products)
+
+    @cached_property
+    def dashboard(self) -> DataFrame:
+        w = self.warehouse
+        return reporting.dashboard_predictions(self.predictions, w.mart_customer_360, w.mart_rfm_segments)
+
+    @cached_property
+    def run(self) -> retention.RetentionRun:
+        return retention.retention_run(self.predictions, self.profiles, self.proposals, self.products)
+
+    @cached_property
+    def explanations(self) -> DataFrame:
+        return self.latest.select(
+            "customer_id",
+            "snapshot_date",
+            "churn_probability",
+            attribution.top_features(bindings.fixed_impacts()).alias("top_features"),
+        )
+
+
+def _dates_as_timestamps(df: DataFrame) -> DataFrame:
+    """DATE columns as midnight timestamps, which every client compares alike."""
+    kinds = dict(df.dtypes)
+    return df.select(
+        *[F.col(c).cast("timestamp_ntz").alias(c) if kinds[c] == "date" else F.col(c) for c in df.columns]
+    )
+
+
+def _scored_query(name: str, build: Callable[[Scored], DataFrame]) -> None:
+    _QUERIES[name] = lambda spark, folder: _dates_as_timestamps(build(Scored(spark, folder)))
+
+
+_warehouse_query("time_split_summary", lambda w: evaluation.time_split_summary(w.churn_features))
+_warehouse_query("label_balance", lambda w: evaluation.label_balance(w.churn_features))
+_warehouse_query(
+    "class_weight", lambda w: evaluation.class_weight(evaluation.time_split(w.churn_features)[0])
+)
+_scored_query("roc_auc", lambda s: evaluation.roc_auc(s.panel_scores))
+_scored_query("classification_report", lambda s: evaluation.classification_report(s.panel_scores))
+_scored_query(
+    "calibration_table", lambda s: evaluation.calibration_table(stash(s.panel_scores, "panel-scores"))
+)
+
+# --- scoring ---------------------------------------------------------------------------------
+
+_warehouse_query("latest_snapshot", lambda w: scoring.latest_snapshot(w.churn_features))
+_scored_query("risk_bands", lambda s: s.predictions)
+_scored_query(
+    "risk_band_distribution",
+    lambda s: s.predictions.groupBy("risk_band").agg(F.count(F.lit(1)).alias("n_customers")),
+)
+_scored_query("high_risk_customers", lambda s: scoring.by_risk(scoring.high_risk(s.predictions)))
+_scored_query("high_risk_top_n", lambda s: scoring.by_risk(scoring.high_risk(s.predictions), 5))
+_scored_query("highest_risk_row", lambda s: scoring.by_risk(s.panel_scores, 1))
+_scored_query("score_lookup", lambda s: reporting.score_lookup(s.warehouse.dim_customers, s.predictions))
+
+# --- offers ----------------------------------------------------------------------------------
+
+
+def _purchased(w: Warehouse) -> DataFrame:
+    return offers.purchased_products(w.fct_order_lines, w.dim_products)
+
+
+def _all_candidates(w: Warehouse) -> DataFrame:
+    purchased = stash(_purchased(w), "purchased")
+    fallback = offers.fallback_products(w.dim_customers, purchased, w.dim_products)
+    return offers.candidate_products(purchased).unionByName(fallback)
+
+
+_warehouse_query("candidate_products", lambda w: offers.candidate_products(_purchased(w)))
+_warehouse_query(
+    "candidate_products_fallback",
+    lambda w: offers.fallback_products(w.dim_customers, _purchased(w), w.dim_products),
+)
+_scored_query(
+    "offer_context",
+    lambda s: offers.offer_context(s.profiles, s.explanations, _all_candidates(s.warehouse)),
+)
+_scored_query("validated_offers", lambda s: offers.accepted(s.checked))
+_scored_query(
+    "rejected_offers",
+    lambda s: offers.rejected(s.checked).withColumn("reasons", F.concat_ws(",", "reasons")),
+)
+_scored_query(
+    "valid_product_focus",
+    lambda s: offers.valid_product_focus(
+        offers.parse_proposals(s.proposals).select("customer_id", "attempt", "product_focus"), s.products
+    ),
+)
+_scored_query("first_valid_attempt", lambda s: offers.first_valid(offers.accepted(s.checked)))
+_scored_query("unprofiled_high_risk", lambda s: retention.unprofiled_high_risk(s.predictions, s.profiles))
+_scored_query("intervention_outcomes", lambda s: retention.outcome_counts(s.run.outcomes))
+_scored_query("interventions", lambda s: s.run.interventions)
+
+# --- reports ---------------------------------------------------------------------------------
+
+_scored_query("dashboard_predictions", lambda s: s.dashboard)
+_scored_query("kpi_summary", lambda s: reporting.kpi_summary(s.predictions, s.run.interventions))
+_scored_query("filter_options", lambda s: reporting.filter_options(s.dashboard))
+_scored_query("risk_table", lambda s: reporting.risk_table(s.dashboard))
+_scored_query(
+    "risk_table_filtered",
+    lambda s: reporting.risk_table(s.dashboard, ["champions", "at_risk"], ["high", "medium"]),
+)
+_scored_query("explanation_table", lambda s: reporting.explanation_table(s.explanations))
+
+# --- data quality ----------------------------------------------------------------------------
+
+
+def quality_tables(w: Warehouse) -> dict[str, DataFrame]:
+    """The checked tables, each stored once as the checks read it several times."""
+    panel_table = stash(w.churn_feature_panel, "panel")
+    stg = stash(w.stg_invoices, "stg-invoices")
+    lines = stash(core.order_lines(stg), "order-lines")
+    return {
+        "raw_invoices": w.raw.invoices,
+        "raw_events": w.raw.events,
+        "raw_support_tickets": w.raw.tickets,
+        "stg_invoices": stg,
+        "stg_events": w.stg_events,
+        "stg_support_tickets": w.stg_support_tickets,
+        "fct_order_lines": lines,
+        "fct_orders": w.fct_orders,
+        "dim_customers": w.dim_customers,
+        "customer_snapshot_dates": w.customer_snapshot_dates,
+        "churn_feature_panel": panel_table,
+        "dim_products": core.products(lines),
+        "mart_customer_360": w.mart_customer_360,
+        "mart_rfm_segments": w.mart_rfm_segments,
+        "churn_features": panel.churn_features(panel_table),
+    }
+
+
+_warehouse_query("dq_report", lambda w: quality.quality_report(quality_tables(w)))
+
+# --- ingestion and storage -------------------------------------------------------------------
+
+
+@query
+def shift_years(spark: SparkSession, folder: str) -> DataFrame:
+    t = _tables(spark, folder)
+    return bindings.shifted_orders(t).select("o_orderkey", timestamp_text(F.col("o_orderdate")).alias("shifted"))
+
+
+@query
+def raw_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Invoices written as one CSV location per sheet, then scanned and united again."""
+    raw = stash(bindings.raw_invoices(_tables(spark, folder)), "raw-invoices")
+    paths = {}
+    for sheet in ("a", "b"):
+        paths[sheet] = storage.scratch_path(spark, f"sheet-{sheet}")
+        rows = raw.filter(F.col("source_sheet") == sheet).drop("source_sheet")
+        rows.write.csv(paths[sheet], header=True, escape='"')
+    return invoices.read_invoice_csvs(spark, paths)
+
+
+# --- model -----------------------------------------------------------------------------------
+
+
+def _stored_features(spark: SparkSession, folder: str) -> DataFrame:
+    return stash(panel.assert_no_leakage(_warehouse(spark, folder).churn_features), "features")
+
+
+@query
+def train_report(spark: SparkSession, folder: str) -> DataFrame:
+    return churn.train_and_evaluate(_stored_features(spark, folder))[1]
+
+
+@query
+def model_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    features = _stored_features(spark, folder)
+    model = training.train(evaluation.time_split(features)[0])
+    return churn.score_latest(model, features)
+
+
+@query
+def explanations(spark: SparkSession, folder: str) -> DataFrame:
+    features = _stored_features(spark, folder)
+    model = training.train(evaluation.time_split(features)[0])
+    return churn.explain_latest(model, features)
+
+
+@query
+def explain_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Profile, explanation and offer of every customer as JSON, with the status of each."""
+    s = Scored(spark, folder)
+    valid = offers.first_valid(offers.accepted(s.checked))
+    report = reporting.explain_report(s.warehouse.dim_customers, s.profiles, s.explanations, valid)
+    return report.select(
+        "customer_id",
+        "status",
+        F.col("profile.segment").alias("segment"),
+        F.col("explanation.churn_probability").alias("churn_probability"),
+        F.col("retention_plan.product_focus").alias("product_focus"),
+    )
