@@ -508,7 +508,7 @@ PROFILE_JSON = _json(
 )
 EXPLANATION_JSON = (
     "'{\"customer_id\":' || e.customer_id || ',\"snapshot_date\":\"' || strftime(e.snapshot_date, '%Y-%m-%d') "
-    "|| '\",\"churn_probability\":' || CAST(churn_probability AS DECIMAL(20, 4)) || ',\"top_features\":[' "
+    "|| '\",\"churn_probability\":' || CAST(CAST(churn_probability AS DECIMAL(20, 6)) AS DECIMAL(20, 4)) || ',\"top_features\":[' "
     "|| array_to_string(list_transform(top_features, lambda f: '{\"name\":\"' || f.name || '\",\"impact\":' "
     "|| CAST(round(f.impact, 4) AS DECIMAL(20, 4)) || '}'), ',') || ']}'"
 )
@@ -697,7 +697,8 @@ def oracle_sql() -> dict[str, str]:
                         THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_label_fixed,
                    CAST(position AS INTEGER) AS position, {FEATURE_NAMES} AS feature, round(f.impact, 4) + 0.0 AS impact,
                    CASE WHEN f.impact > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction,
-                   printf('%+.2f', round(f.impact, 4) + 0.0) AS impact_text
+                   CASE WHEN f.impact < 0 THEN '-' ELSE '+' END
+                       || CAST(CAST(abs(round(f.impact, 4)) AS DECIMAL(20, 4)) AS DECIMAL(20, 2)) AS impact_text
             FROM (SELECT *, unnest(top_features) AS f, generate_subscripts(top_features, 1) AS position
                   FROM fixed_explanations)""",
         "fixed_explanations",

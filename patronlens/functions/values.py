@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_KEY_PART = "_dbt_utils_surrogate_key_null_"
 
 
-def whole_number(value: Column) -> Column:
-    """Text or float to LONG, rounding half away from zero; garbage is an error."""
-    return F.round(value.cast("decimal(38,6)")).cast("long")
+def whole_number(df: DataFrame, name: str) -> Column:
+    """Text or number column to LONG, rounding half away from zero; garbage is an error."""
+    value = F.col(name)
+    if dict(df.dtypes)[name] != "double":
+        return F.round(value.cast("decimal(38,6)")).cast("long")
+    # the same in plain arithmetic: the fraction of a double is exact
+    whole = value.cast("long")
+    return F.when(F.abs(value - whole) >= 0.5, whole + F.signum(value).cast("long")).otherwise(whole)
 
 
 def exact_sum(value: Column) -> Column:
@@ -53,5 +58,5 @@ def pretty_name(name: Column) -> Column:
     return title_case(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
-def lower_names(df):
+def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])

@@ -62,7 +62,8 @@ def fallback_products(
         .agg(F.sort_array(F.collect_list(F.struct("product_id", "description"))).alias("items"))
         .scalar()
     )
-    without = customers.select("customer_id").join(purchased, "customer_id", "left_anti")
+    buyers = purchased.select("customer_id").distinct()
+    without = customers.select("customer_id").join(buyers, "customer_id", "left_anti")
     return without.select("customer_id", F.posexplode(first).alias("n", "item")).select(
         "customer_id", "item.product_id", "item.description", (F.col("n") + 1).alias("position")
     )

@@ -22,10 +22,10 @@ def stage_invoices(raw_invoices: DataFrame) -> DataFrame:
             number.alias("invoice_no"),
             F.col("StockCode").alias("stock_code"),
             F.col("Description").alias("description"),
-            whole_number(F.col("Quantity")).alias("quantity"),
+            whole_number(raw_invoices, "Quantity").alias("quantity"),
             parse_timestamp(F.col("InvoiceDate")).alias("invoice_date"),
             F.col("UnitPrice").cast("double").alias("unit_price"),
-            whole_number(F.col("CustomerID")).alias("customer_id"),
+            whole_number(raw_invoices, "CustomerID").alias("customer_id"),
             F.col("Country").alias("country"),
             F.col("source_sheet"),
             F.coalesce(F.substring(number, 1, 1) == "C", F.lit(False)).alias("is_cancelled"),

@@ -23,15 +23,18 @@ class Warehouse:
     """Each table is a lazy DataFrame, built on first use.
 
     ``invoice_totals`` feeds orders, customers and everything after them, so it is
-    written once to the shared folder and the later tables scan it.
+    written once to the shared folder and the later tables scan it. With
+    ``store_lines`` the staged lines are written too; use it when products or purchases
+    are needed next to the orders.
     """
 
-    def __init__(self, raw: RawInputs, max_months: int = MAX_MONTHS):
-        self.raw, self.max_months = raw, max_months
+    def __init__(self, raw: RawInputs, max_months: int = MAX_MONTHS, store_lines: bool = False):
+        self.raw, self.max_months, self.store_lines = raw, max_months, store_lines
 
     @cached_property
     def stg_invoices(self) -> DataFrame:
-        return staging.stage_invoices(self.raw.invoices)
+        staged = staging.stage_invoices(self.raw.invoices)
+        return stash(staged, "stg-invoices") if self.store_lines else staged
 
     @cached_property
     def stg_events(self) -> DataFrame:

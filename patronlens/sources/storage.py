@@ -33,6 +33,16 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores; leave others alone.
+
+    A small file with one row group is read by one task, and everything up to the next
+    shuffle would run there. A scan of real size has many splits and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def land_raw(df: DataFrame, base_uri: str, table: str) -> str:
     """Write a raw table below ``base_uri`` (any Hadoop URI) under its fixed key."""
     return write_parquet(df, f"{base_uri.rstrip('/')}/{LANDING_KEYS[table]}")

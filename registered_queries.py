@@ -39,10 +39,12 @@ def _tables(spark: SparkSession, folder: str) -> TestTables:
     return TestTables(spark, folder)
 
 
-def _warehouse(spark: SparkSession, folder: str, max_months: int = LONG_GRID) -> Warehouse:
+def _warehouse(
+    spark: SparkSession, folder: str, max_months: int = LONG_GRID, store_lines: bool = False
+) -> Warehouse:
     t = _tables(spark, folder)
     raw = RawInputs(bindings.raw_invoices(t), bindings.raw_events(t), bindings.raw_support_tickets(t))
-    return Warehouse(raw, max_months)
+    return Warehouse(raw, max_months, store_lines)
 
 
 def query(build: Query) -> Query:
@@ -50,8 +52,13 @@ def query(build: Query) -> Query:
     return build
 
 
-def _warehouse_query(name: str, build: Callable[[Warehouse], DataFrame], max_months: int = LONG_GRID) -> None:
-    _QUERIES[name] = lambda spark, folder: build(_warehouse(spark, folder, max_months))
+def _warehouse_query(
+    name: str,
+    build: Callable[[Warehouse], DataFrame],
+    max_months: int = LONG_GRID,
+    store_lines: bool = False,
+) -> None:
+    _QUERIES[name] = lambda spark, folder: build(_warehouse(spark, folder, max_months, store_lines))
 
 
 def queries() -> dict[str, Query]:
@@ -101,9 +108,9 @@ _warehouse_query("customer_profile", lambda w: w.customer_profile)
 class Scored:
     """The panel with the fixed score, and predictions from it, for one set of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, store_lines: bool = False):
         self.spark, self.tables = spark, _tables(spark, folder)
-        self.warehouse = _warehouse(spark, folder)
+        self.warehouse = _warehouse(spark, folder, store_lines=store_lines)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -171,8 +178,8 @@ def _dates_as_timestamps(df: DataFrame) -> DataFrame:
     )
 
 
-def _scored_query(name: str, build: Callable[[Scored], DataFrame]) -> None:
-    _QUERIES[name] = lambda spark, folder: _dates_as_timestamps(build(Scored(spark, folder)))
+def _scored_query(name: str, build: Callable[[Scored], DataFrame], store_lines: bool = False) -> None:
+    _QUERIES[name] = lambda spark, folder: _dates_as_timestamps(build(Scored(spark, folder, store_lines)))
 
 
 _warehouse_query("time_split_summary", lambda w: evaluation.time_split_summary(w.churn_features))
@@ -212,14 +219,18 @@ def _all_candidates(w: Warehouse) -> DataFrame:
     return offers.candidate_products(purchased).unionByName(fallback)
 
 
-_warehouse_query("candidate_products", lambda w: offers.candidate_products(_purchased(w)))
+_warehouse_query(
+    "candidate_products", lambda w: offers.candidate_products(_purchased(w)), store_lines=True
+)
 _warehouse_query(
     "candidate_products_fallback",
     lambda w: offers.fallback_products(w.dim_customers, _purchased(w), w.dim_products),
+    store_lines=True,
 )
 _scored_query(
     "offer_context",
     lambda s: offers.offer_context(s.profiles, s.explanations, _all_candidates(s.warehouse)),
+    store_lines=True,
 )
 _scored_query("validated_offers", lambda s: offers.accepted(s.checked))
 _scored_query(
@@ -234,13 +245,19 @@ _scored_query(
 )
 _scored_query("first_valid_attempt", lambda s: offers.first_valid(offers.accepted(s.checked)))
 _scored_query("unprofiled_high_risk", lambda s: retention.unprofiled_high_risk(s.predictions, s.profiles))
-_scored_query("intervention_outcomes", lambda s: retention.outcome_counts(s.run.outcomes))
-_scored_query("interventions", lambda s: s.run.interventions)
+_scored_query(
+    "intervention_outcomes", lambda s: retention.outcome_counts(s.run.outcomes), store_lines=True
+)
+_scored_query("interventions", lambda s: s.run.interventions, store_lines=True)
 
 # --- reports ---------------------------------------------------------------------------------
 
 _scored_query("dashboard_predictions", lambda s: s.dashboard)
-_scored_query("kpi_summary", lambda s: reporting.kpi_summary(s.predictions, s.run.interventions))
+_scored_query(
+    "kpi_summary",
+    lambda s: reporting.kpi_summary(s.predictions, s.run.interventions),
+    store_lines=True,
+)
 _scored_query("filter_options", lambda s: reporting.filter_options(s.dashboard))
 _scored_query("risk_table", lambda s: reporting.risk_table(s.dashboard))
 _scored_query(
@@ -255,28 +272,26 @@ _scored_query("explanation_table", lambda s: reporting.explanation_table(s.expla
 def quality_tables(w: Warehouse) -> dict[str, DataFrame]:
     """The checked tables, each stored once as the checks read it several times."""
     panel_table = stash(w.churn_feature_panel, "panel")
-    stg = stash(w.stg_invoices, "stg-invoices")
-    lines = stash(core.order_lines(stg), "order-lines")
     return {
         "raw_invoices": w.raw.invoices,
         "raw_events": w.raw.events,
         "raw_support_tickets": w.raw.tickets,
-        "stg_invoices": stg,
+        "stg_invoices": w.stg_invoices,
         "stg_events": w.stg_events,
         "stg_support_tickets": w.stg_support_tickets,
-        "fct_order_lines": lines,
+        "fct_order_lines": w.fct_order_lines,
         "fct_orders": w.fct_orders,
         "dim_customers": w.dim_customers,
         "customer_snapshot_dates": w.customer_snapshot_dates,
         "churn_feature_panel": panel_table,
-        "dim_products": core.products(lines),
+        "dim_products": w.dim_products,
         "mart_customer_360": w.mart_customer_360,
         "mart_rfm_segments": w.mart_rfm_segments,
         "churn_features": panel.churn_features(panel_table),
     }
 
 
-_warehouse_query("dq_report", lambda w: quality.quality_report(quality_tables(w)))
+_warehouse_query("dq_report", lambda w: quality.quality_report(quality_tables(w)), store_lines=True)
 
 # --- ingestion and storage -------------------------------------------------------------------
 
@@ -328,7 +343,7 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def explain_report(spark: SparkSession, folder: str) -> DataFrame:
     """Profile, explanation and offer of every customer as JSON, with the status of each."""
-    s = Scored(spark, folder)
+    s = Scored(spark, folder, store_lines=True)
     valid = offers.first_valid(offers.accepted(s.checked))
     report = reporting.explain_report(s.warehouse.dim_customers, s.profiles, s.explanations, valid)
     return report.select(
