@@ -51,7 +51,9 @@ def land_raw(df: DataFrame, base_uri: str, table: str) -> str:
 # --- layers ----------------------------------------------------------------------------------
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Reorder and cast to the declared schema; a missing column is an error."""
+    """Reorder and cast to the declared schema; a missing or extra column is an error."""
+    if set(df.columns) != set(schema.names):
+        raise ValueError(f"expected columns {sorted(schema.names)}, got {sorted(df.columns)}")
     return df.to(schema)
 
 
