@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronlens.functions.dates import days, midnight, month_ceil, month_starts, timestamp_text
 from patronlens.fixed_values import RECENT_DAYS
 from patronlens.sources.invoices import shift_years
-from patronlens.sources.storage import spread
+from patronlens.sources.storage import has_few_splits, spread
 
 TARGET_YEAR = 2024
 TOPICS = ("shipping", "product_quality", "billing", "returns", "other")
@@ -23,6 +24,9 @@ PASSAGE_CHARS, LONG_PASSAGE_CHARS = 200, 400
 SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 
 
+_SCANS: dict[tuple[str, str], tuple[T.StructType, bool]] = {}
+
+
 class TestTables:
     """Lazy scans of the parquet tables in one folder."""
 
@@ -32,8 +36,15 @@ class TestTables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in SPREAD_BY:
+        path = f"{self.folder}/{name}.parquet"
+        # schema and splits are looked up once per application, not once per query
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCANS:
+            scan = self.spark.read.parquet(path)
+            _SCANS[key] = (scan.schema, name in SPREAD_BY and has_few_splits(scan))
+        schema, few_splits = _SCANS[key]
+        scan = self.spark.read.schema(schema).parquet(path)
+        if few_splits:
             scan = spread(scan, SPREAD_BY[name])
         setattr(self, name, scan)
         return scan

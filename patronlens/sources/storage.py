@@ -33,14 +33,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster has cores; leave others alone.
+def has_few_splits(scan: DataFrame) -> bool:
+    """Whether a scan has fewer splits than the cluster has cores."""
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Spread the rows of a scan with few splits over all cores.
 
     A small file with one row group is read by one task, and everything up to the next
-    shuffle would run there. A scan of real size has many splits and is not shuffled.
+    shuffle would run there. A scan of real size has many splits and needs no shuffle,
+    so this is only for scans where ``has_few_splits`` holds.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def land_raw(df: DataFrame, base_uri: str, table: str) -> str:
