@@ -676,6 +676,7 @@ def oracle_sql() -> dict[str, str]:
     out["kpi_summary"] = sql(
         """SELECT count(*) AS customers_scored, count(*) FILTER (WHERE risk_band = 'high') AS high_risk,
                   round(CAST(sum(CAST(churn_probability AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) AS mean_probability,
+                  CAST(round(CAST(mean_probability AS DECIMAL(9, 6)) * 100, 2) AS DECIMAL(6, 2)) || '%' AS mean_probability_text,
                   (SELECT count(*) FROM interventions) AS interventions
            FROM predictions""",
         "predictions",
@@ -703,6 +704,21 @@ def oracle_sql() -> dict[str, str]:
                   FROM fixed_explanations)""",
         "fixed_explanations",
     )
+    out["profile_display"] = sql(
+        """SELECT customer_id, CASE segment WHEN 'at_risk' THEN 'At_Risk' ELSE upper(segment[1]) || segment[2:] END AS segment,
+                  lifetime_order_count, '$' || format('{:,.2f}', lifetime_revenue) AS lifetime_revenue, recency_days,
+                  country, rfm_score,
+                  CAST(round(CAST(avg_purchase_interval AS DECIMAL(20, 6)), 1) AS DECIMAL(20, 1)) || ' days'
+                      AS avg_purchase_interval,
+                  strftime(first_order_date, '%Y-%m-%d') AS first_order
+           FROM customer_profile""",
+        "customer_profile",
+    )
+    out["landed_events"] = table("raw_events")
+    out["stored_predictions"] = table("predictions")
+    out["stored_interventions"] = sql(
+        "SELECT *, TIMESTAMP '2024-06-01' AS generated_at FROM interventions", "interventions"
+    )
     out["dq_report"] = _dq_sql()
     out["shift_years"] = sql(
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS shifted FROM shifted_orders",

@@ -29,6 +29,8 @@ from patronlens.operators.training import model_columns, model_features
 from patronlens.sources.storage import scratch_path
 
 ROWS_PER_STEP = 256
+# A leaf table has 2 ** features rows, and all tables are broadcast.
+MAX_LEAF_FEATURES = 8
 
 
 @dataclass
@@ -106,6 +108,8 @@ def leaf_groups(spark: SparkSession, model: PipelineModel) -> tuple[list[LeafGro
             base += value * reach
             if path_of:
                 by_size.setdefault(len(path_of), []).append((value, path_of))
+    if max(by_size, default=0) > MAX_LEAF_FEATURES:
+        raise ValueError(f"trees deeper than {MAX_LEAF_FEATURES} features per leaf need too large tables")
     groups = []
     for leaves in by_size.values():
         columns = np.array([list(p) for _, p in leaves])

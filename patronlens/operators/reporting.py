@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.functions.values import count_where, exact_mean, pretty_name, title_case
 from patronlens.operators.scoring import by_risk, fixed_label
 
 
+def percent_text(share: Column, places: int) -> Column:
+    """``0.1234`` as ``12.3%``, rounded half up as a decimal."""
+    percent = F.round(share.cast("decimal(9,6)") * 100, places).cast(f"decimal({places + 4},{places})")
+    return F.concat(percent.cast("string"), F.lit("%"))
+
+
+def money_text(amount: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(amount.cast("decimal(20,2)"), 2))
+
+
 def dashboard_predictions(predictions: DataFrame, c360: DataFrame, rfm: DataFrame) -> DataFrame:
     """Predictions of customers that are in both marts."""
     return (
@@ -24,7 +34,7 @@ def kpi_summary(predictions: DataFrame, interventions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers_scored"),
         count_where(F.col("risk_band") == "high").alias("high_risk"),
         F.round(exact_mean(F.col("churn_probability")), 6).alias("mean_probability"),
-    ).withColumn("interventions", interventions.agg(F.count(F.lit(1))).scalar())
+    ).withColumn("mean_probability_text", percent_text(F.col("mean_probability"), 2)).withColumn("interventions", interventions.agg(F.count(F.lit(1))).scalar())
 
 
 def filter_options(dashboard: DataFrame) -> DataFrame:
@@ -54,8 +64,8 @@ def risk_table(
             "churn_probability",
             "lifetime_revenue",
             fixed_label(probability).alias("risk_label_fixed"),
-            F.concat(F.round(probability.cast("decimal(9,6)") * 100, 1).cast("decimal(5,1)").cast("string"), F.lit("%")).alias("probability_text"),
-            F.concat(F.lit("$"), F.format_number(money.cast("decimal(20,2)"), 2)).alias("revenue_text"),
+            percent_text(probability, 1).alias("probability_text"),
+            money_text(money).alias("revenue_text"),
             title_case(F.col("segment")).alias("segment_text"),
         )
     )
@@ -102,6 +112,22 @@ def explain_report(
     )
 
 
+def profile_display(profiles: DataFrame) -> DataFrame:
+    """Customer profiles as display texts."""
+    interval = F.round(F.col("avg_purchase_interval").cast("decimal(20,6)"), 1).cast("decimal(20,1)")
+    return profiles.select(
+        "customer_id",
+        title_case(F.col("segment")).alias("segment"),
+        "lifetime_order_count",
+        money_text(F.col("lifetime_revenue")).alias("lifetime_revenue"),
+        "recency_days",
+        "country",
+        "rfm_score",
+        F.concat(interval.cast("string"), F.lit(" days")).alias("avg_purchase_interval"),
+        F.date_format("first_order_date", "yyyy-MM-dd").alias("first_order"),
+    )
+
+
 def explanation_table(explanations: DataFrame) -> DataFrame:
     """One row per top feature, ready for display."""
     impact = F.col("feature.impact")

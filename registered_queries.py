@@ -21,7 +21,8 @@ from patronlens.operators import (
     training,
 )
 from patronlens.plans import churn, retention
-from patronlens.plans.warehouse import RawInputs, Warehouse
+from patronlens.plans.warehouse import Warehouse
+from patronlens.schemas import INTERVENTIONS, PREDICTIONS, RAW_EVENTS
 from patronlens.sources import bindings, invoices, storage
 from patronlens.sources.bindings import TestTables
 from patronlens.sources.storage import stash
@@ -39,12 +40,29 @@ def _tables(spark: SparkSession, folder: str) -> TestTables:
     return TestTables(spark, folder)
 
 
+class BoundInputs:
+    """The raw inputs of one folder of test tables; each is bound when a query needs it."""
+
+    def __init__(self, tables: TestTables):
+        self.tables = tables
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return bindings.raw_invoices(self.tables)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return bindings.raw_events(self.tables)
+
+    @cached_property
+    def tickets(self) -> DataFrame:
+        return bindings.raw_support_tickets(self.tables)
+
+
 def _warehouse(
     spark: SparkSession, folder: str, max_months: int = LONG_GRID, store_lines: bool = False
 ) -> Warehouse:
-    t = _tables(spark, folder)
-    raw = RawInputs(bindings.raw_invoices(t), bindings.raw_events(t), bindings.raw_support_tickets(t))
-    return Warehouse(raw, max_months, store_lines)
+    return Warehouse(BoundInputs(_tables(spark, folder)), max_months, store_lines)
 
 
 def query(build: Query) -> Query:
@@ -264,6 +282,7 @@ _scored_query(
     "risk_table_filtered",
     lambda s: reporting.risk_table(s.dashboard, ["champions", "at_risk"], ["high", "medium"]),
 )
+_scored_query("profile_display", lambda s: reporting.profile_display(s.warehouse.customer_profile))
 _scored_query("explanation_table", lambda s: reporting.explanation_table(s.explanations))
 
 # --- data quality ----------------------------------------------------------------------------
@@ -314,6 +333,31 @@ def raw_union(spark: SparkSession, folder: str) -> DataFrame:
     return invoices.read_invoice_csvs(spark, paths)
 
 
+@query
+def landed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw events landed under their fixed key and scanned with the declared schema."""
+    events = bindings.raw_events(_tables(spark, folder))
+    path = storage.land_raw(events, storage.scratch_path(spark, "landing"), "raw_events")
+    return storage.read_parquet(spark, path, RAW_EVENTS)
+
+
+def _stored_predictions(s: Scored) -> DataFrame:
+    path = storage.scratch_path(s.spark, "predictions")
+    storage.write_predictions(s.predictions, path)
+    return storage.read_parquet(s.spark, path, PREDICTIONS)
+
+
+def _stored_interventions(s: Scored) -> DataFrame:
+    path = storage.scratch_path(s.spark, "interventions")
+    storage.create_interventions(s.spark, path)
+    stamp = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    storage.append_interventions(s.run.interventions.withColumn("generated_at", stamp), path)
+    return storage.read_parquet(s.spark, path, INTERVENTIONS)
+
+
+_scored_query("stored_predictions", _stored_predictions)
+_scored_query("stored_interventions", _stored_interventions, store_lines=True)
+
 # --- model -----------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from patronlens.functions.values import lower_names
 from patronlens.operators import quality, reporting
 from patronlens.operators.quality import ACCEPTED, NOT_NULL, UNIQUE, Check
 from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, publish_all
@@ -118,3 +119,7 @@ def test_display_names(spark):
     rows = reporting.explanation_table(df).collect()
     assert [(r["feature"], r["direction"], r["impact_text"], r["risk_label_fixed"]) for r in rows] == [
         ("Frequency 180D", "increases risk", "+0.26", "High Risk"), ("Events 30D", "decreases risk", "-1.50", "High Risk")]
+
+
+def test_lower_names(spark):
+    assert lower_names(spark.createDataFrame([(1, 2)], "CustomerID int, B int")).columns == ["customerid", "b"]
