@@ -70,12 +70,21 @@ class Target:
 
 def _narrow(df: DataFrame, targets: list[Target], accuracy: int) -> list[Target]:
     """One round: bracket every target, count around the brackets, keep the part that is hit."""
-    percentiles = []
+    # targets that search the same rows share one percentile aggregate
+    groups: dict[tuple, list[Target]] = {}
     for t in targets:
-        centre, slack = (t.index + 0.5) / t.size, 2.0 / accuracy + 1.0 / t.size
-        fractions = [max(0.0, centre - slack), min(1.0, centre + slack)]
-        percentiles.append(F.percentile_approx(F.when(t.condition(), F.col(t.key)), fractions, accuracy))
-    brackets = df.agg(*percentiles).first()
+        groups.setdefault((t.scope, t.key), []).append(t)
+    percentiles = []
+    for members in groups.values():
+        fractions = []
+        for t in members:
+            centre, slack = (t.index + 0.5) / t.size, 2.0 / accuracy + 1.0 / t.size
+            fractions += [max(0.0, centre - slack), min(1.0, centre + slack)]
+        column = F.when(members[0].condition(), F.col(members[0].key))
+        percentiles.append(F.percentile_approx(column, fractions, accuracy))
+    edges = df.agg(*percentiles).first()
+    targets = [t for members in groups.values() for t in members]
+    brackets = [pair for row in edges for pair in zip(row[0::2], row[1::2])]
 
     counts = []
     for t, (low, high) in zip(targets, brackets):
