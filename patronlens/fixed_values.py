@@ -51,6 +51,9 @@ PII_PATTERNS = {
     "card": r"\b(?:\d[ -]*?){13,16}\b",
 }
 
+# Text that stands for NULL inside a surrogate key
+NULL_KEY_PART = "_dbt_utils_surrogate_key_null_"
+
 # Report labels
 FIXED_LABEL_CUTS = ((0.66, "High Risk"), (0.33, "Medium Risk"))
 FIXED_LABEL_REST = "Low Risk"

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_KEY_PART = "_dbt_utils_surrogate_key_null_"
-
+from patronlens.fixed_values import NULL_KEY_PART
 
 def whole_number(df: DataFrame, name: str) -> Column:
     """Text or number column to LONG, rounding half away from zero; garbage is an error."""
