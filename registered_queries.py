@@ -130,10 +130,6 @@ class Scored:
         self.spark, self.tables = spark, _tables(spark, folder)
         self.warehouse = _warehouse(spark, folder, store_lines=store_lines)
 
-    @cached_property
-    def panel(self) -> DataFrame:
-        return bindings.fixed_score(self.warehouse.churn_features)
-
     @cached_property
     def panel_scores(self) -> DataFrame:
         """Score and label of every panel row; only order features are needed for them."""
@@ -143,15 +139,10 @@ class Scored:
         label = (F.lit(1) - F.col("has_future_order")).alias("churned_next_90d")
         return scored.select("customer_id", "snapshot_date", "churn_probability", label)
 
-    @cached_property
-    def latest(self) -> DataFrame:
-        scored = bindings.fixed_score(scoring.latest_snapshot(self.warehouse.churn_features))
-        return stash(scored, "latest")
-
     @cached_property
     def predictions(self) -> DataFrame:
         stamp = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
-        return scoring.with_risk_bands(self.latest, stamp)
+        return scoring.with_risk_bands(stash(scoring.latest_snapshot(self.panel_scores), "latest"), stamp)
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -180,7 +171,8 @@ class Scored:
 
     @cached_property
     def explanations(self) -> DataFrame:
-        return self.latest.select(
+        latest = scoring.latest_snapshot(self.warehouse.churn_features)
+        return bindings.fixed_score(latest).select(
             "customer_id",
             "snapshot_date",
             "churn_probability",
