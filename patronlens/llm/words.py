@@ -85,6 +85,11 @@ class Words:
         return _WINDOWS[which].ranges(self.hashes, first, first + width), first
 
 
+def sequence(found: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of runs of words, each from its start to before its end."""
+    return _WINDOWS[0].ranges(found.hashes, starts, ends)
+
+
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers starts[i], starts[i] + 1, ... (counts[i] of them), for all i in a row."""
     total = int(counts.sum())
