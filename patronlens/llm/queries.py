@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from patronlens.llm import substring_dedup
+from patronlens.llm import jaccard_join, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_jaccard_join": jaccard_join.op2,
+        "op4_toxicity": toxicity.op4,
         "op7_substring_dedup": substring_dedup.op7,
     }
 
