@@ -9,7 +9,8 @@ of ``gram`` words (equal windows have equal representatives): representatives ar
 in Spark, and only windows whose representative occurs in two documents are counted
 themselves. Hash counts are combined in each task before the shuffle, so a passage that a
 third of all documents share costs one row per task. Windows with a smaller owner go back
-to their documents and merge into maximal removal intervals there.
+to their documents and merge into maximal removal intervals there. A whole text that a
+smaller id also has needs no windows: all of them go.
 
 Windows are compared by two independent 64-bit hashes (that of the window and that of the
 representative), which is an equality test up to a chance below n**2 / 2**128.
@@ -56,11 +57,11 @@ def _running_min(values: np.ndarray, span: int) -> np.ndarray:
 
 def _representatives(width: int, gram: int):
     def build(batch: pa.RecordBatch):
-        ids = np.asarray(batch.column("doc_id"))
+        ids, marks = np.asarray(batch.column("doc_id")), np.asarray(batch.column("mark"))
         for row, _, _, low in _window_rows(batch.column("text"), width, gram):
             keep = np.ones(len(row), dtype=bool)
             keep[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1])
-            yield {"low": low[keep].view(np.int64), "doc_id": ids[row[keep]]}
+            yield {"low": low[keep].view(np.int64), "doc_id": ids[row[keep]], "mark": marks[row[keep]]}
 
     return build
 
@@ -98,28 +99,42 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     """Per id with something to remove: ``gone``, the (mark, first word) pairs of the windows to go.
 
     ``docs`` has doc_id (never null), text and mark, a hash of the text that tells apart
-    rows of one id.
+    rows of one id. A pair with first word -1 stands for all windows of the text.
     """
-    grams = arrow_pass(docs.select("doc_id", "text"), _representatives(width, gram), "low long, doc_id long")
+    whole = docs.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("mark2"))
+    originals = (
+        whole.groupBy("mark", "mark2")
+        .agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last_doc"))
+        .filter("original < last_doc")
+    )
+    copies = whole.join(originals, ["mark", "mark2"]).filter("doc_id > original").select("doc_id", "mark")
+    copied = copies.groupBy("doc_id").agg(F.collect_set("mark").alias("copied"))
+
+    grams = arrow_pass(
+        docs.select("doc_id", "text", "mark"), _representatives(width, gram), "low long, doc_id long, mark long"
+    )
     shared = (
         grams.groupBy("low")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        .filter("first_doc < last_doc")
+        .agg(F.min("doc_id").alias("first_doc"), F.min("mark").alias("least_mark"), F.max("mark").alias("most_mark"))
+        .filter("least_mark < most_mark")
     )
     lists = (
-        grams.join(shared.select("low", "first_doc"), "low")
+        grams.select("low", "doc_id")
+        .join(shared.select("low", "first_doc"), "low")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("low", "first_doc")).alias("pairs"))
-        .select("doc_id", F.col("pairs.low").alias("lows"), F.col("pairs.first_doc").alias("firsts"))
+        .join(copied, "doc_id", "left")
+        .select("doc_id", F.col("pairs.low").alias("lows"), F.col("pairs.first_doc").alias("firsts"), "copied")
     )
     windows = arrow_pass(
-        docs.join(lists, "doc_id"),
+        docs.join(lists, "doc_id").filter("NOT coalesce(array_contains(copied, mark), false)"),
         _shared_windows(width, gram),
         "low long, hash long, doc_id long, mark long, first long, later boolean",
     )
     owners = windows.groupBy("low", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_doc"))
     repeated = windows.filter("later").join(owners.filter("owner < last_doc"), ["low", "hash"]).filter("owner < doc_id")
-    return repeated.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "first")).alias("gone"))
+    gone = repeated.select("doc_id", "mark", "first").union(copies.withColumn("first", F.lit(-1).cast("long")))
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "first")).alias("gone"))
 
 
 def _kept(width: int):
@@ -138,6 +153,8 @@ def _kept(width: int):
                 a, b = int(found.bounds[i]), int(found.bounds[i + 1])
                 row = slice(bounds[first_row + i], bounds[first_row + i + 1])
                 at = firsts[row][marks[row] == own[first_row + i]]
+                if (at < 0).any():
+                    at = np.arange(b - a - width + 1)
                 edge = np.zeros(b - a + 1, dtype=np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + width, -1)
@@ -191,5 +208,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
 
 def op7(spark, folder: str) -> DataFrame:
-    result = remove_repeats(read(spark, folder, "documents"))
+    result = remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
     return result.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
