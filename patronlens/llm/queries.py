@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from patronlens.llm import jaccard_join, substring_dedup, toxicity
+import corpus_pipeline
+from patronlens.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_jaccard_join": jaccard_join.op2,
         "op4_toxicity": toxicity.op4,
+        "op6_best_fit_packing": packing.op6,
         "op7_substring_dedup": substring_dedup.op7,
+        "op8_mixing": mixing.op8,
+        "pipeline": corpus_pipeline.run,
     }
 
 

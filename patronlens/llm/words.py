@@ -18,7 +18,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[ord("A") : ord("Z") + 1] += 32
 _MASK = (1 << 64) - 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
