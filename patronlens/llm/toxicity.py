@@ -52,22 +52,27 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = str.maketrans(LOOK_ALIKES)
 _SIGNS = str.maketrans(DIGITS)
-_DISGUISED = re.compile(r"(?=[^\s]*[^\W\d_])[^\s]*[0-9@$!][^\s]*")
+_SIGN, _LETTER = re.compile(r"[0-9@$!]"), re.compile(r"[^\W\d_]")
+_REMEMBERED = 300_000  # folded words that a worker keeps
+_folded: dict[str, str] = {}
 
 
 def fold(text: str) -> str:
     """Words of the text, undisguised, with one space around each."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    text = text.lower()
-    if not text.isascii():
-        text = text.translate(_LETTERS)
-    text = _DISGUISED.sub(_undisguise, text)
-    return f" {' '.join(_WORD.findall(text))} "
-
-
-def _undisguise(match: re.Match) -> str:
-    return match[0].rstrip("!.,;:?").translate(_SIGNS)
+    if len(_folded) > _REMEMBERED:
+        _folded.clear()
+    return f" {' '.join(filter(None, map(_folded_word, text.split())))} "
+
+
+def _folded_word(word: str) -> str:
+    """A run of characters without white space: folded, and split where it has other signs."""
+    known = _folded.get(word)
+    if known is None:
+        plain = word.lower() if word.isascii() else unicodedata.normalize("NFKC", word).lower().translate(_LETTERS)
+        if _SIGN.search(plain) and _LETTER.search(plain):
+            plain = plain.rstrip("!.,;:?").translate(_SIGNS)
+        known = _folded[word] = " ".join(_WORD.findall(plain))
+    return known
 
 
 def terms(folded: str) -> set[str]:
