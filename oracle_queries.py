@@ -725,6 +725,11 @@ def oracle_sql() -> dict[str, str]:
         "shifted_orders",
     )
     out["raw_union"] = table("raw_invoices")
+    out["ingested_invoices"] = sql(
+        """SELECT * REPLACE (replace("Description", ' ', chr(10)) AS "Description")
+           FROM raw_invoices WHERE "InvoiceDate" <> 'not-a-date'""",
+        "raw_invoices",
+    )
     out["explain_report"] = sql(
         """SELECT c.customer_id, status, CASE WHEN status = 'ok' THEN segment END AS segment,
                   CASE WHEN status = 'ok' THEN churn_probability END AS churn_probability,

@@ -35,6 +35,7 @@ HOLDOUT_FRACTION = 0.2
 TREES = 300
 TREE_DEPTH = 4
 LEARNING_RATE = 0.05
+PATIENCE = 20
 SEED = 42
 TOP_FEATURES = 3
 
@@ -64,3 +65,9 @@ LANDING_KEYS = {
     "raw_events": "raw/events",
     "raw_support_tickets": "raw/support_tickets",
 }
+
+# The characters that count as white space in Unicode and at the ends of texts here.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)

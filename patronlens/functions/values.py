@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronlens.fixed_values import NULL_KEY_PART
+from patronlens.fixed_values import NULL_KEY_PART, WHITE_SPACE
 
 def whole_number(df: DataFrame, name: str) -> Column:
     """Text or number column to LONG, rounding half away from zero; garbage is an error."""
@@ -26,7 +26,9 @@ def exact_sum(value: Column) -> Column:
 
 
 def exact_mean(value: Column) -> Column:
-    return F.when(F.count(value) > 0, exact_sum(value) / F.count(value))
+    """Mean of probabilities, added in decimal with 18 places."""
+    total = F.sum(value.cast("decimal(28,18)")).cast("double")
+    return F.when(F.count(value) > 0, total / F.count(value))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -43,8 +45,8 @@ def surrogate_key(*parts: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Text without surrounding white space of any kind."""
-    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    """Text without surrounding white space of any kind, that of other scripts included."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def title_case(text: Column) -> Column:

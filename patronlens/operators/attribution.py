@@ -29,8 +29,6 @@ from patronlens.operators.training import model_columns, model_features
 from patronlens.sources.storage import scratch_path
 
 ROWS_PER_STEP = 256
-# A leaf table has 2 ** features rows, and all tables are broadcast.
-MAX_LEAF_FEATURES = 8
 
 
 @dataclass
@@ -108,8 +106,6 @@ def leaf_groups(spark: SparkSession, model: PipelineModel) -> tuple[list[LeafGro
             base += value * reach
             if path_of:
                 by_size.setdefault(len(path_of), []).append((value, path_of))
-    if max(by_size, default=0) > MAX_LEAF_FEATURES:
-        raise ValueError(f"trees deeper than {MAX_LEAF_FEATURES} features per leaf need too large tables")
     groups = []
     for leaves in by_size.values():
         columns = np.array([list(p) for _, p in leaves])
@@ -125,6 +121,9 @@ def impacts(groups: list[LeafGroup], x: np.ndarray) -> np.ndarray:
     for g in groups:
         leaf = np.arange(len(g.feature))
         m = g.feature.shape[1]
+        to_column = np.zeros((m, len(leaf), x.shape[1]))
+        for j in range(m):
+            to_column[j, leaf, g.feature[:, j]] = 1.0
         for start in range(0, len(x), ROWS_PER_STEP):
             part = x[start : start + ROWS_PER_STEP]
             code = np.zeros((len(part), len(leaf)), dtype=np.int64)
@@ -132,9 +131,7 @@ def impacts(groups: list[LeafGroup], x: np.ndarray) -> np.ndarray:
                 seen = part[:, g.feature[:, j]]
                 code |= ((seen > g.low[:, j]) & (seen <= g.high[:, j])).astype(np.int64) << j
             for j in range(m):
-                to_column = np.zeros((len(leaf), x.shape[1]))
-                to_column[leaf, g.feature[:, j]] = 1.0
-                out[start : start + ROWS_PER_STEP] += g.table[leaf, code, j] @ to_column
+                out[start : start + ROWS_PER_STEP] += g.table[leaf, code, j] @ to_column[j]
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.functions.dates import timestamp_text
-from patronlens.functions.values import exact_sum, surrogate_key
+from patronlens.functions.values import surrogate_key
 
 
 def order_lines(stg_invoices: DataFrame) -> DataFrame:
@@ -34,15 +34,27 @@ def order_lines(stg_invoices: DataFrame) -> DataFrame:
 
 
 def invoice_totals(lines: DataFrame) -> DataFrame:
-    """One row per (invoice, customer): the only pass over the lines that orders and customers need."""
-    return lines.groupBy("invoice_no", "customer_id").agg(
-        F.min("invoice_date").alias("invoice_date"),
-        F.max("invoice_date").alias("last_line_date"),
+    """One row per (invoice, customer): the only pass over the lines that orders and customers need.
+
+    The largest of several texts needs a sort-based aggregate, so the lines are first
+    grouped by country too, with numbers only, and the few rows left give the largest.
+    """
+    by_country = lines.groupBy("invoice_no", "customer_id", "country").agg(
+        F.min("invoice_date").alias("first"),
+        F.max("invoice_date").alias("last"),
+        F.bool_or("is_cancelled").alias("cancelled"),
+        F.sum("quantity").alias("items"),
+        F.sum(F.col("line_revenue").cast("decimal(20,6)")).alias("revenue"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+    return by_country.groupBy("invoice_no", "customer_id").agg(
+        F.min("first").alias("invoice_date"),
+        F.max("last").alias("last_line_date"),
         F.max("country").alias("country"),
-        F.bool_or("is_cancelled").alias("is_cancelled"),
-        F.sum("quantity").alias("total_quantity"),
-        exact_sum(F.col("line_revenue")).alias("total_revenue"),
-        F.count(F.lit(1)).alias("line_count"),
+        F.bool_or("cancelled").alias("is_cancelled"),
+        F.sum("items").alias("total_quantity"),
+        F.sum("revenue").cast("double").alias("total_revenue"),
+        F.sum("lines").alias("line_count"),
     )
 
 
@@ -56,35 +68,35 @@ def customers(totals: DataFrame) -> DataFrame:
     ``totals`` holds each invoice number once per customer, so counting the rows with
     a number is the distinct count.
     """
-    return totals.groupBy("customer_id").agg(
+    by_country = totals.groupBy("customer_id", "country").agg(
+        F.min("invoice_date").alias("first"),
+        F.max("last_line_date").alias("last"),
+        F.count("invoice_no").alias("invoices"),
+    )
+    return by_country.groupBy("customer_id").agg(
         F.max("country").alias("country"),
-        F.min("invoice_date").alias("first_order_date"),
-        F.max("last_line_date").alias("last_order_date"),
-        F.count("invoice_no").alias("lifetime_order_count"),
+        F.min("first").alias("first_order_date"),
+        F.max("last").alias("last_order_date"),
+        F.sum("invoices").alias("lifetime_order_count"),
     )
 
 
 def products(lines: DataFrame) -> DataFrame:
     """One row per stock code with its most frequent description.
 
-    Ties go to the first description in text order. Both steps are aggregates with
-    map-side combine, so a stock code with very many descriptions never has to be
-    sorted in one task.
+    Ties go to the first description in text order. Counting and finding the largest
+    count are hash aggregates; only the descriptions that reach it are compared as texts.
     """
     counted = (
         lines.filter(F.col("stock_code").isNotNull())
         .groupBy("stock_code", "description")
         .agg(F.count(F.lit(1)).alias("line_count"))
     )
-    best = F.min(
-        F.struct(
-            (-F.col("line_count")).alias("rank"),
-            F.col("description").isNull().alias("missing"),
-            F.col("description"),
-        )
-    )
-    return counted.groupBy("stock_code").agg(best.alias("best")).select(
-        F.col("stock_code").alias("product_id"), F.col("best.description").alias("description")
+    most = counted.groupBy("stock_code").agg(F.max("line_count").alias("line_count"))
+    return (
+        counted.join(most, ["stock_code", "line_count"], "left_semi")
+        .groupBy(F.col("stock_code").alias("product_id"))
+        .agg(F.min("description").alias("description"))
     )
 
 

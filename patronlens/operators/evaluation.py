@@ -151,10 +151,9 @@ def calibration_table(
     score: str = "churn_probability",
     label: str = LABEL_COLUMN,
     buckets: int = 10,
-    **search,
 ) -> DataFrame:
     """Mean prediction and outcome per quantile bucket; equal edges merge buckets."""
-    edges = sorted(set(quantiles(scored, score, [i / buckets for i in range(buckets + 1)], **search)))
+    edges = sorted(set(quantiles(scored, score, [i / buckets for i in range(buckets + 1)])))
     inner = edges[1:-1]
     bucket = sum(((F.col(score) > e).cast("int") for e in inner), F.lit(1))
     return (

@@ -54,7 +54,7 @@ def rfm_measures(orders: DataFrame) -> DataFrame:
     )
 
 
-def rfm_segments(orders: DataFrame, tiles: int = 5, **search) -> DataFrame:
+def rfm_segments(orders: DataFrame, tiles: int = 5) -> DataFrame:
     """RFM scores and the segment. Runs small jobs to find the tile boundaries."""
     measures = stash(rfm_measures(orders), "rfm")
     scored = with_ntiles(
@@ -66,7 +66,6 @@ def rfm_segments(orders: DataFrame, tiles: int = 5, **search) -> DataFrame:
         },
         tie="customer_id",
         tiles=tiles,
-        **search,
     )
     return with_segment(scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score")))
 

@@ -149,6 +149,7 @@ def offer_context(
 
 # --- validation ------------------------------------------------------------------------------
 
+SALTS = 32
 _WHOLE_NUMBER = r"^[+-]?\d+(\.0+)?$"
 
 
@@ -210,9 +211,21 @@ def message_problems(message: Column) -> list[Column]:
 
 
 def check_offers(proposals: DataFrame, products: DataFrame) -> DataFrame:
-    """Every proposal with the array of rules it breaks; empty means accepted."""
-    known = products.select(F.col("product_id").alias("product_focus"), F.lit(True).alias("known"))
-    parsed = parse_proposals(proposals).join(known, "product_focus", "left")
+    """Every proposal with the array of rules it breaks; empty means accepted.
+
+    Distinct product ids are looked up; the answers go back by id and salt, so a product
+    that many proposals name is spread over SALTS tasks, and proposals without one over more.
+    """
+    parsed = parse_proposals(proposals)
+    named = parsed.select("product_focus").filter("product_focus is not null").distinct()
+    known = (
+        named.join(products, F.col("product_focus") == F.col("product_id"), "left_semi")
+        .withColumn("known", F.lit(True))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    )
+    row = F.xxhash64("customer_id", "attempt")
+    salt = F.pmod(row, F.when(F.col("product_focus").isNull(), F.lit(SALTS * SALTS)).otherwise(F.lit(SALTS)))
+    parsed = parsed.withColumn("salt", salt.cast("long")).join(known, ["product_focus", "salt"], "left")
     ok_object = F.col("is_object")
     field_rules = [
         F.when(F.col("offer_customer_id").isNull(), "customer_id"),
@@ -244,13 +257,19 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def first_valid(accepted_offers: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """The earliest accepted attempt of each customer within the retry limit."""
+    """The earliest accepted attempt of each customer within the retry limit.
+
+    The attempt is found by a hash aggregate over numbers; only its rows' texts are
+    fetched. Should an attempt occur twice, the least row in column order counts.
+    """
     rest = [c for c in accepted_offers.columns if c not in ("customer_id", "attempt")]
+    within = accepted_offers.filter(F.col("attempt") <= max_attempts)
+    first = within.groupBy("customer_id").agg(F.min("attempt").alias("attempt"))
     return (
-        accepted_offers.filter(F.col("attempt") <= max_attempts)
-        .groupBy("customer_id")
-        .agg(F.min(F.struct("attempt", *rest)).alias("first"))
-        .select("customer_id", "first.*")
+        within.join(first, ["customer_id", "attempt"], "left_semi")
+        .groupBy("customer_id", "attempt")
+        .agg(F.min(F.struct(*rest)).alias("first"))
+        .select("customer_id", "attempt", "first.*")
     )
 
 

@@ -1,232 +1,71 @@
 """Exact order statistics without a global sort.
 
-``ntile`` and exact quantiles need the rows at a few known positions of a total order.
 A window without a partition would sort everything in one task, and the built-in exact
-percentile gathers all distinct values in one. Here each wanted position is narrowed
-down instead: approximate percentiles give a bracket, one aggregate counts the rows below
-and inside it exactly, and the search continues inside the bracket until it holds few
-rows. Only those few are sorted. Each round is two aggregates over all positions
-together, and each returns a single row to the driver.
-
-Repeated values need no special case: a bracket that closes on one value is searched
-further by the tie-breaker, which is unique.
-
-The input is scanned once per aggregate, so callers pass a stored table.
+percentile gathers all distinct values in one. Here the rows are range-partitioned by
+value and tie-breaker and stored with the number of their part; a row's position is its
+place inside the part plus the sizes of the earlier parts (one row per part). Tiles and
+quantiles then follow from the positions by formula. Every input takes this one path.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-SORT_LIMIT = 100_000
-
-
-@dataclass(frozen=True)
-class Target:
-    """The row at position ``index`` among the ``size`` rows of a scope.
-
-    The scope is ordered by ``by`` (``None`` once its value is settled), then by
-    ``tie`` (``None`` if only the value is wanted, or once settled).
-    """
-
-    name: object
-    scope: tuple[tuple[str, str, object], ...]
-    index: int
-    size: int
-    by: str | None
-    tie: str | None
-    by_value: object = None
-    tie_value: object = None
-
-    @property
-    def key(self) -> str | None:
-        return self.by or self.tie
-
-    def condition(self) -> Column:
-        tests = {
-            "<": lambda c, v: c < v,
-            ">": lambda c, v: c > v,
-            "=": lambda c, v: c == v,
-            "null": lambda c, _: c.isNull(),
-            "known": lambda c, _: c.isNotNull(),
-        }
-        return reduce(lambda a, b: a & b, [tests[op](F.col(c), F.lit(v)) for c, op, v in self.scope])
+from patronlens.sources.storage import stash
 
-    def within(self, start: int, stop: int, *tests: tuple[str, str, object]) -> Target:
-        return replace(self, scope=self.scope + tests, index=self.index - start, size=stop - start)
+POSITION = "_position"
 
-    def settled(self, value: object, start: int, stop: int) -> Target:
-        hit = self.within(start, stop, (self.key, "=", value))
-        if self.by:
-            return replace(hit, by=None, by_value=value)
-        return replace(hit, tie=None, tie_value=value)
 
+def with_position(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """``df`` plus ``_position``, the place from 0 of each row in the order of ``keys``."""
+    names = [f"_key{n}" for n in range(len(keys))]
+    keyed = df.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    dealt = keyed.repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
+    parts = stash(dealt, "ranged")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("held")).select(
+        "_part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*names)) - 1
+    placed = parts.withColumn("_inside", inside).join(offsets, "_part")
+    return placed.withColumn(POSITION, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside", *names)
 
-def _narrow(df: DataFrame, targets: list[Target], accuracy: int) -> list[Target]:
-    """One round: bracket every target, count around the brackets, keep the part that is hit."""
-    # targets that search the same rows share one percentile aggregate
-    groups: dict[tuple, list[Target]] = {}
-    for t in targets:
-        groups.setdefault((t.scope, t.key), []).append(t)
-    percentiles = []
-    for members in groups.values():
-        fractions = []
-        for t in members:
-            centre, slack = (t.index + 0.5) / t.size, 2.0 / accuracy + 1.0 / t.size
-            fractions += [max(0.0, centre - slack), min(1.0, centre + slack)]
-        column = F.when(members[0].condition(), F.col(members[0].key))
-        percentiles.append(F.percentile_approx(column, fractions, accuracy))
-    edges = df.agg(*percentiles).first()
-    targets = [t for members in groups.values() for t in members]
-    brackets = [pair for row in edges for pair in zip(row[0::2], row[1::2])]
 
-    counts = []
-    for t, (low, high) in zip(targets, brackets):
-        key = F.col(t.key)
-        for test in (key < F.lit(low), key <= F.lit(low), key < F.lit(high), key <= F.lit(high)):
-            counts.append(F.count(F.when(t.condition() & test, F.lit(1))))
-    totals = df.agg(*counts).first()
+def tile_of(position: Column, total: int, tiles: int) -> Column:
+    """The NTILE of a place from 0 among ``total`` rows: the first tiles take the remainder."""
+    size, larger = divmod(total, tiles)
+    in_larger = larger * (size + 1)
+    rest = F.lit(tiles) if size == 0 else F.lit(larger) + F.floor((position - in_larger) / max(size, 1)) + 1
+    return F.when(position < in_larger, F.floor(position / (size + 1)) + 1).otherwise(rest).cast("int")
 
-    narrowed = []
-    for n, (t, (low, high)) in enumerate(zip(targets, brackets)):
-        below_low, upto_low, below_high, upto_high = totals[4 * n : 4 * n + 4]
-        if t.index < below_low:
-            narrowed.append(t.within(0, below_low, (t.key, "<", low)))
-        elif t.index < upto_low:
-            narrowed.append(t.settled(low, below_low, upto_low))
-        elif t.index < below_high:
-            narrowed.append(t.within(upto_low, below_high, (t.key, ">", low), (t.key, "<", high)))
-        elif t.index < upto_high:
-            narrowed.append(t.settled(high, below_high, upto_high))
-        else:
-            narrowed.append(t.within(upto_high, t.size, (t.key, ">", high)))
-    return narrowed
 
-
-def _sort_and_pick(df: DataFrame, targets: list[Target]) -> dict[object, tuple]:
-    """Sort the few rows left around each target and take the wanted ones."""
-    found = {t.name: (t.by_value, t.tie_value) for t in targets if t.key is None}
-    # targets that search the same rows share one sort
-    groups: dict[tuple, list[Target]] = {}
-    for t in targets:
-        if t.key is not None:
-            groups.setdefault((t.scope, t.by, t.tie), []).append(t)
-    branches = []
-    for number, ((_, by, tie), members) in enumerate(groups.items()):
-        keys = [k for k in (by, tie) if k]
-        branches.append(
-            df.filter(members[0].condition())
-            .withColumn("grp", F.lit(number))
-            .withColumn("idx", F.row_number().over(Window.partitionBy("grp").orderBy(*keys)) - 1)
-            .filter(F.col("idx").isin([t.index for t in members]))
-            .select(
-                "grp",
-                "idx",
-                (F.col(by) if by else F.lit(None)).cast("double").alias("by_value"),
-                (F.col(tie) if tie else F.lit(None)).cast("long").alias("tie_value"),
-            )
-        )
-    if branches:
-        picked = {(r["grp"], r["idx"]): r for r in reduce(DataFrame.unionByName, branches).collect()}
-        for number, members in enumerate(groups.values()):
-            for t in members:
-                row = picked[number, t.index]
-                found[t.name] = (
-                    row["by_value"] if t.by else t.by_value,
-                    row["tie_value"] if t.tie else t.tie_value,
-                )
-    return found
-
-
-def rows_at(
-    df: DataFrame, targets: list[Target], accuracy: int = ACCURACY, sort_limit: int = SORT_LIMIT
-) -> dict[object, tuple]:
-    """(value, tie-breaker) of every target, by target name."""
-    def is_done(t: Target) -> bool:
-        return t.key is None or t.size <= sort_limit
-
-    done, todo = [t for t in targets if is_done(t)], [t for t in targets if not is_done(t)]
-    while todo:
-        narrowed = _narrow(df, todo, accuracy)
-        done += [t for t in narrowed if is_done(t)]
-        todo = [t for t in narrowed if not is_done(t)]
-    return _sort_and_pick(df, done)
-
-
-def with_ntiles(
-    df: DataFrame,
-    scores: dict[str, tuple[str, bool]],
-    tie: str,
-    tiles: int = 5,
-    accuracy: int = ACCURACY,
-    sort_limit: int = SORT_LIMIT,
-) -> DataFrame:
+def with_ntiles(df: DataFrame, scores: dict[str, tuple[str, bool]], tie: str, tiles: int = 5) -> DataFrame:
     """Add NTILE columns ``{name: (value column, descending)}``.
 
     NULLs rank as the largest value: last ascending, first descending. Equal values
-    are ordered by ``tie``, a unique LONG column. The result is a projection of ``df``:
-    only the first row of each tile has to be found.
+    are ordered by ``tie``, a unique column. ``df`` is range-partitioned once per score.
     """
-    keyed = df
+    total = df.count()
     for name, (column, descending) in scores.items():
         value = F.col(column).cast("double")
-        keyed = keyed.withColumn(f"_{name}", -value if descending else value)
-    counts = keyed.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"_{name}").alias(name) for name in scores]).first()
-    total = counts["n"]
-    starts = [t * (total // tiles) + min(t, total % tiles) for t in range(1, tiles)]
-    starts = [s for s in starts if s < total]
-
-    targets, in_nulls = [], {}
-    for name, (_, descending) in scores.items():
-        known = counts[name]
-        nulls = total - known
-        first_known, first_null = (nulls, 0) if descending else (0, known)
-        for s in starts:
-            key = f"_{name}"
-            is_null = first_null <= s < first_null + nulls
-            in_nulls[name, s] = is_null
-            if is_null:
-                targets.append(Target((name, s), ((key, "null", None),), s - first_null, nulls, None, tie))
-            else:
-                targets.append(Target((name, s), ((key, "known", None),), s - first_known, known, key, tie))
-    found = rows_at(keyed, targets, accuracy, sort_limit)
-
-    for name, (_, descending) in scores.items():
-        value, tie_col = F.col(f"_{name}"), F.col(tie)
-        tile = F.lit(1)
-        for s in starts:
-            by_value, tie_value = found[name, s]
-            if in_nulls[name, s]:
-                # ascending: only NULL rows can be past it; descending: every known value is
-                reached = F.when(value.isNull(), tie_col >= F.lit(tie_value)).otherwise(F.lit(descending))
-            else:
-                past = (value > F.lit(by_value)) | ((value == F.lit(by_value)) & (tie_col >= F.lit(tie_value)))
-                reached = F.when(value.isNull(), F.lit(not descending)).otherwise(past)
-            tile = tile + reached.cast("int")
-        keyed = keyed.withColumn(name, tile)
-    return keyed.drop(*[f"_{name}" for name in scores])
+        keys = [value.isNull() != F.lit(descending), -value if descending else value, F.col(tie)]
+        placed = with_position(df, keys)
+        df = placed.withColumn(name, tile_of(F.col(POSITION), total, tiles)).drop(POSITION)
+    return df
 
 
-def quantiles(
-    df: DataFrame,
-    column: str,
-    fractions: list[float],
-    accuracy: int = ACCURACY,
-    sort_limit: int = SORT_LIMIT,
-) -> list[float]:
+def quantiles(df: DataFrame, column: str, fractions: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation between neighbours; NULLs do not count."""
-    known = df.select(F.col(column).cast("double").alias("value"))
-    total = known.agg(F.count("value")).first()[0]
+    known = df.select(F.col(column).cast("double").alias("value")).filter("value is not null")
+    # equal values need no order among them: the hash only spreads them over the parts
+    placed = with_position(known, [F.col("value"), F.xxhash64(F.monotonically_increasing_id())])
+    total = known.count()
     if total == 0:
         raise ValueError(f"no values in {column!r}")
     positions = [p * (total - 1) for p in fractions]
     wanted = sorted({f(p) for p in positions for f in (floor, ceil)})
-    targets = [Target(i, (("value", "known", None),), i, total, "value", None) for i in wanted]
-    at = {i: value for i, (value, _) in rows_at(known, targets, accuracy, sort_limit).items()}
+    at = {r[POSITION]: r["value"] for r in placed.filter(F.col(POSITION).isin(wanted)).collect()}
     return [at[floor(p)] + (at[ceil(p)] - at[floor(p)]) * (p - floor(p)) for p in positions]

@@ -58,23 +58,20 @@ def snapshot_bounds(orders: DataFrame, horizon_days: int = HORIZON_DAYS) -> Data
 def customer_spans(
     orders: DataFrame,
     customers: DataFrame,
-    max_months: int = MAX_MONTHS,
+    max_months: int | None = MAX_MONTHS,
     horizon_days: int = HORIZON_DAYS,
 ) -> DataFrame:
     """First and last snapshot of each customer that has any.
 
     The grid is every month start in the bounds, at most ``max_months`` counted from
-    the month of the lower bound. A customer enters the grid with their first order.
+    the month of the lower bound (None: all). A customer enters the grid with their first order.
     """
     bounds = snapshot_bounds(orders, horizon_days)
+    last = month_floor(F.col("range_end"))
+    if max_months is not None:
+        last = F.least(last, month_floor(F.col("range_start")) + months(max_months - 1))
     limits = bounds.select(
-        F.struct(
-            month_ceil(F.col("range_start")).alias("first"),
-            F.least(
-                month_floor(F.col("range_end")),
-                month_floor(F.col("range_start")) + months(max_months - 1),
-            ).alias("last"),
-        ).alias("limits")
+        F.struct(month_ceil(F.col("range_start")).alias("first"), last.alias("last")).alias("limits")
     ).scalar()
     return (
         customers.filter(F.col("first_order_date").isNotNull())

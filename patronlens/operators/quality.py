@@ -8,11 +8,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.fixed_values import EVENT_TYPES, SEGMENTS, TICKET_STATUSES
-from patronlens.functions.values import count_where
 
 NOT_NULL, UNIQUE, ACCEPTED = "not_null", "unique", "accepted_values"
 
@@ -73,20 +72,37 @@ STANDARD_CHECKS: list[Check] = [
 ]
 
 
-def _result(df: DataFrame, check: Check, failures) -> DataFrame:
-    return df.select(
-        F.lit(check.table).alias("table_name"),
-        F.lit(check.column).alias("column_name"),
-        F.lit(check.test).alias("test"),
-        F.lit(check.severity).alias("severity"),
-        failures.alias("failures"),
-        (failures == 0).alias("passed"),
+def _findings(check: Check, number: int) -> Column:
+    """What a row adds to a check: a value to count, or NULL."""
+    value = F.col(check.column)
+    if check.test == NOT_NULL:
+        return F.when(value.isNull(), F.struct(F.lit(number).alias("check"), F.lit("").alias("value")))
+    finding = F.struct(F.lit(number).alias("check"), value.cast("string").alias("value"))
+    if check.test == UNIQUE:
+        return F.when(value.isNotNull(), finding)
+    return F.when(~value.isin(list(check.values)), finding)
+
+
+def _table_report(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """All checks of a table in one scan: findings are counted by check and value, then by check.
+
+    A NULL check counts rows, a unique check values that occur more than once, an
+    accepted-values check distinct foreign values; NULL passes the last two.
+    """
+    pairs = df.select(F.inline(F.array_compact(F.array(*[_findings(c, i) for i, c in enumerate(checks)]))))
+    counted = pairs.groupBy("check", "value").agg(F.count(F.lit(1)).alias("times"))
+    failures = {
+        NOT_NULL: F.sum("times"),
+        UNIQUE: F.sum(F.when(F.col("times") > 1, 1).otherwise(0)),
+        ACCEPTED: F.count(F.lit(1)),
+    }
+    own = counted.groupBy("check").agg(*[f.cast("long").alias(t) for t, f in failures.items()])
+    totals = own.agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("check") == i, F.col(c.test))), F.lit(0)).alias(f"n{i}")
+            for i, c in enumerate(checks)
+        ]
     )
-
-
-def _null_counts(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """All NULL counts of a table in one pass, turned into one row per check."""
-    counts = df.agg(*[count_where(F.col(c.column).isNull()).alias(f"n{i}") for i, c in enumerate(checks)])
     rows = [
         F.struct(
             F.lit(c.table).alias("table_name"),
@@ -98,35 +114,19 @@ def _null_counts(df: DataFrame, checks: list[Check]) -> DataFrame:
         )
         for i, c in enumerate(checks)
     ]
-    return counts.select(F.inline(F.array(*rows)))
-
-
-def _repeated_values(df: DataFrame, check: Check) -> DataFrame:
-    """Number of values that occur more than once; NULL passes."""
-    value = F.col(check.column)
-    repeated = df.filter(value.isNotNull()).groupBy(value).count().filter(F.col("count") > 1)
-    return _result(repeated.agg(F.count(F.lit(1)).alias("n")), check, F.col("n"))
-
-
-def _foreign_values(df: DataFrame, check: Check) -> DataFrame:
-    """Number of distinct values outside the list; NULL passes."""
-    value = F.col(check.column)
-    foreign = df.filter(~value.isin(list(check.values))).select(value).distinct()
-    return _result(foreign.agg(F.count(F.lit(1)).alias("n")), check, F.col("n"))
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def quality_report(tables: dict[str, DataFrame], checks: list[Check] | None = None) -> DataFrame:
-    """Run the checks; a NULL count costs one scan per table, the others one per column."""
+    """Run the checks: one scan and one two-level count for each table."""
     checks = STANDARD_CHECKS if checks is None else checks
-    parts = []
-    for name in dict.fromkeys(c.table for c in checks):
-        of_table = [c for c in checks if c.table == name]
-        not_null = [c for c in of_table if c.test == NOT_NULL]
-        if not_null:
-            parts.append(_null_counts(tables[name], not_null))
-        parts += [_repeated_values(tables[name], c) for c in of_table if c.test == UNIQUE]
-        parts += [_foreign_values(tables[name], c) for c in of_table if c.test == ACCEPTED]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _table_report(tables[name], [c for c in checks if c.table == name])
+            for name in dict.fromkeys(c.table for c in checks)
+        ],
+    )
 
 
 def require_passed(report: DataFrame) -> None:

@@ -10,19 +10,18 @@ from patronlens.operators.order_statistics import quantiles
 
 
 def latest_snapshot(panel: DataFrame) -> DataFrame:
-    """The newest row of each customer.
+    """The newest row of each customer; ``panel`` has one row per customer and date.
 
-    An aggregate over a struct: each task keeps one row per customer before the
-    shuffle, so a customer's history is never sorted.
+    A hash aggregate finds the newest date of each customer, then a semi-join keeps the
+    rows with it. Pass a stored table, as it is read twice.
     """
-    rest = [c for c in panel.columns if c not in ("customer_id", "snapshot_date")]
-    newest = F.max(F.struct("snapshot_date", *rest)).alias("newest")
-    return panel.groupBy("customer_id").agg(newest).select("customer_id", "newest.*")
+    newest = panel.groupBy("customer_id").agg(F.max("snapshot_date").alias("snapshot_date"))
+    return panel.join(newest, ["customer_id", "snapshot_date"], "left_semi").select(panel.columns)
 
 
-def band_edges(scored: DataFrame, **search) -> list[float]:
+def band_edges(scored: DataFrame) -> list[float]:
     """The two inner tercile edges of the probabilities."""
-    return quantiles(scored, "churn_probability", [1 / 3, 2 / 3], **search)
+    return quantiles(scored, "churn_probability", [1 / 3, 2 / 3])
 
 
 def risk_band(probability: Column, edges: list[float]) -> Column:
@@ -35,12 +34,12 @@ def risk_band(probability: Column, edges: list[float]) -> Column:
     )
 
 
-def with_risk_bands(scored: DataFrame, scored_at: Column | None = None, **search) -> DataFrame:
+def with_risk_bands(scored: DataFrame, scored_at: Column | None = None) -> DataFrame:
     """Add ``risk_band`` by terciles of the scores themselves, and ``scored_at``.
 
     Scans ``scored`` a few times to find the edges, so pass a stored table.
     """
-    edges = band_edges(scored, **search)
+    edges = band_edges(scored)
     when = F.current_timestamp().cast("timestamp_ntz") if scored_at is None else scored_at
     return scored.select(
         "customer_id",

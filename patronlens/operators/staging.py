@@ -13,7 +13,8 @@ def stage_invoices(raw_invoices: DataFrame) -> DataFrame:
     """Distinct typed invoice lines with a customer.
 
     The sheet is part of the line, so copies are removed within a sheet only. The
-    customer filter runs before the shuffle and copies collapse map-side.
+    customer filter runs before the shuffle. That is by invoice and customer, so removing
+    copies and the totals of each invoice need no other one.
     """
     number = F.col("InvoiceNo")
     return (
@@ -30,6 +31,7 @@ def stage_invoices(raw_invoices: DataFrame) -> DataFrame:
             F.col("source_sheet"),
             F.coalesce(F.substring(number, 1, 1) == "C", F.lit(False)).alias("is_cancelled"),
         )
+        .repartition("invoice_no", "customer_id")
         .distinct()
     )
 

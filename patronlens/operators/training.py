@@ -14,12 +14,14 @@ from patronlens.fixed_values import (
     HOLDOUT_FRACTION,
     LABEL_COLUMN,
     LEARNING_RATE,
+    PATIENCE,
     SEED,
     TREE_DEPTH,
     TREES,
 )
 from patronlens.operators.evaluation import class_weight, cutoff_date
 from patronlens.operators.panel import assert_no_leakage
+from patronlens.sources.storage import stash
 
 VALUE, MISSING = "__value", "__missing"
 
@@ -29,7 +31,7 @@ def model_columns(features: tuple[str, ...]) -> list[str]:
     return [f + suffix for f in features for suffix in (VALUE, MISSING)]
 
 
-def model_stages(features: tuple[str, ...], trees: int, validation_tolerance: float) -> Pipeline:
+def model_stages(features: tuple[str, ...], trees: int) -> Pipeline:
     columns = ", ".join(
         f"coalesce(cast({f} AS double), 0D) AS {f}{VALUE}, cast({f} IS NULL AS double) AS {f}{MISSING}"
         for f in features
@@ -42,8 +44,6 @@ def model_stages(features: tuple[str, ...], trees: int, validation_tolerance: fl
                 featuresCol="features_vector",
                 labelCol="label",
                 weightCol="row_weight",
-                validationIndicatorCol="is_validation",
-                validationTol=validation_tolerance,
                 maxIter=trees,
                 maxDepth=TREE_DEPTH,
                 stepSize=LEARNING_RATE,
@@ -58,13 +58,15 @@ def train(
     features: tuple[str, ...] = FEATURE_COLUMNS,
     trees: int = TREES,
     validation_fraction: float = HOLDOUT_FRACTION,
-    validation_tolerance: float = 0.0,
+    patience: int = PATIENCE,
 ) -> PipelineModel:
     """Fit the model on the training dates.
 
-    Positive rows weigh negatives / positives. Boosting stops once the loss on the
-    newest training dates stops falling, so the test dates stay unseen. Pass a stored
-    table: fitting reads it several times.
+    Positive rows weigh negatives / positives. ``trees`` rounds are fitted without the
+    newest training dates, on which the loss of every round is then taken; the test dates
+    stay unseen. The model keeps the rounds up to the best one, judged as if boosting had
+    ended when ``patience`` rounds in a row brought no lower loss. Pass a stored table:
+    fitting reads it several times.
     """
     assert_no_leakage(train_rows.select(*features))
     weight = class_weight(train_rows).first()["positive_weight"]
@@ -77,7 +79,24 @@ def train(
         F.when(positive, F.lit(float(weight))).otherwise(1.0).alias("row_weight"),
         (F.col("snapshot_date") >= cutoff_date(train_rows, validation_fraction)).alias("is_validation"),
     )
-    return model_stages(features, trees, validation_tolerance).fit(prepared)
+    prepared = stash(prepared, "training-rows")
+    fitted = prepared.filter("NOT is_validation")
+    model = model_stages(features, trees).fit(fitted)
+    held_out = PipelineModel(model.stages[:-1]).transform(prepared.filter("is_validation"))
+    best = best_round(model.stages[-1].evaluateEachIteration(held_out), patience)
+    # the same seed and rows give the same first trees
+    return model if best == trees else model_stages(features, best).fit(fitted)
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The number of rounds with the least loss, if rounds end after ``patience`` ones without a lower one."""
+    best = 0
+    for n, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = n
+        elif n - best >= patience:
+            break
+    return best + 1
 
 
 def model_features(model: PipelineModel) -> tuple[str, ...]:

@@ -28,7 +28,7 @@ class Warehouse:
     are needed next to the orders.
     """
 
-    def __init__(self, raw: RawInputs, max_months: int = MAX_MONTHS, store_lines: bool = False):
+    def __init__(self, raw: RawInputs, max_months: int | None = MAX_MONTHS, store_lines: bool = False):
         self.raw, self.max_months, self.store_lines = raw, max_months, store_lines
 
     @cached_property

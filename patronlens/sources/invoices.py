@@ -12,13 +12,15 @@ from patronlens.schemas import INVOICE_CSV
 def read_invoice_csvs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Scan one CSV location per sheet, ``{sheet: path}``, and union them by name.
 
-    The sheet name becomes ``source_sheet``. The scan has a declared schema, so no
-    inference pass runs over the files.
+    The sheet name becomes ``source_sheet``. Columns are found by their names in the
+    header, in any order; quoted texts may hold line ends (so a file is one split); a
+    value that is no number is an error, an empty one NULL. No inference pass runs.
     """
-    sheets = [
-        spark.read.schema(INVOICE_CSV).csv(path, header=True, escape='"').withColumn("source_sheet", F.lit(sheet))
-        for sheet, path in paths.items()
-    ]
+    sheets = []
+    for sheet, path in paths.items():
+        texts = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in INVOICE_CSV]
+        sheets.append(texts.select(*typed, F.lit(sheet).alias("source_sheet")))
     combined = sheets[0]
     for sheet in sheets[1:]:
         combined = combined.unionByName(sheet)

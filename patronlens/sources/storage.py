@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +30,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def has_few_splits(scan: DataFrame) -> bool:
-    """Whether a scan has fewer splits than the cluster has cores."""
-    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Spread the rows of a scan with few splits over all cores.
-
-    A small file with one row group is read by one task, and everything up to the next
-    shuffle would run there. A scan of real size has many splits and needs no shuffle,
-    so this is only for scans where ``has_few_splits`` holds.
-    """
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def land_raw(df: DataFrame, base_uri: str, table: str) -> str:
     """Write a raw table below ``base_uri`` (any Hadoop URI) under its fixed key."""
     return write_parquet(df, f"{base_uri.rstrip('/')}/{LANDING_KEYS[table]}")
@@ -106,20 +88,9 @@ def append_interventions(offers: DataFrame, path: str) -> None:
 # --- shared intermediate tables --------------------------------------------------------------
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``."""
+    """The folder all executors can reach: that of ``spark.checkpoint.dir``, else one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_scratch()
-
-
-@functools.cache
-def _local_scratch() -> str:
-    scratch = tempfile.TemporaryDirectory(prefix="patronlens-")
-    atexit.register(scratch.cleanup)
-    return scratch.name
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -28,8 +28,8 @@ from patronlens.sources.bindings import TestTables
 from patronlens.sources.storage import stash
 
 # The test events start after the month a 60-month grid ends, so queries that need
-# events use a longer grid; ``snapshot_dates`` keeps 60.
-LONG_GRID = 120
+# events use the whole grid within the bounds; ``snapshot_dates`` keeps 60.
+WHOLE_GRID = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -60,7 +60,7 @@ class BoundInputs:
 
 
 def _warehouse(
-    spark: SparkSession, folder: str, max_months: int = LONG_GRID, store_lines: bool = False
+    spark: SparkSession, folder: str, max_months: int | None = WHOLE_GRID, store_lines: bool = False
 ) -> Warehouse:
     return Warehouse(BoundInputs(_tables(spark, folder)), max_months, store_lines)
 
@@ -73,7 +73,7 @@ def query(build: Query) -> Query:
 def _warehouse_query(
     name: str,
     build: Callable[[Warehouse], DataFrame],
-    max_months: int = LONG_GRID,
+    max_months: int | None = WHOLE_GRID,
     store_lines: bool = False,
 ) -> None:
     _QUERIES[name] = lambda spark, folder: build(_warehouse(spark, folder, max_months, store_lines))
@@ -325,6 +325,18 @@ def raw_union(spark: SparkSession, folder: str) -> DataFrame:
     return invoices.read_invoice_csvs(spark, paths)
 
 
+@query
+def ingested_invoices(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ingest of CSV sheets with different column orders and line ends in texts."""
+    raw = bindings.raw_invoices(_tables(spark, folder)).filter("InvoiceDate <> 'not-a-date'")
+    raw = stash(raw.withColumn("Description", F.replace("Description", F.lit(" "), F.lit("\n"))), "raw-invoices")
+    paths, columns = {}, [c for c in raw.columns if c != "source_sheet"]
+    for sheet, order in (("a", columns), ("b", columns[::-1])):
+        paths[sheet] = storage.scratch_path(spark, f"sheet-{sheet}")
+        raw.filter(F.col("source_sheet") == sheet).select(order).write.csv(paths[sheet], header=True, escape='"')
+    return invoices.load_invoices(spark, paths, bindings.TARGET_YEAR)
+
+
 @query
 def landed_events(spark: SparkSession, folder: str) -> DataFrame:
     """Raw events landed under their fixed key and scanned with the declared schema."""
@@ -378,7 +390,7 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def explain_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Profile, explanation and offer of every customer as JSON, with the status of each."""
+    """Main fields of the profile, explanation and offer of every customer, with the status of each."""
     s = Scored(spark, folder, store_lines=True)
     valid = offers.first_valid(offers.accepted(s.checked))
     report = reporting.explain_report(s.warehouse.dim_customers, s.profiles, s.explanations, valid)

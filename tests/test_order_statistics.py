@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from patronlens.operators.order_statistics import quantiles, with_ntiles
 
-# Small limits, so that a few rows already take the narrowing rounds.
-SEARCH = {"accuracy": 20, "sort_limit": 3}
 values = st.one_of(st.none(), st.integers(-3, 3).map(float), st.floats(-1e6, 1e6, allow_subnormal=False))
 
 
@@ -22,7 +20,7 @@ def frame(spark, xs):
 @given(xs=st.lists(values, min_size=1, max_size=40), tiles=st.integers(2, 6))
 def test_ntiles_equal_the_window_function(spark, xs, tiles):
     df = frame(spark, xs)
-    got = with_ntiles(df, {"up": ("x", False), "down": ("x", True)}, "id", tiles, **SEARCH)
+    got = with_ntiles(df, {"up": ("x", False), "down": ("x", True)}, "id", tiles)
     up = Window.orderBy(F.col("x").asc_nulls_last(), "id")
     down = Window.orderBy(F.col("x").desc_nulls_first(), "id")
     wrong = got.join(
@@ -35,14 +33,14 @@ def test_ntiles_equal_the_window_function(spark, xs, tiles):
 @given(xs=st.lists(values, min_size=1, max_size=60).filter(lambda v: any(x is not None for x in v)))
 def test_quantiles_equal_numpy(spark, xs):
     fractions = [0.0, 1 / 3, 0.5, 2 / 3, 0.9, 1.0]
-    got = quantiles(frame(spark, xs), "x", fractions, **SEARCH)
+    got = quantiles(frame(spark, xs), "x", fractions)
     expected = np.quantile([x for x in xs if x is not None], fractions)
     assert got == pytest.approx(list(expected), rel=1e-12, abs=1e-9)
 
 
 def test_one_value_holding_most_rows(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(7).cast("double").alias("x"))
-    got = with_ntiles(df, {"t": ("x", False)}, "id", 5, accuracy=50, sort_limit=20)
+    got = with_ntiles(df, {"t": ("x", False)}, "id", 5)
     expected = df.select("id", F.ntile(5).over(Window.orderBy("x", "id")).alias("u"))
     assert got.join(expected, "id").filter("t <> u").count() == 0
     assert [r["n"] for r in got.groupBy("t").agg(F.count("*").alias("n")).collect()] == [1000] * 5

@@ -28,9 +28,9 @@ def test_no_cross_join_and_no_python(spark, name):
     assert "Python" not in plan and "InPandas" not in plan
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n != "roc_auc"])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in ("roc_auc", "rfm_segments", "dashboard_predictions", "interventions")])
 def test_no_window_without_partition(spark, name):
-    # roc_auc has one over its range parts: one row each
+    # the others have one over their range parts: one row each
     assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan_of(spark, name))
 
 
@@ -51,3 +51,15 @@ def test_columns_are_pruned(spark):
     lineitem = next(line for line in plan.splitlines() if "lineitem.parquet" in line)
     schema = lineitem[lineitem.index("ReadSchema") :]
     assert "l_tax" not in schema and "l_shipdate" not in schema and "l_suppkey" not in schema
+
+
+@pytest.mark.parametrize("name", ["latest_snapshot", "churn_feature_panel", "snapshot_dates", "candidate_products"])
+def test_rows_are_not_sorted_for_an_aggregate(spark, name):
+    assert "SortAggregate" not in plan_of(spark, name)
+
+
+def test_lines_are_shuffled_once(spark):
+    plan = plan_of(spark, "fct_orders")
+    # the only sort-based aggregate is over the few rows per invoice and country
+    lines = [x for x in plan.splitlines() if "Exchange hashpartitioning(invoice_no" in x]
+    assert len(lines) == 1 and "REPARTITION_BY_COL" in lines[0]

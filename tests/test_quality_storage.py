@@ -76,7 +76,8 @@ def test_landing_layout(spark, tmp_path):
 
 def test_shared_dir_follows_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    assert storage.shared_dir(spark) == (configured.rstrip("/") if configured else storage._local_scratch())
+    fallback = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+    assert storage.shared_dir(spark) == (configured.rstrip("/") if configured else fallback)
 
 
 def test_stash_keeps_rows_and_schema(spark):
@@ -87,7 +88,7 @@ def test_stash_keeps_rows_and_schema(spark):
 
 def test_publish_all_layers(spark):
     t = TestTables(spark, FOLDER)
-    w = Warehouse(RawInputs(bindings.raw_invoices(t), bindings.raw_events(t), bindings.raw_support_tickets(t)), max_months=120)
+    w = Warehouse(RawInputs(bindings.raw_invoices(t), bindings.raw_events(t), bindings.raw_support_tickets(t)), max_months=None)
     names = publish_all(w)
     assert set(names) == set(LAYERS)
     assert names["fct_orders"] == "core.fct_orders" and names["stg_events"] == "stg_stg_events"
