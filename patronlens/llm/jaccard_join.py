@@ -11,9 +11,10 @@ copies nor loses a link:
   with one leader for each minimum. Sets found similar form groups; an index list then has
   one entry for each group and block, not for each set, and pairs inside a group are never
   made.
-* Skipping by position. An index list is dealt by shingle; entries hold the most shingles
-  that follow the position and the sizes, and pairs of entries whose bound cannot reach
-  the needed overlap are skipped. So are pairs of groups with too few shared shingles.
+* Skipping by position. An index list is dealt by shingle; its blocks, one for each group,
+  hold the range of sizes and the most shingles from the position on. Blocks whose sizes
+  cannot match are skipped, and so are pairs of groups whose first shared position or
+  whose number of shared shingles leaves too few for the needed overlap.
 * Derived answers. For a remaining pair of groups first the leaders are compared. If they
   are not similar, |x - y| >= |p - q| - |x - p| - |y - q| (symmetric differences) tells
   which members cannot be similar either; only the other members are compared.
@@ -240,17 +241,18 @@ def _groups_that_may_link(entries: DataFrame, grouped: DataFrame) -> DataFrame:
     reach = (
         "x.shingle = y.shingle AND x.group < y.group"
         " AND 5 * x.most >= 4 * y.least AND 5 * y.most >= 4 * x.least"
-        " AND 9 * least(x.rest, y.rest) >= 4 * (x.least + y.least)"
     )
     shared = (
         lists.alias("x").join(lists.alias("y"), F.expr(reach))
         .groupBy(F.col("x.group").alias("a"), F.col("y.group").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.rest", "y.rest")).alias("rest"))
     )
     spans = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     return (
         shared.join(spans.toDF("a", "least_a", "most_a"), "a")
         .join(spans.toDF("b", "least_b", "most_b"), "b")
+        # all that two sets share follows their first shared shingle
+        .filter("9 * rest >= 4 * (least_a + least_b)")
         # beyond the prefixes at most ceil(0.8 n) - 1 shingles of a set can be shared
         .filter("9 * (shared + int((4 * greatest(most_a, most_b) + 4) / 5) - 1) >= 4 * (least_a + least_b)")
         .select("a", "b")
