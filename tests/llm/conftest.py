@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+for folder in Path(__file__).resolve().parents[:2]:
+    sys.path.insert(0, str(folder))
 
 SF = "/root/testdata/sf0.001"
 
