@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from patronlens.sources.storage import stash
 
-__all__ = ["arrow_pass", "components", "read", "stash", "text_rows"]
+__all__ = ["arrow_pass", "components", "in_small_batches", "read", "stash", "text_rows"]
+
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -23,6 +25,18 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python at most BATCH_BYTES and BATCH_ROWS at a time.
+
+    Texts vary from nothing to megabytes, and the standard 10,000 rows of 64 MB are copied
+    several times on their way; a single longer text is still sent whole.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def arrow_pass(
     df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]], schema: str
 ) -> DataFrame:
@@ -35,7 +49,7 @@ def arrow_pass(
                     [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns)
                 )
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from patronlens.llm.common import components, read, stash
+from patronlens.llm.common import components, in_small_batches, read, stash
 
 THRESHOLD = 0.98
 CELL_POINTS, BLOCK_POINTS = 1_024, 2_048  # points for each pivot, points of a block at most
@@ -258,7 +258,7 @@ def linked_points(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     right = blocks.select("label", "size", at.alias("at_y"), body.alias("y"))
     both = pairs.join(left, ["label", "size", "at_x"]).join(right, ["label", "size", "at_y"])
     both = both.select("x", "y", (F.col("at_x") == F.col("at_y")).alias("same"))
-    return stash(both.mapInArrow(_compare(threshold), "point long, links long, least long"), "links")
+    return stash(in_small_batches(both).mapInArrow(_compare(threshold), "point long, links long, least long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronlens.llm import words
-from patronlens.llm.common import arrow_pass, components, read, stash, text_rows
+from patronlens.llm.common import arrow_pass, components, in_small_batches, read, stash, text_rows
 
 WIDTH = 5
 FREQUENT = 4  # times in a task's share that make a shingle frequent there
@@ -117,7 +117,7 @@ def frequent_shingles(texts: DataFrame, width: int, least: int = FREQUENT, limit
         )
 
     rows = (
-        texts.select("text")
+        in_small_batches(texts.select("text"))
         .mapInArrow(run, "shingle long, times long")
         .groupBy("shingle")
         .agg(F.sum("times").alias("times"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm.common import arrow_pass, read, stash, text_rows
+from patronlens.llm.common import in_small_batches, read, stash, text_rows
 from patronlens.llm.tokens import encoded_slices, standard_tokenizer
 
 LENGTH = 1024
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                 )
             seen += len(own)
 
-    return text_rows(docs).mapInArrow(run, f"{PIECE}, salt long")
+    return in_small_batches(text_rows(docs)).mapInArrow(run, f"{PIECE}, salt long")
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patronlens.llm.common import read, stash
+from patronlens.llm.common import in_small_batches, read, stash
 
 K = 5
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4_096  # rows of a block; a score array has QUERY_ROWS * CANDIDATE_ROWS doubles
@@ -127,7 +127,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
         right.select(F.struct(*columns).alias("candidate"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("place"))
         .join(numbered.select("place", F.struct(*columns).alias("query")), "place")
     )
-    found = pairs.select("query", "candidate").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = in_small_batches(pairs.select("query", "candidate")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
