@@ -396,26 +396,34 @@ step(
 step(
     "proposals",
     ("passages",),
-    """SELECT doc_id AS customer_id, CAST(n + 1 AS INTEGER) AS attempt, doc_id AS offer_customer_id,
-              [0, 10, 15, 20, 5][(doc_id + n) % 5 + 1] AS discount_pct,
-              CASE WHEN (doc_id + n) % 7 = 6 THEN 'sms' WHEN (doc_id + n) % 2 = 0 THEN 'email' ELSE 'push' END AS channel,
-              CASE WHEN (doc_id + n) % 11 = 0 THEN 'none-such' ELSE CAST((doc_id + n) % 200 AS VARCHAR) END AS product_focus,
-              passage || CASE WHEN (doc_id + n) % 13 = 0 THEN ' call 555-123-4567' ELSE '' END AS messaging
+    """SELECT doc_id + (n // 3) * 1000000000 AS customer_id, CAST(n % 3 + 1 AS INTEGER) AS attempt,
+              CASE WHEN (doc_id + n) % 17 NOT IN (3, 5, 7) THEN doc_id + (n // 3) * 1000000000 END AS offer_customer_id,
+              CASE WHEN (doc_id + n) % 17 <> 3 THEN [0, 10, 15, 20, 5][(doc_id + n) % 5 + 1] END AS discount_pct,
+              CASE WHEN (doc_id + n) % 17 = 3 THEN NULL WHEN (doc_id + n) % 7 = 6 THEN 'sms'
+                   WHEN (doc_id + n) % 2 = 0 THEN 'email' ELSE 'push' END AS channel,
+              CASE WHEN (doc_id + n) % 17 IN (3, 5) THEN NULL WHEN (doc_id + n) % 11 = 0 THEN 'none-such'
+                   ELSE CAST((doc_id + n) % 200 AS VARCHAR) END AS product_focus,
+              CASE WHEN (doc_id + n) % 17 NOT IN (3, 5) THEN
+                  passage || CASE WHEN (doc_id + n) % 13 = 0 THEN ' call 555-123-4567' ELSE '' END END AS messaging,
+              (doc_id + n) % 17 <> 3 AS is_object
        FROM passages""",
 )
 step(
     "checked",
     ("proposals", "dim_products"),
-    r"""SELECT *, concat_ws(',',
+    r"""SELECT * EXCLUDE (is_object), CASE WHEN NOT is_object THEN 'malformed_json' ELSE concat_ws(',',
+              CASE WHEN offer_customer_id IS NULL THEN 'customer_id' END,
               CASE WHEN discount_pct NOT IN (0, 10, 15, 20) THEN 'discount_pct' END,
               CASE WHEN channel NOT IN ('email', 'push') THEN 'channel' END,
+              CASE WHEN product_focus IS NULL THEN 'product_focus' END,
               CASE WHEN product_focus NOT IN (SELECT product_id FROM dim_products) THEN 'unknown_product' END,
+              CASE WHEN messaging IS NULL THEN 'messaging_missing' END,
               CASE WHEN length(messaging) > 300 THEN 'messaging_length' END,
               CASE WHEN contains(lower(messaging), 'damn') OR contains(lower(messaging), 'hell')
                      OR contains(lower(messaging), 'crap') THEN 'profanity' END,
               CASE WHEN regexp_matches(messaging, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') THEN 'pii_email' END,
               CASE WHEN regexp_matches(messaging, '\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b') THEN 'pii_phone' END,
-              CASE WHEN regexp_matches(messaging, '\b(?:\d[ -]*?){13,16}\b') THEN 'pii_card' END) AS reasons
+              CASE WHEN regexp_matches(messaging, '\b(?:\d[ -]*?){13,16}\b') THEN 'pii_card' END) END AS reasons
         FROM proposals""",
 )
 step("validated", ("checked",), "SELECT * EXCLUDE (reasons) FROM checked WHERE reasons = ''")
@@ -654,6 +662,17 @@ def oracle_sql() -> dict[str, str]:
         "fixed_explanations",
         "product_blocks",
     )
+    out["offer_context_feedback"] = sql(
+        f"""SELECT p.customer_id, {PROFILE_JSON} AS profile_json, {EXPLANATION_JSON} AS explanation_json,
+                   products_block, replace(k.reasons, ',', ', ') AS feedback
+            FROM customer_profile p JOIN fixed_explanations e ON e.customer_id = p.customer_id
+            JOIN product_blocks b ON b.customer_id = p.customer_id
+            LEFT JOIN checked k ON k.customer_id = p.customer_id AND k.attempt = 1 AND k.reasons <> ''""",
+        "customer_profile",
+        "fixed_explanations",
+        "product_blocks",
+        "checked",
+    )
     out["validated_offers"] = table("validated")
     out["rejected_offers"] = sql("SELECT * FROM checked WHERE reasons <> ''", "checked")
     out["valid_product_focus"] = sql(
@@ -730,6 +749,11 @@ def oracle_sql() -> dict[str, str]:
            FROM raw_invoices WHERE "InvoiceDate" <> 'not-a-date'""",
         "raw_invoices",
     )
+    out["model_checks"] = sql(
+        """SELECT 'scored_customers' AS name, count(DISTINCT customer_id) AS n FROM snapshot_dates_120
+           UNION ALL SELECT unnest(['probability_out_of_range', 'loaded_model_differs', 'impacts_off_log_odds']), 0""",
+        "snapshot_dates_120",
+    )
     out["explain_report"] = sql(
         """SELECT c.customer_id, status, CASE WHEN status = 'ok' THEN segment END AS segment,
                   CASE WHEN status = 'ok' THEN churn_probability END AS churn_probability,

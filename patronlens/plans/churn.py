@@ -24,7 +24,11 @@ def train_and_evaluate(panel: DataFrame, trees: int = TREES) -> tuple[PipelineMo
     scored = stash(
         training.predict(model, newest).select("churn_probability", LABEL_COLUMN), "scored-test"
     )
-    return model, metric_rows(scored)
+    kept = model.stages[-1].getNumTrees
+    trees_row = newest.sparkSession.range(1).select(
+        F.lit("model trees").alias("metric"), F.lit("kept").alias("detail"), F.lit(float(kept)).alias("value")
+    )
+    return model, metric_rows(scored).unionByName(trees_row)
 
 
 def metric_rows(scored: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from patronlens.sources.invoices import shift_years
 TARGET_YEAR = 2024
 TOPICS = ("shipping", "product_quality", "billing", "returns", "other")
 PASSAGE_CHARS, LONG_PASSAGE_CHARS = 200, 400
+ATTEMPTS, REQUEST_STEP = 3, 1_000_000_000
 
 
 class TestTables:
@@ -127,23 +128,32 @@ def raw_support_tickets(t: TestTables) -> DataFrame:
 def proposals(t: TestTables) -> DataFrame:
     """Offer proposals cut from the documents: every passage of every text is one attempt.
 
-    A third of the documents is cut into passages that are too long for an offer.
+    Three passages in a row are the attempts of one request; the requests of a document
+    after its first have customer ids of their own. A third of the documents is cut into
+    passages that are too long for an offer. Some payloads are no JSON, lack fields or
+    hold one of the wrong type.
     """
     passages = F.when(F.col("doc_id") % 3 == 0, _passages(LONG_PASSAGE_CHARS)).otherwise(_passages(PASSAGE_CHARS))
     rows = t.documents.select("doc_id", F.posexplode(passages).alias("n", "passage"))
     mix = F.col("doc_id") + F.col("n")
     discounts = F.array(*[F.lit(d) for d in (0, 10, 15, 20, 5)])
-    payload = F.struct(
-        F.col("doc_id").alias("customer_id"),
+    customer = F.col("doc_id") + F.floor(F.col("n") / ATTEMPTS) * REQUEST_STEP
+    terms = [
         F.element_at(discounts, (mix % 5 + 1).cast("int")).alias("discount_pct"),
         F.when(mix % 7 == 6, "sms").when(mix % 2 == 0, "email").otherwise("push").alias("channel"),
+    ]
+    texts = [
         F.when(mix % 11 == 0, "none-such").otherwise(F.concat((mix % 200).cast("string"), F.lit(": x"))).alias("product_focus"),
         F.concat("passage", F.when(mix % 13 == 0, " call 555-123-4567").otherwise("")).alias("messaging"),
+    ]
+    payload = (
+        F.when(mix % 17 == 3, "no offer today")
+        .when(mix % 17 == 5, F.to_json(F.struct(*terms)))
+        .when(mix % 17 == 7, F.to_json(F.struct(F.lit("unknown").alias("customer_id"), *terms, *texts)))
+        .otherwise(F.to_json(F.struct(customer.alias("customer_id"), *terms, *texts)))
     )
     return rows.select(
-        F.col("doc_id").alias("customer_id"),
-        (F.col("n") + 1).alias("attempt"),
-        F.to_json(payload).alias("payload"),
+        customer.alias("customer_id"), (F.col("n") % ATTEMPTS + 1).alias("attempt"), payload.alias("payload")
     )
 
 

@@ -242,6 +242,16 @@ _scored_query(
     lambda s: offers.offer_context(s.profiles, s.explanations, _all_candidates(s.warehouse)),
     store_lines=True,
 )
+_scored_query(
+    "offer_context_feedback",
+    lambda s: offers.offer_context(
+        s.profiles,
+        s.explanations,
+        _all_candidates(s.warehouse),
+        offers.rejected(s.checked).filter("attempt = 1").select("customer_id", "reasons"),
+    ),
+    store_lines=True,
+)
 _scored_query("validated_offers", lambda s: offers.accepted(s.checked))
 _scored_query(
     "rejected_offers",
@@ -388,6 +398,37 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
     return churn.explain_latest(model, features)
 
 
+@query
+def model_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for any model: customers scored, and rows that break a rule (none).
+
+    The model is stored and loaded again; both score the latest snapshots, and the
+    explanation of every score must add up to its log-odds.
+    """
+    features = _stored_features(spark, folder)
+    model = training.train(evaluation.time_split(features)[0])
+    path = storage.scratch_path(spark, "model")
+    training.save_model(model, path)
+    loaded = training.load_model(path)
+    latest = stash(scoring.latest_snapshot(features), "latest")
+    parts = attribution.attribute(loaded, latest)
+    impacts = [F.col(c) for c in parts.columns if c.startswith("impact_")]
+    summed = parts.select("customer_id", sum(impacts, F.col("base_value")).alias("summed"))
+    first = training.predict(model, latest).select("customer_id", F.col("churn_probability").alias("p"))
+    again = training.predict(loaded, latest).select("customer_id", F.col("churn_probability").alias("again"))
+    rows = first.join(again, "customer_id", "full").join(summed, "customer_id", "full")
+    p = F.col("p")
+    broken = {
+        "probability_out_of_range": p.isNull() | (p < 0) | (p > 1),
+        "loaded_model_differs": ~p.eqNullSafe(F.col("again")),
+        "impacts_off_log_odds": F.coalesce(F.abs(F.log(p / (1 - p)) - F.col("summed")) > 1e-6, F.lit(True)),
+    }
+    counts = {"scored_customers": F.count(F.lit(1))} | {n: F.count(F.when(c, 1)) for n, c in broken.items()}
+    totals = rows.agg(*[c.alias(n) for n, c in counts.items()])
+    entries = [F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in counts]
+    return totals.select(F.inline(F.array(*entries)))
+
+
 @query
 def explain_report(spark: SparkSession, folder: str) -> DataFrame:
     """Main fields of the profile, explanation and offer of every customer, with the status of each."""
