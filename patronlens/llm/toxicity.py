@@ -194,8 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, max_term
     return lexicon
 
 
-def _curve(rows: DataFrame, lexicon: Lexicon, rounds: int = 25, ridge: float = 0.05) -> tuple[float, float]:
-    """Bias and slope of a logistic fit by Newton steps over the bounded sample."""
+def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
+    """Bias and slope of a logistic fit over the bounded sample."""
 
     def strengths(batch: pa.RecordBatch):
         yield {
@@ -204,12 +204,31 @@ def _curve(rows: DataFrame, lexicon: Lexicon, rounds: int = 25, ridge: float = 0
         }
 
     sample = np.array(arrow_pass(rows, strengths, "x double, y double").collect(), dtype=np.float64)
-    x, y = np.c_[np.ones(len(sample)), sample[:, 0]], sample[:, 1]
-    beta = np.array([-2.0, 2.0])
+    return logistic_fit(sample[:, 0], sample[:, 1])
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.5) -> tuple[float, float]:
+    """Bias and slope (never negative) of a logistic curve, by Newton steps that are halved until they help.
+
+    The ridge keeps the slope finite where the classes are apart.
+    """
+    x = np.c_[np.ones(len(x)), x]
+    beta = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * b @ b)
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(2)
-        beta = beta + np.linalg.solve(hessian, x.T @ (y - p) - ridge * beta)
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        gradient = x.T @ (p - y) + ridge * beta
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(2), gradient)
+        scale = 1.0
+        while loss(beta - scale * step) > loss(beta) and scale > 1e-6:
+            scale /= 2
+        beta = beta - scale * step
+        if np.abs(scale * step).max() < 1e-9:
+            break
     return float(beta[0]), float(max(beta[1], 0.0))
 
 

@@ -104,6 +104,17 @@ def test_exceptions_and_length():
     assert toxicity.Lexicon({}, ()).score("anything") < toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("gap,share", [(0.0, 0.1), (0.5, 0.1), (3.0, 0.02), (3.0, 0.5)])
+def test_the_curve_is_fitted_also_where_classes_are_apart(gap, share):
+    draw = np.random.default_rng(2)
+    y = (draw.random(12_000) < share).astype(float)
+    x = np.where(y == 1, gap + draw.random(12_000), 0.0)
+    bias, slope = toxicity.logistic_fit(x, y)
+    assert slope > 1 and abs(bias) < 30
+    p = 1 / (1 + np.exp(-(bias + slope * x)))
+    assert (p[x > 0.3] > toxicity.THRESHOLD).mean() > 0.9 and p[y == 0].max() < toxicity.THRESHOLD
+
+
 def test_toxicity_learns_from_training_rows(spark):
     draw = np.random.default_rng(1)
     docs, labels = [], []
