@@ -38,6 +38,7 @@ from patronlens.llm.common import arrow_pass, components, in_small_batches, read
 WIDTH = 5
 FREQUENT = 4  # times in a task's share that make a shingle frequent there
 FREQUENT_LIMIT = 200_000  # entries of the list of frequent shingles: 1.6 MB for each task
+MEMBERS = 64  # members of a group whose texts travel in one row
 MINIMA, BANDS, AGREEING = 16, 4, 10  # hash minima of a set, those used as keys, those that must agree with a leader
 _SALTS = words.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -259,28 +260,71 @@ def _groups_that_may_link(entries: DataFrame, grouped: DataFrame) -> DataFrame:
     )
 
 
-def _members_that_may_link(led: DataFrame, starred: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs of members of groups whose leaders aren't similar but may have similar members."""
+def _member_links(width: int):
+    """Linked pairs between the members of two blocks, of all pairs that known differences don't exclude."""
+
+    def side(members: list[dict]) -> list[tuple]:
+        sets = []
+        for _, hashes, bounds in shingle_sets(pa.array([m["text"] for m in members], pa.string()), width):
+            sets += [hashes[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+        return [(m["doc_id"], m["apart"], s) for m, s in zip(members, sets)]
+
+    def build(batch: pa.RecordBatch):
+        found = []
+        for pair in batch.to_pylist():
+            right = side(pair["members_b"])
+            for a, apart_a, x in side(pair["members_a"]):
+                for b, apart_b, y in right:
+                    sizes = len(x) + len(y)
+                    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)) or (a == pair["a"] and b == pair["b"]):
+                        continue
+                    # the triangle inequality; unknown distances exclude nothing
+                    if apart_a is not None and apart_b is not None and 9 * (pair["between"] - apart_a - apart_b) > sizes:
+                        continue
+                    if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * sizes:
+                        found.append((a, b))
+        yield {"a": np.array([a for a, _ in found], dtype=np.int64), "b": np.array([b for _, b in found], dtype=np.int64)}
+
+    return build
+
+
+def _links_of_members(led: DataFrame, starred: DataFrame, grouped: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Linked pairs (a, b) of members of groups whose leaders aren't similar but whose members may be.
+
+    Members travel in blocks of at most about MEMBERS texts: a row is a pair of blocks,
+    not a pair of documents.
+    """
+    # groups that other leaders connect by now need no comparison, nor have groups of one other members
+    joined = components(led.filter("linked").select("a", "b"))
+    several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    pairs = (
+        led.groupBy("a", "b").agg(F.min("apart").alias("between"), F.max("linked").alias("linked")).filter("NOT linked")
+        .join(joined.toDF("a", "whole_a"), "a", "left")
+        .join(joined.toDF("b", "whole_b"), "b", "left")
+        .filter("coalesce(whole_a, a) <> coalesce(whole_b, b)")
+        .join(several.toDF("a", "several_a"), "a", "left")
+        .join(several.toDF("b", "several_b"), "b", "left")
+        .filter("several_a IS NOT NULL OR several_b IS NOT NULL")
+        .select("a", "b", "between")
+    )
+    pairs = stash(pairs, "open-groups")
     known = starred.groupBy(F.col("b").alias("doc_id"), F.col("a").alias("group")).agg(F.max("apart").alias("apart"))
-    members = grouped.join(known, ["doc_id", "group"], "left").select(
-        "group", "doc_id", "n", F.expr("if(doc_id = group, 0, apart)").alias("apart")
+    open_groups = pairs.select(F.col("a").alias("group")).union(pairs.select("b")).distinct()
+    members = (
+        grouped.join(open_groups, "group").join(known, ["doc_id", "group"], "left")
+        .join(grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks")), "group")
+        .select("group", "doc_id", F.expr("if(doc_id = group, 0, apart)").alias("apart"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
     )
-    left = members.select(F.col("group").alias("group_a"), F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("apart").alias("apart_a"))
-    right = members.select(F.col("group").alias("group_b"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("apart").alias("apart_b"))
-    # a group of one has only its leader, whose answer is known
-    several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    open_pairs = led.groupBy(F.col("a").alias("group_a"), F.col("b").alias("group_b")).agg(
-        F.min("apart").alias("between"), F.max("linked").alias("linked")
-    ).filter("NOT linked")
-    a, b = several.select(F.col("group").alias("group_a"), F.lit(True).alias("several_a")), several.select(F.col("group").alias("group_b"), F.lit(True).alias("several_b"))
-    return (
-        open_pairs.join(a, "group_a", "left").join(b, "group_b", "left").filter("several_a OR several_b")
-        .join(left, "group_a").join(right, "group_b")
-        .filter("(a <> group_a OR b <> group_b) AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-        # the triangle inequality; unknown distances exclude nothing
-        .filter("coalesce(9 * (between - apart_a - apart_b) <= n_a + n_b, true)")
-        .select("a", "b")
+    members = stash(members, "open-members").filter("doc_id >= 0 OR doc_id < 0")
+    packed = (
+        members.join(texts, "doc_id")
+        .groupBy("group", "block")
+        .agg(F.collect_list(F.struct("doc_id", "apart", "text")).alias("members"))
     )
+    with _early_filters(pairs.sparkSession):
+        packed = stash(packed, "member-blocks").select("group", "members")
+    both = pairs.join(packed.toDF("a", "members_a"), "a").join(packed.toDF("b", "members_b"), "b")
+    return stash(arrow_pass(both, _member_links(width), "a long, b long"), "member-links")
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -315,8 +359,10 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         "shingle long, group long, least long, most long, rest long",
     )
     led = compare(_groups_that_may_link(entries, grouped), texts, width)
-    late = compare(_members_that_may_link(led, starred, grouped), texts, width)
-    found = linked.union(led.filter("linked").select("a", "b")).union(late.filter("linked").select("a", "b"))
+    away = grouped.filter("doc_id <> group").select(F.col("group").alias("a"), F.col("doc_id").alias("b")).distinct()
+    starred = starred.union(compare(away.join(starred, ["a", "b"], "left_anti"), texts, width))
+    late = _links_of_members(led, starred, grouped, texts, width)
+    found = linked.union(led.filter("linked").select("a", "b")).union(late)
     copies = placed.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = components(found.union(copies)).withColumnRenamed("node", "doc_id")
     return sets.join(whole, "doc_id", "left").select(

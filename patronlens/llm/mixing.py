@@ -26,7 +26,7 @@ from patronlens.llm.common import arrow_pass, read, stash
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK_ROWS, FAN_IN = 20_000, 1_000  # documents of a block, blocks that meet in a node of the tree
+BLOCK_ROWS, FAN_IN = 2_000, 1_000  # documents of a block, blocks that meet in a node of the tree
 
 
 def sizes(docs: DataFrame) -> DataFrame:
