@@ -15,7 +15,7 @@ import pyarrow as pa
 
 END = 2
 _CUT = re.compile(r"(?=[ \n]\S)")
-_REMEMBERED = 300_000
+_REMEMBERED = 1_200_000  # cuts a Python worker keeps: about 200 bytes each
 _TOGETHER = 256
 _encoders: dict[str, Encoder] = {}
 
@@ -34,7 +34,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.held = np.zeros(0, np.uint32), 0
         self.bounds = np.zeros(1, np.int64)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
@@ -54,27 +54,36 @@ class Encoder:
         single = self._encoded(cuts[len(plain) :])
         known = len(self.codes)
         self.codes.update(zip(cuts, range(known, known + len(cuts))))
-        self.ids = np.concatenate([self.ids, *ids, *single])
+        self._add(np.concatenate([*ids, *single]))
         lengths = np.concatenate([*lengths, np.array([len(x) for x in single], dtype=np.int64)]).astype(np.int64)
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
 
+    def _add(self, ids: np.ndarray) -> None:
+        """Append to the remembered ids, in room that doubles."""
+        end = self.held + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
+        self.ids[self.held : end] = ids
+        self.held = end
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as unsigned 32-bit integers, END after each text, and each text's bounds."""
         cuts = [_CUT.split(t) if t else [] for t in texts]
         if len(self.codes) > _REMEMBERED:
             self.forget()
         flat = [c for text in cuts for c in text]
-        new = set(flat) - self.codes.keys()
-        if new:
-            self._learn(list(new))
-        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        try:
+            codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        except KeyError:
+            self._learn(list(set(flat) - self.codes.keys()))
+            codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
         n_cuts = np.fromiter(map(len, cuts), np.int64, len(cuts))
         lengths = self.bounds[codes + 1] - self.bounds[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         where = np.arange(total) + np.repeat(self.bounds[codes] - ends + lengths, lengths)
         last = np.concatenate([[0], ends])[np.cumsum(n_cuts)]
-        ids = np.insert(self.ids[where].astype("<u4"), last, END)
+        ids = np.insert(self.ids[where], last, END).astype("<u4", copy=False)
         return ids, np.concatenate([[0], last + np.arange(1, len(cuts) + 1)])
 
 
