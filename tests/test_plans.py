@@ -53,7 +53,7 @@ def test_columns_are_pruned(spark):
     assert "l_tax" not in schema and "l_shipdate" not in schema and "l_suppkey" not in schema
 
 
-@pytest.mark.parametrize("name", ["latest_snapshot", "churn_feature_panel", "snapshot_dates", "candidate_products"])
+@pytest.mark.parametrize("name", ["latest_snapshot", "churn_feature_panel", "snapshot_dates"])
 def test_rows_are_not_sorted_for_an_aggregate(spark, name):
     assert "SortAggregate" not in plan_of(spark, name)
 
