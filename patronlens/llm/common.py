@@ -48,6 +48,8 @@ def arrow_pass(
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns)
                 )
+        # workers are used again by later tasks: give back what this one needed
+        pa.default_memory_pool().release_unused()
 
     return in_small_batches(df).mapInArrow(run, schema)
 

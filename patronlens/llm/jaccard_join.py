@@ -105,7 +105,7 @@ def frequent_shingles(texts: DataFrame, width: int, least: int = FREQUENT, limit
         for batch in batches:
             for _, hashes, _ in shingle_sets(batch.column("text"), width):
                 held.append(hashes)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield counted(held)
                 held = [np.zeros(0, np.uint64)]
         yield counted(held)

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 END = 2
 _CUT = re.compile(r"(?=[ \n]\S)")
-_REMEMBERED = 1_200_000  # cuts a Python worker keeps: about 200 bytes each
+_REMEMBERED = 600_000  # cuts a Python worker keeps: about 200 bytes each
 _TOGETHER = 256
 _encoders: dict[str, Encoder] = {}
 

@@ -53,7 +53,7 @@ _WORD = re.compile(r"[^\W_]+")
 _LETTERS = str.maketrans(LOOK_ALIKES)
 _SIGNS = str.maketrans(DIGITS)
 _SIGN, _LETTER = re.compile(r"[0-9@$!]"), re.compile(r"[^\W\d_]")
-_REMEMBERED = 300_000  # folded words that a worker keeps
+_REMEMBERED = 100_000  # folded words that a worker keeps
 _folded: dict[str, str] = {}
 
 
