@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,11 +39,17 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 
 def arrow_pass(
-    df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]], schema: str
+    df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]], schema: str, encodes: bool = False
 ) -> DataFrame:
-    """``mapInArrow`` of a function that yields columns by name for each batch."""
+    """``mapInArrow`` of a function that yields columns by name for each batch.
+
+    Unless it ``encodes`` tokens itself, a worker first drops what it remembers of encoding.
+    """
 
     def run(batches):
+        tokens = sys.modules.get("patronlens.llm.tokens")
+        if tokens and not encodes:
+            tokens.forget_encoders()
         for batch in batches:
             for columns in build(batch):
                 yield pa.RecordBatch.from_arrays(

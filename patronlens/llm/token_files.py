@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> str:
         .sortWithinPartitions("doc_id", "mark")
     )
     encoded = arrow_pass(
-        ordered.select("doc_id", "text"), _encode(tokenizer), "doc_id long, n_tokens long, ids array<int>"
+        ordered.select("doc_id", "text"), _encode(tokenizer), "doc_id long, n_tokens long, ids array<int>", encodes=True
     )
     encoded.write.options(**OPTIONS).parquet(path)
     return path

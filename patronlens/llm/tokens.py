@@ -94,6 +94,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Free what this Python worker remembers of encoding."""
+    _encoders.clear()
+
+
 def standard_tokenizer() -> str:
     import public_tokenizers
 
