@@ -2,7 +2,9 @@
 
 The byte-level tokenizer first splits a text into pieces and never joins pieces across
 white space that is followed by something else. So texts are cut there, and each distinct
-cut is encoded once and remembered; the ids are those of the whole text.
+cut is encoded once and remembered; the ids are those of the whole text. Strings of the
+tokenizer's added tokens in a text become those tokens, as the library does by default:
+they are split off first, and what lies between is encoded as if it were a text.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError(f"added tokens of {path} depend on the text around them")
+        self.markers = sorted((t.content for t in added), key=len, reverse=True)
+        self._marker = re.compile(f"({'|'.join(map(re.escape, self.markers))})")
         [self.line_end] = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
 
@@ -37,6 +43,11 @@ class Encoder:
         self.ids, self.held = np.zeros(0, np.uint32), 0
         self.bounds = np.zeros(1, np.int64)
 
+    def _cut(self, text: str) -> list[str]:
+        if not any(m in text for m in self.markers):
+            return _CUT.split(text)
+        return [c for part in self._marker.split(text) if part for c in _CUT.split(part)]
+
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
@@ -68,7 +79,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as unsigned 32-bit integers, END after each text, and each text's bounds."""
-        cuts = [_CUT.split(t) if t else [] for t in texts]
+        cuts = [self._cut(t) if t else [] for t in texts]
         if len(self.codes) > _REMEMBERED:
             self.forget()
         flat = [c for text in cuts for c in text]

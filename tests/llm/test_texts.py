@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import functools
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -150,6 +152,33 @@ def test_cut_texts_have_the_ids_of_whole_ones(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [w.ids + [tokens.END] for w in whole]
 
 
+MARKER = "<|endoftext|>"
+
+
+@functools.cache
+def library():
+    """The tokenizer as its file gives it, not the one that the encoder holds."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.standard_tokenizer())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([MARKER, "<|endof", "text|>", "a", "b", " ", "  ", "\n", "\t", "é", "."]), max_size=12).map("".join), max_size=4))
+def test_markers_in_texts_have_the_ids_of_the_library(texts):
+    whole = [library().encode(t, add_special_tokens=False).ids + [tokens.END] for t in texts]
+    ids, bounds = tokens.encoder(tokens.standard_tokenizer()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == whole
+
+
+def test_a_marker_is_one_token():
+    texts = [f"a {MARKER} b", f"a   {MARKER}b", MARKER * 2, f"x\n\n{MARKER}", "plain text"]
+    ids, bounds = tokens.encoder(tokens.standard_tokenizer()).encode(texts)
+    found = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert found[0] == [64, 220, 50256, 275, tokens.END] and found[1] == [64, 220, 220, 220, 50256, 65, tokens.END]
+    assert found[2] == [50256, 50256, tokens.END] and 50256 not in found[4]
+
+
 def test_queries_on_the_smallest_tables(spark):
     rows = [(r.doc_id, r.text) for r in common.read(spark, SF, "documents").collect()]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op2(spark, SF).collect()}
