@@ -47,6 +47,7 @@ MAX_TERMS = 4_000
 PREFIXES = (4, 5, 6)
 SURPRISE = 11.0  # least log likelihood ratio of a term
 LEAST_WEIGHT = 2.5
+SEED_WEIGHT = 4.0  # at least, of a starting term that no clean labelled text holds
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W_]+")
@@ -186,11 +187,15 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, max_term
     for term in SEED_TERMS:
         t, c = seeds.get(term, (0, 0))
         prior = math.log((t + 3) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+        if c == 0:  # no label speaks against the term
+            prior = max(prior, SEED_WEIGHT)
         if prior >= LEAST_WEIGHT:
             weights.setdefault(term, min(prior, 6.0))
     lexicon = Lexicon(weights)
     if n_toxic and n_clean:
-        lexicon.bias, lexicon.slope = _curve(rows, lexicon)
+        bias, slope = _curve(rows, lexicon)
+        if slope > 0:  # else no term tells the sample's classes apart, and the starting curve stays
+            lexicon.bias, lexicon.slope = bias, slope
     return lexicon
 
 

@@ -143,6 +143,22 @@ def test_toxicity_of_odd_tables(spark, odd_docs, no_docs):
         assert all(r.row.group == "x" for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["none", "held out", "balanced", "balanced, one seed"])
+def test_the_starting_lexicon_without_evidence(spark, kind):
+    texts = [f"w{i} w{i + 1} w{i + 2} and so on" for i in range(40)] + ["you stupid idiot", "you stup1d m0ron over there"]
+    if kind == "balanced, one seed":
+        texts[1] += " scum"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {r.doc_id for r in docs.filter(toxicity.held_out(F.col("doc_id"))).collect()}
+    free = [i for i in range(1, 40) if i not in held]
+    rows = {"none": [], "held out": [(i, i % 2) for i in held]}.get(kind, [(i, n % 2 ^ 1) for n, i in enumerate(free[: len(free) // 2 * 2])])
+    lexicon = toxicity.learn(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    assert set(toxicity.SEED_TERMS) <= set(lexicon.weights)
+    assert all(lexicon.score(t) >= toxicity.THRESHOLD for t in texts[40:])
+    if kind != "balanced, one seed":
+        assert all(lexicon.score(t) < toxicity.THRESHOLD for t in texts[:40])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab1 \n\t.'é　\x85\x1c", max_size=25)), max_size=4))
 def test_cut_texts_have_the_ids_of_whole_ones(texts):
