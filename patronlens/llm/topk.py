@@ -122,7 +122,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     columns = ["ids", "rows", "terms", "weights"]
     # every block of one side with every block of the other: bounded blocks, not rows, and one join key
     n = left.count()
-    numbered = left.withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)
+    places = left.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)  # block numbers only
+    numbered = left.join(places, "block")
     pairs = (
         right.select(F.struct(*columns).alias("candidate"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("place"))
         .join(numbered.select("place", F.struct(*columns).alias("query")), "place")

@@ -115,6 +115,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch, k):
     assert topk.top_k(part.limit(0), part, k).count() == topk.top_k(part, part.limit(0), k).count() == 0
 
 
+def test_only_block_numbers_meet_the_window_without_a_partition(spark):
+    part = topk.integer_rows(spark.createDataFrame(odd_vectors(), VECTORS))
+    lines = topk.top_k(part, part)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "Window [row_number() windowspecdefinition(block#" in line]
+    assert below and not any(c in line for line in below for c in ("ids#", "rows#", "terms#", "weights#"))
+
+
 def test_conversations_collapse_to_the_longest(spark):
     turns = ["hi", "hello", "bye", "ok"]
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", turns[t]) for c, n in ((1, 2), (2, 4), (3, 3), (4, 4)) for t in range(n)]
