@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 from patronlens.llm import (
+    centroids,
     chat,
     embedding_dedup,
+    hidden_markov,
+    infill,
     jaccard_join,
     mixing,
     packing,
@@ -29,6 +32,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8,
         "op9_warc": warc.op9,
         "op10_top_k": topk.op10,
+        "op11_fill_in_middle": infill.op11,
+        "op12_centroids": centroids.op12,
+        "op13_hidden_markov": hidden_markov.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -38,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_dedup": embedding_dedup.ORACLE,
         "op3_chat_format": chat.ORACLE,
         "op10_top_k": topk.ORACLE,
+        "op11_fill_in_middle": infill.ORACLE,
+        "op12_centroids": centroids.ORACLE,
     }
