@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronlens.fixed_values import TOP_FEATURES
-from patronlens.operators.training import model_columns, model_features
-from patronlens.sources.storage import scratch_path
+from patronlens.operators.training import model_columns, model_features, tree_nodes
 
 ROWS_PER_STEP = 256
 
@@ -79,26 +78,7 @@ def _tables(value: np.ndarray, share: np.ndarray) -> np.ndarray:
 def leaf_groups(spark: SparkSession, model: PipelineModel) -> tuple[list[LeafGroup], float]:
     """Lookup tables and base value. Reads one small row per tree node."""
     gbt = model.stages[-1]
-    path = scratch_path(spark, "trees")
-    gbt.save(path)
-    node = F.col("nodeData")
-    rows = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            "treeID",
-            node["id"],
-            node["prediction"],
-            node["impurityStats"][0],
-            node["leftChild"],
-            node["rightChild"],
-            node["split"]["featureIndex"],
-            F.when(node["leftChild"] >= 0, node["split"]["leftCategoriesOrThreshold"][0]),
-        )
-        .collect()
-    )
-    trees: dict[int, dict[int, tuple]] = {}
-    for tree, node_id, *rest in rows:
-        trees.setdefault(tree, {})[node_id] = tuple(rest)
+    trees = tree_nodes(spark, gbt)
     base, by_size = 0.0, {}
     for tree, nodes in trees.items():
         # the probability is 1 / (1 + exp(-2 F)), so log-odds are 2 F

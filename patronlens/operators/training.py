@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patronlens.fixed_values import (
@@ -21,8 +25,9 @@ from patronlens.fixed_values import (
 )
 from patronlens.operators.evaluation import class_weight, cutoff_date
 from patronlens.operators.panel import assert_no_leakage
-from patronlens.sources.storage import stash
+from patronlens.sources.storage import scratch_path, stash
 
+SCORE_CELLS = 1 << 20  # for the AUC of a round; scores in a cell count as equal
 VALUE, MISSING = "__value", "__missing"
 
 
@@ -60,12 +65,23 @@ def train(
     validation_fraction: float = HOLDOUT_FRACTION,
     patience: int = PATIENCE,
 ) -> PipelineModel:
-    """Fit the model on the training dates.
+    """The model of ``train_rounds`` alone."""
+    return train_rounds(train_rows, features, trees, validation_fraction, patience)[0]
+
+
+def train_rounds(
+    train_rows: DataFrame,
+    features: tuple[str, ...] = FEATURE_COLUMNS,
+    trees: int = TREES,
+    validation_fraction: float = HOLDOUT_FRACTION,
+    patience: int = PATIENCE,
+) -> tuple[PipelineModel, list[float]]:
+    """Fit the model on the training dates; also the AUC of every round.
 
-    Positive rows weigh negatives / positives. ``trees`` rounds are fitted without the
-    newest training dates, on which the loss of every round is then taken; the test dates
-    stay unseen. The model keeps the rounds up to the best one, judged as if boosting had
-    ended when ``patience`` rounds in a row brought no lower loss. Pass a stored table:
+    Positive rows weigh negatives / positives. ``trees`` rounds are fitted once, without the
+    newest training dates, on which the AUC of every round is then taken; the test dates
+    stay unseen. The model is cut to the rounds up to the best one, judged as if boosting
+    had ended when ``patience`` rounds in a row brought no higher AUC. Pass a stored table:
     fitting reads it several times.
     """
     assert_no_leakage(train_rows.select(*features))
@@ -82,10 +98,8 @@ def train(
     prepared = stash(prepared, "training-rows")
     fitted = prepared.filter("NOT is_validation")
     model = model_stages(features, trees).fit(fitted)
-    held_out = PipelineModel(model.stages[:-1]).transform(prepared.filter("is_validation"))
-    best = best_round(model.stages[-1].evaluateEachIteration(held_out), patience)
-    # the same seed and rows give the same first trees
-    return model if best == trees else model_stages(features, best).fit(fitted)
+    aucs = round_aucs(model, prepared.filter("is_validation"))
+    return cut(model, best_round([-auc for auc in aucs], patience)), aucs
 
 
 def best_round(losses: list[float], patience: int) -> int:
@@ -99,6 +113,104 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
+def cut(model: PipelineModel, trees: int) -> PipelineModel:
+    """The model with its first ``trees`` trees only; nothing is fitted again."""
+    gbt = model.stages[-1]
+    if trees >= gbt.getNumTrees:
+        return model
+    context = SparkSession.active().sparkContext
+    jvm, whole = context._jvm, gbt._java_obj
+    kept = context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, trees)
+    weights = context._gateway.new_array(jvm.double, trees)
+    for n, (tree, weight) in enumerate(zip(list(whole.trees())[:trees], whole.treeWeights())):
+        kept[n], weights[n] = tree, weight
+    smaller = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        whole.uid(), kept, weights, whole.numFeatures(), whole.numClasses()
+    )
+    params = whole.extractParamMap()
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel._from_java(smaller.copy(params))])
+
+
+def tree_nodes(spark: SparkSession, gbt: GBTClassificationModel) -> dict[int, dict[int, tuple]]:
+    """Of each tree and node: prediction, cover, children, feature and threshold. One small row per node."""
+    path = scratch_path(spark, "trees")
+    gbt.save(path)
+    node = F.col("nodeData")
+    rows = (
+        spark.read.parquet(f"{path}/data")
+        .select(
+            "treeID",
+            node["id"],
+            node["prediction"],
+            node["impurityStats"][0],
+            node["leftChild"],
+            node["rightChild"],
+            node["split"]["featureIndex"],
+            F.when(node["leftChild"] >= 0, node["split"]["leftCategoriesOrThreshold"][0]),
+        )
+        .collect()
+    )
+    trees: dict[int, dict[int, tuple]] = {}
+    for tree, node_id, *rest in rows:
+        trees.setdefault(tree, {})[node_id] = tuple(rest)
+    return trees
+
+
+def margins_by_round(trees: list[dict[int, tuple]], weights: list[float], x: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows' sums of weighted predictions after each tree."""
+    total = np.zeros(len(x))
+    for nodes, weight in zip(trees, weights):
+        ids = sorted(nodes)
+        value, left, right, column, threshold = (
+            np.array([nodes[i][k] if nodes[i][k] is not None else -1 for i in ids]) for k in (0, 2, 3, 4, 5)
+        )
+        at = np.zeros(len(x), np.int64)
+        while (inner := left[at] >= 0).any():
+            goes_left = x[np.arange(len(x)), np.maximum(column[at], 0).astype(np.int64)] <= threshold[at]
+            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+        total = total + weight * value[at]
+        yield total
+
+
+def round_aucs(model: PipelineModel, rows: DataFrame, label: str = "label") -> list[float]:
+    """The AUC of the first 1, 2, ... trees on ``rows``; 0.5 where they hold one class only.
+
+    Each task adds up its rows by round and score cell; the counts of all tasks are then
+    summed and ranked round by round. A round has at most SCORE_CELLS cells, so no task
+    grows with the rows.
+    """
+    gbt = model.stages[-1]
+    by_tree = tree_nodes(rows.sparkSession, gbt)
+    trees, weights = [by_tree[n] for n in sorted(by_tree)], gbt.treeWeights
+    columns = model_columns(model_features(model))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            positive = batch["label"].to_numpy() == 1
+            x = batch[columns].to_numpy(dtype=float)
+            for n, margin in enumerate(margins_by_round(trees, weights, x)):
+                p = 1.0 / (1.0 + np.exp(-2.0 * margin))
+                cell, at = np.unique((p * SCORE_CELLS).astype(np.int64), return_inverse=True)
+                counts = [np.bincount(at[k], minlength=len(cell)) for k in (positive, ~positive)]
+                yield pd.DataFrame({"round": n, "cell": cell, "positives": counts[0], "negatives": counts[1]})
+
+    prepared = model.stages[0].transform(rows).select(*columns, F.col(label).alias("label"))
+    counted = prepared.mapInPandas(run, "round int, cell long, positives long, negatives long")
+    cells = counted.groupBy("round", "cell").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    lower = Window.partitionBy("round").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("negatives").over(lower), F.lit(0))
+    won = F.sum(F.col("positives").cast("double") * (F.col("below") + F.col("negatives") / 2))
+    pairs = F.sum("positives").cast("double") * F.sum("negatives")
+    aucs = (
+        cells.withColumn("below", below)
+        .groupBy("round")
+        .agg(F.when(pairs > 0, won / pairs).otherwise(0.5).alias("auc"))
+        .collect()
+    )
+    found = {r["round"]: r["auc"] for r in aucs}
+    return [found.get(n, 0.5) for n in range(len(trees))]
+
+
 def model_features(model: PipelineModel) -> tuple[str, ...]:
     """The raw features, as stored with the model."""
     inputs = model.stages[1].getInputCols()

@@ -9,26 +9,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.fixed_values import LABEL_COLUMN, TREES
-from patronlens.operators import attribution, evaluation, scoring, training
+from patronlens.operators import attribution, boosting, evaluation, scoring, training
 from patronlens.sources.storage import stash
 
 
 def train_and_evaluate(panel: DataFrame, trees: int = TREES) -> tuple[PipelineModel, DataFrame]:
     """Fit on the older dates and report on the newest: (model, metric rows).
 
+    Besides the model's metrics the rows hold the validation AUC of every round, and the
+    test AUC and kept trees of the boosted trees that learn where missing values go.
     ``panel`` should be a stored table; published panels are partitioned by date, so
     the split reads only its own partitions.
     """
     older, newest = evaluation.time_split(panel)
-    model = training.train(older, trees=trees)
+    older = stash(older, "train-dates")
+    model, aucs = training.train_rounds(older, trees=trees)
     scored = stash(
         training.predict(model, newest).select("churn_probability", LABEL_COLUMN), "scored-test"
     )
-    kept = model.stages[-1].getNumTrees
-    trees_row = newest.sparkSession.range(1).select(
-        F.lit("model trees").alias("metric"), F.lit("kept").alias("detail"), F.lit(float(kept)).alias("value")
+    booster = boosting.train(older, trees=trees)
+    other = boosting.predict(booster, newest).select("churn_probability", LABEL_COLUMN)
+    rows = [("model trees", "kept", float(model.stages[-1].getNumTrees))]
+    rows += [("validation roc_auc", f"round {n}", auc) for n, auc in enumerate(aucs, 1)]
+    rows += [("missing-aware model trees", "kept", float(len(booster.trees)))]
+    rows += [("missing-aware model validation roc_auc", f"round {n}", auc) for n, auc in enumerate(booster.aucs, 1)]
+    other_auc = evaluation.roc_auc(other).select(
+        F.lit("missing-aware model ranking roc_auc").alias("metric"), F.lit("all").alias("detail"), F.col("roc_auc").alias("value")
     )
-    return model, metric_rows(scored).unionByName(trees_row)
+    rounds = newest.sparkSession.createDataFrame(rows, "metric string, detail string, value double")
+    return model, metric_rows(scored).unionByName(rounds).unionByName(other_auc)
 
 
 def metric_rows(scored: DataFrame) -> DataFrame:
