@@ -433,6 +433,26 @@ step(
     """SELECT * FROM validated WHERE attempt <= 3
        QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY attempt) = 1""",
 )
+step(
+    "answers",
+    ("checked",),
+    """SELECT customer_id, attempt, bool_or(reasons = '') AS accepted, min(replace(reasons, ',', ', ')) AS feedback
+       FROM checked GROUP BY customer_id, attempt""",
+)
+step(
+    "asked",
+    ("answers", "dim_customers"),
+    """SELECT customer_id, CAST(1 AS INTEGER) AS attempt, CAST(NULL AS VARCHAR) AS feedback FROM dim_customers
+       UNION ALL
+       SELECT d.customer_id, 2, coalesce(a.feedback, 'no_answer')
+       FROM dim_customers d LEFT JOIN answers a ON a.customer_id = d.customer_id AND a.attempt = 1
+       WHERE NOT coalesce(a.accepted, false)
+       UNION ALL
+       SELECT d.customer_id, 3, coalesce(b.feedback, 'no_answer')
+       FROM dim_customers d LEFT JOIN answers a ON a.customer_id = d.customer_id AND a.attempt = 1
+       LEFT JOIN answers b ON b.customer_id = d.customer_id AND b.attempt = 2
+       WHERE NOT coalesce(a.accepted, false) AND NOT coalesce(b.accepted, false)""",
+)
 step(
     "outcomes",
     ("high_risk", "rfm_segments", "first_valid"),
@@ -755,17 +775,52 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_dates_120",
     )
     out["explain_report"] = sql(
-        """SELECT c.customer_id, status, CASE WHEN status = 'ok' THEN segment END AS segment,
-                  CASE WHEN status = 'ok' THEN churn_probability END AS churn_probability,
-                  CASE WHEN status = 'ok' THEN product_focus END AS product_focus
-           FROM (SELECT d.customer_id, p.segment, s.churn_probability, f.product_focus,
-                        CASE WHEN p.customer_id IS NULL THEN 'no_profile' WHEN s.customer_id IS NULL THEN 'no_panel_row'
-                             WHEN f.customer_id IS NULL THEN 'no_valid_offer' ELSE 'ok' END AS status
-                 FROM dim_customers d LEFT JOIN customer_profile p USING (customer_id)
-                 LEFT JOIN scored_latest s USING (customer_id) LEFT JOIN first_valid f USING (customer_id)) c""",
+        f"""SELECT customer_id, status, CASE WHEN status = 'ok' THEN profile_json END AS profile_json,
+                   CASE WHEN status = 'ok' THEN explanation_json END AS explanation_json,
+                   CASE WHEN status = 'ok' THEN offer_customer_id END AS offer_customer_id,
+                   CASE WHEN status = 'ok' THEN attempt END AS attempt,
+                   CASE WHEN status = 'ok' THEN discount_pct END AS discount_pct,
+                   CASE WHEN status = 'ok' THEN channel END AS channel,
+                   CASE WHEN status = 'ok' THEN product_focus END AS product_focus,
+                   CASE WHEN status = 'ok' THEN messaging END AS messaging
+            FROM (SELECT d.customer_id, p.profile_json, e.explanation_json, f.* EXCLUDE (customer_id),
+                         CASE WHEN p.customer_id IS NULL THEN 'no_profile' WHEN e.customer_id IS NULL THEN 'no_panel_row'
+                              WHEN f.customer_id IS NULL THEN 'no_valid_offer' ELSE 'ok' END AS status
+                  FROM dim_customers d
+                  LEFT JOIN (SELECT customer_id, {PROFILE_JSON} AS profile_json FROM customer_profile p) p
+                      ON p.customer_id = d.customer_id
+                  LEFT JOIN (SELECT customer_id, {EXPLANATION_JSON} AS explanation_json FROM fixed_explanations e) e
+                      ON e.customer_id = d.customer_id
+                  LEFT JOIN first_valid f ON f.customer_id = d.customer_id)""",
         "dim_customers",
         "customer_profile",
-        "scored_latest",
+        "fixed_explanations",
+        "first_valid",
+    )
+    out["retry_requests"] = sql(
+        f"""SELECT p.customer_id, a.attempt, {PROFILE_JSON} AS profile_json, {EXPLANATION_JSON} AS explanation_json,
+                   products_block, a.feedback
+            FROM customer_profile p JOIN fixed_explanations e ON e.customer_id = p.customer_id
+            JOIN product_blocks b ON b.customer_id = p.customer_id JOIN asked a ON a.customer_id = p.customer_id""",
+        "customer_profile",
+        "fixed_explanations",
+        "product_blocks",
+        "asked",
+    )
+    out["retention_outcomes"] = sql(
+        f"""SELECT h.customer_id, h.snapshot_date, h.churn_probability,
+                   CASE WHEN p.customer_id IS NULL THEN 'no_profile' WHEN e.customer_id IS NULL THEN 'no_panel_row'
+                        WHEN f.customer_id IS NULL THEN 'no_valid_offer' ELSE 'succeeded' END AS status,
+                   CASE WHEN p.customer_id IS NOT NULL AND e.customer_id IS NOT NULL THEN coalesce(f.attempt, 3) END AS attempts,
+                   CASE WHEN p.customer_id IS NOT NULL THEN e.explanation_json END AS explanation_json,
+                   f.discount_pct, f.channel, f.product_focus, f.messaging
+            FROM high_risk h LEFT JOIN customer_profile p ON p.customer_id = h.customer_id
+            LEFT JOIN (SELECT customer_id, {EXPLANATION_JSON} AS explanation_json FROM fixed_explanations e) e
+                ON e.customer_id = h.customer_id
+            LEFT JOIN first_valid f ON f.customer_id = h.customer_id AND p.customer_id IS NOT NULL AND e.customer_id IS NOT NULL""",
+        "high_risk",
+        "customer_profile",
+        "fixed_explanations",
         "first_valid",
     )
     return out

@@ -149,7 +149,6 @@ def offer_context(
 
 # --- validation ------------------------------------------------------------------------------
 
-SALTS = 32
 _WHOLE_NUMBER = r"^[+-]?\d+(\.0+)?$"
 
 
@@ -213,19 +212,12 @@ def message_problems(message: Column) -> list[Column]:
 def check_offers(proposals: DataFrame, products: DataFrame) -> DataFrame:
     """Every proposal with the array of rules it breaks; empty means accepted.
 
-    Distinct product ids are looked up; the answers go back by id and salt, so a product
-    that many proposals name is spread over SALTS tasks, and proposals without one over more.
+    Payloads are parsed once, and products join with their ids only. Spark sends the ids to
+    every task where they are small; else its join splits the rows of a product that many
+    proposals name, and of those that name none.
     """
-    parsed = parse_proposals(proposals)
-    named = parsed.select("product_focus").filter("product_focus is not null").distinct()
-    known = (
-        named.join(products, F.col("product_focus") == F.col("product_id"), "left_semi")
-        .withColumn("known", F.lit(True))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    )
-    row = F.xxhash64("customer_id", "attempt")
-    salt = F.pmod(row, F.when(F.col("product_focus").isNull(), F.lit(SALTS * SALTS)).otherwise(F.lit(SALTS)))
-    parsed = parsed.withColumn("salt", salt.cast("long")).join(known, ["product_focus", "salt"], "left")
+    known = products.select(F.col("product_id").alias("product_focus"), F.lit(True).alias("known"))
+    parsed = parse_proposals(proposals).join(known, "product_focus", "left")
     ok_object = F.col("is_object")
     field_rules = [
         F.when(F.col("offer_customer_id").isNull(), "customer_id"),

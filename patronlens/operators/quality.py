@@ -5,13 +5,15 @@ Result rows: ``table_name, column_name, test, severity, failures, passed``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patronlens.fixed_values import EVENT_TYPES, SEGMENTS, TICKET_STATUSES
+from patronlens.functions.values import count_where
 
 NOT_NULL, UNIQUE, ACCEPTED = "not_null", "unique", "accepted_values"
 
@@ -135,3 +137,29 @@ def require_passed(report: DataFrame) -> None:
     if failed:
         names = ", ".join(f"{r.table_name}.{r.column_name} {r.test} ({r.failures})" for r in failed)
         raise ValueError(f"data-quality checks failed: {names}")
+
+
+def watched(df: DataFrame, checks: list[Check]) -> tuple[DataFrame, Callable[[], dict[Check, int]]]:
+    """``df`` that takes its not_null and accepted_values checks while it is written, without a scan of its own.
+
+    The second value is called after the write: it returns the rows that failed each check
+    and raises if one of severity ``error`` has any. Unique checks need a shuffle and stay
+    with ``quality_report``.
+    """
+    own = [c for c in checks if c.test != UNIQUE]
+    if not own:
+        return df, dict
+    taken = Observation()
+    failed = [
+        F.col(c.column).isNull() if c.test == NOT_NULL else F.col(c.column).isNotNull() & ~F.col(c.column).isin(list(c.values))
+        for c in own
+    ]
+
+    def verify() -> dict[Check, int]:
+        failures = {c: taken.get[f"n{i}"] for i, c in enumerate(own)}
+        errors = [f"{c.table}.{c.column} {c.test} ({n})" for c, n in failures.items() if n and c.severity == "error"]
+        if errors:
+            raise ValueError(f"data-quality checks failed: {', '.join(errors)}")
+        return failures
+
+    return df.observe(taken, *[count_where(f).alias(f"n{i}") for i, f in enumerate(failed)]), verify

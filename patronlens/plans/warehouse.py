@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from patronlens.fixed_values import MAX_MONTHS
-from patronlens.operators import core, marts, panel, staging
-from patronlens.sources.storage import publish, stash
+from patronlens.operators import core, marts, panel, quality, staging
+from patronlens.sources.storage import TABLE_LAYERS, publish, stash
 
 
 @dataclass(frozen=True)
@@ -110,16 +110,33 @@ LAYERS = {
     "churn_features": "features",
 }
 PARTITIONING = {"churn_feature_panel": ["snapshot_date"]}
+# one row per customer each; joins between them need no shuffle
+CLUSTERED = {"dim_customers", "mart_customer_360", "mart_rfm_segments"}
 
 
-def publish_all(warehouse: Warehouse) -> dict[str, str]:
+def clustered(df: DataFrame, buckets: int, column: str = "customer_id") -> tuple[DataFrame, tuple[int, list[str]]]:
+    """``df`` dealt out so that each bucket is one file, and the buckets to store it in."""
+    return df.repartition(buckets, column), (buckets, [column])
+
+
+def publish_all(warehouse: Warehouse, buckets: int | None = None) -> dict[str, str]:
     """Publish every table to its layer and return the names.
 
-    After a table is written, later tables read the written copy.
+    After a table is written, later tables read the written copy. A table whose rows fail a
+    not_null or accepted_values check of severity ``error``, counted during the write, isn't
+    switched to. ``buckets`` is the number of files of tables by customer (default: the
+    session's shuffle partitions).
     """
     spark = warehouse.raw.invoices.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = {}
     for table, layer in LAYERS.items():
-        names[table] = publish(getattr(warehouse, table), layer, table, PARTITIONING.get(table))
+        df, by = getattr(warehouse, table), None
+        if table in CLUSTERED:
+            df, by = clustered(df, buckets)
+        verify = None
+        if layer in TABLE_LAYERS:
+            df, verify = quality.watched(df, [c for c in quality.STANDARD_CHECKS if c.table == table])
+        names[table] = publish(df, layer, table, PARTITIONING.get(table), by, verify)
         warehouse.__dict__[table] = spark.table(names[table])
     return names

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from patronlens.fixed_values import LANDING_KEYS
 from patronlens.schemas import INTERVENTIONS, PREDICTIONS
+from patronlens.sources import versions
 
 VIEW_LAYERS = ("stg", "features")
 TABLE_LAYERS = ("core", "marts", "analytics")
@@ -44,45 +46,53 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.to(schema)
 
 
-def publish(df: DataFrame, layer: str, name: str, partition_by: list[str] | None = None) -> str:
-    """Publish to a layer: a view for cheap layers, a parquet table for the others.
+def publish(
+    df: DataFrame,
+    layer: str,
+    name: str,
+    partition_by: list[str] | None = None,
+    cluster_by: tuple[int, list[str]] | None = None,
+    verify: Callable[[], None] | None = None,
+) -> str:
+    """Publish to a layer: a session view for cheap layers, a replaced table for the others.
 
-    Views are session views named ``<layer>_<name>``; tables live in database ``<layer>``.
+    Views are named ``<layer>_<name>``; tables live in database ``<layer>`` and are
+    switched to their new rows when these are written and, with ``verify``, checked.
     """
-    spark = df.sparkSession
     if layer in VIEW_LAYERS:
         df.createOrReplaceTempView(f"{layer}_{name}")
         return f"{layer}_{name}"
     if layer not in TABLE_LAYERS:
         raise ValueError(f"unknown layer {layer!r}")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(f"{layer}.{name}")
-    return f"{layer}.{name}"
+    return versions.replace_table(df, layer, name, partition_by, cluster_by, verify)
 
 
 def read_published(spark: SparkSession, layer: str, name: str) -> DataFrame:
     return spark.table(f"{layer}_{name}" if layer in VIEW_LAYERS else f"{layer}.{name}")
 
 
-def write_predictions(scored: DataFrame, path: str) -> None:
-    """Full overwrite of the predictions with their declared schema."""
-    write_parquet(conform(scored, PREDICTIONS), path)
+def write_predictions(scored: DataFrame, name: str = "churn_predictions") -> str:
+    """Replace all rows of the predictions table, with its declared schema."""
+    return publish(conform(scored, PREDICTIONS), "analytics", name)
 
 
 def create_interventions(spark: SparkSession, path: str, reset: bool = False) -> None:
-    """Create the empty interventions table if it is absent; ``reset`` empties it."""
-    empty = spark.createDataFrame([], INTERVENTIONS)
-    empty.write.mode("overwrite" if reset else "ignore").parquet(path)
+    """Create the empty interventions if they are absent; ``reset`` empties them."""
+    versions.create_ledger(spark, path, reset)
+
 
+def append_interventions(offers: DataFrame, path: str, batch: str) -> bool:
+    """Append the offers of one run once, however often it is repeated; whether they were written now.
 
-def append_interventions(offers: DataFrame, path: str) -> None:
-    """Append one batch of offers; ``generated_at`` defaults to the current time."""
+    ``generated_at`` defaults to the current time.
+    """
     if "generated_at" not in offers.columns:
         offers = offers.withColumn("generated_at", F.current_timestamp().cast("timestamp_ntz"))
-    conform(offers, INTERVENTIONS).write.mode("append").parquet(path)
+    return versions.append_batch(conform(offers, INTERVENTIONS), path, batch)
+
+
+def read_interventions(spark: SparkSession, path: str) -> DataFrame:
+    return versions.read_batches(spark, path, INTERVENTIONS)
 
 
 # --- shared intermediate tables --------------------------------------------------------------
@@ -90,7 +100,10 @@ def append_interventions(offers: DataFrame, path: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: that of ``spark.checkpoint.dir``, else one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate").rstrip("/")
+    folder = (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate").rstrip("/")
+    if not configured and folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} is a folder of one machine: set spark.checkpoint.dir to a shared one")
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

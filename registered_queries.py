@@ -22,7 +22,7 @@ from patronlens.operators import (
 )
 from patronlens.plans import churn, retention
 from patronlens.plans.warehouse import Warehouse
-from patronlens.schemas import INTERVENTIONS, PREDICTIONS, RAW_EVENTS
+from patronlens.schemas import RAW_EVENTS
 from patronlens.sources import bindings, invoices, storage
 from patronlens.sources.bindings import TestTables
 from patronlens.sources.storage import stash
@@ -252,6 +252,33 @@ _scored_query(
     ),
     store_lines=True,
 )
+
+
+def _answers(s: Scored):
+    """The test proposals in the role of a generator: those of the requested customers and attempt."""
+    def answer(requests: DataFrame, attempt: int) -> DataFrame:
+        own = s.proposals.filter(F.col("attempt") == attempt)
+        return own.join(requests.select("customer_id"), "customer_id", "left_semi").select("customer_id", "payload")
+
+    return answer
+
+
+def _contexts(s: Scored) -> DataFrame:
+    return offers.offer_context(s.profiles, s.explanations, _all_candidates(s.warehouse))
+
+
+_scored_query(
+    "retry_requests",
+    lambda s: retention.retry_rounds(_contexts(s), _answers(s), s.products).requests,
+    store_lines=True,
+)
+_scored_query(
+    "retention_outcomes",
+    lambda s: retention.run_with_retries(
+        s.predictions, s.profiles, s.explanations, _all_candidates(s.warehouse), _answers(s), s.products
+    ),
+    store_lines=True,
+)
 _scored_query("validated_offers", lambda s: offers.accepted(s.checked))
 _scored_query(
     "rejected_offers",
@@ -356,17 +383,19 @@ def landed_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored_predictions(s: Scored) -> DataFrame:
-    path = storage.scratch_path(s.spark, "predictions")
-    storage.write_predictions(s.predictions, path)
-    return storage.read_parquet(s.spark, path, PREDICTIONS)
+    """The predictions table after its rows were replaced twice."""
+    storage.write_predictions(s.predictions.limit(0))
+    return s.spark.table(storage.write_predictions(s.predictions))
 
 
 def _stored_interventions(s: Scored) -> DataFrame:
+    """The interventions after the same batch was appended twice, as by a repeated run."""
     path = storage.scratch_path(s.spark, "interventions")
     storage.create_interventions(s.spark, path)
     stamp = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
-    storage.append_interventions(s.run.interventions.withColumn("generated_at", stamp), path)
-    return storage.read_parquet(s.spark, path, INTERVENTIONS)
+    for _ in range(2):
+        storage.append_interventions(s.run.interventions.withColumn("generated_at", stamp), path, "run-1")
+    return storage.read_interventions(s.spark, path)
 
 
 _scored_query("stored_predictions", _stored_predictions)
@@ -431,14 +460,19 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def explain_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Main fields of the profile, explanation and offer of every customer, with the status of each."""
+    """Profile, explanation and offer of every customer in full, with the status of each."""
     s = Scored(spark, folder, store_lines=True)
-    valid = offers.first_valid(offers.accepted(s.checked))
-    report = reporting.explain_report(s.warehouse.dim_customers, s.profiles, s.explanations, valid)
+    plans = offers.first_valid(offers.accepted(s.checked))
+    report = reporting.explain_report(
+        s.warehouse.dim_customers, offers.profile_json(s.profiles), offers.explanation_json(s.explanations), plans
+    )
     return report.select(
         "customer_id",
         "status",
-        F.col("profile.segment").alias("segment"),
-        F.col("explanation.churn_probability").alias("churn_probability"),
-        F.col("retention_plan.product_focus").alias("product_focus"),
+        F.col("profile.profile_json").alias("profile_json"),
+        F.col("explanation.explanation_json").alias("explanation_json"),
+        *[
+            F.col(f"retention_plan.{c}").alias(c)
+            for c in ("offer_customer_id", "attempt", "discount_pct", "channel", "product_focus", "messaging")
+        ],
     )

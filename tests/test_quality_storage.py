@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronlens.functions.values import lower_names
-from patronlens.operators import quality, reporting
+from patronlens.operators import marts, quality, reporting
 from patronlens.operators.quality import ACCEPTED, NOT_NULL, UNIQUE, Check
-from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, publish_all
-from patronlens.schemas import INTERVENTIONS
-from patronlens.sources import bindings, storage
+from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, clustered, publish_all
+from patronlens.schemas import INTERVENTIONS, PREDICTIONS
+from patronlens.sources import bindings, storage, versions
 from patronlens.sources.bindings import TestTables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,29 +43,73 @@ def test_standard_checks_cover_all_declared():
     assert sum(c.severity == "warn" for c in quality.STANDARD_CHECKS) == 5
 
 
-def test_interventions_table(spark, tmp_path):
+OFFER = "customer_id long, discount_pct int, channel string, product_focus string, messaging string"
+
+
+def test_interventions_are_appended_once_per_batch(spark, tmp_path):
     path = str(tmp_path / "interventions")
     storage.create_interventions(spark, path)
-    offers = spark.createDataFrame([(1, 10, "email", "p", "hi")], "customer_id long, discount_pct int, channel string, product_focus string, messaging string")
-    storage.append_interventions(offers, path)
+    assert storage.read_interventions(spark, path).count() == 0
+    offers = spark.createDataFrame([(1, 10, "email", "p", "hi")], OFFER)
+    assert storage.append_interventions(offers, path, "run-1")
+    assert not storage.append_interventions(offers, path, "run-1")  # a repeated run
     storage.create_interventions(spark, path)  # keeps the rows
-    storage.append_interventions(offers.withColumn("generated_at", F.lit("2024-01-01").cast("timestamp_ntz")), path)
-    table = spark.read.parquet(path)
+    stamped = offers.withColumn("generated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert storage.append_interventions(stamped, path, "run-2")
+    table = storage.read_interventions(spark, path)
     assert table.count() == 2 and table.filter("generated_at IS NULL").count() == 0
     assert table.schema == INTERVENTIONS
     storage.create_interventions(spark, path, reset=True)
-    assert spark.read.parquet(path).count() == 0
+    assert storage.read_interventions(spark, path).count() == 0
+    assert storage.append_interventions(offers, path, "run-1") and storage.read_interventions(spark, path).count() == 1
+    with pytest.raises(ValueError, match="batch id"):
+        storage.append_interventions(offers, path, "../x")
 
 
-def test_predictions_have_their_declared_schema(spark, tmp_path):
-    path = str(tmp_path / "predictions")
+def test_a_batch_that_failed_half_way_counts_once(spark, tmp_path):
+    path = str(tmp_path / "interventions")
+    storage.create_interventions(spark, path)
+    offers = spark.createDataFrame([(i, 10, "email", "p", "hi") for i in range(4)], OFFER)
+    # rows written by an attempt that died before it reached the ledger
+    stamped = offers.withColumn("generated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    stamped.write.parquet(f"{path}/rows/batch=b/attempt=dead")
+    assert storage.read_interventions(spark, path).count() == 0
+    assert storage.append_interventions(offers, path, "b") and storage.read_interventions(spark, path).count() == 4
+    # two writers that both committed: the first counts
+    stamped.limit(1).write.parquet(f"{path}/rows/batch=b/attempt=late")
+    versions._enter(spark, path, "b", "late")
+    assert storage.read_interventions(spark, path).count() == 4
+
+
+def test_predictions_are_replaced_as_a_whole(spark):
     rows = spark.createDataFrame([(1, datetime(2024, 1, 1), 0.5, "low", datetime(2024, 2, 1), "x")],
                                  "customer_id long, snapshot_date timestamp_ntz, churn_probability double, risk_band string, scored_at timestamp_ntz, other string")
-    storage.write_predictions(rows.drop("other").withColumn("snapshot_date", F.col("snapshot_date").cast("date")), path)
-    storage.write_predictions(rows.drop("other").withColumn("snapshot_date", F.col("snapshot_date").cast("date")), path)
-    assert spark.read.parquet(path).count() == 1
+    rows = rows.drop("other").withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+    for _ in range(4):
+        name = storage.write_predictions(rows, "test_predictions")
+    assert spark.table(name).count() == 1 and spark.table(name).schema == PREDICTIONS
+    assert len(versions.versions(spark, "analytics", "test_predictions")) == versions.KEPT_VERSIONS
     with pytest.raises(Exception, match="risk_band"):
-        storage.write_predictions(rows.drop("risk_band"), path)
+        storage.write_predictions(rows.drop("risk_band"), "test_predictions")
+    # a write that dies in a task, and one whose rows fail their check, leave the old rows
+    broken = rows.withColumn("customer_id", F.when(F.col("customer_id") == 1, F.raise_error(F.lit("lost"))).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        storage.write_predictions(broken, "test_predictions")
+    empty, verify = quality.watched(rows.withColumn("risk_band", F.lit("odd")), [Check("p", "risk_band", ACCEPTED, ("low",))])
+    with pytest.raises(ValueError, match=r"p.risk_band accepted_values \(1\)"):
+        storage.publish(empty, "analytics", "test_predictions", verify=verify)
+    assert [r["risk_band"] for r in spark.table(name).collect()] == ["low"]
+    # a table may be replaced from its own rows
+    storage.write_predictions(spark.table(name).withColumn("churn_probability", F.lit(0.75)), "test_predictions")
+    assert spark.table(name).first()["churn_probability"] == 0.75
+
+
+def test_checks_taken_while_writing(spark):
+    df = spark.createDataFrame([("a", 1), (None, 7), (None, None)], "k string, v int")
+    checks = [Check("t", "k", NOT_NULL, (), "warn"), Check("t", "v", ACCEPTED, (1, 2), "warn"), Check("t", "k", UNIQUE)]
+    seen, verify = quality.watched(df, checks)
+    assert storage.stash(seen, "t").count() == 3
+    assert verify() == {checks[0]: 2, checks[1]: 1}
 
 
 def test_landing_layout(spark, tmp_path):
@@ -98,6 +142,20 @@ def test_publish_all_layers(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot_date" in text
     assert storage.read_published(spark, "marts", "mart_rfm_segments").count() == 147
+    # tables by customer are bucketed alike: joins of them move no rows
+    c360, rfm = spark.table("marts.mart_customer_360"), spark.table("marts.mart_rfm_segments")
+    stamp = F.lit("2024-06-01").cast("timestamp_ntz")
+    predictions = c360.select("customer_id", F.lit("2024-01-01").cast("date").alias("snapshot_date"), F.lit(0.5).alias("churn_probability"), F.lit("low").alias("risk_band"), stamp.alias("scored_at"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df, by = clustered(predictions, buckets)
+    predictions = spark.table(storage.publish(df, "analytics", "clustered_predictions", cluster_by=by))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for joined in (marts.customer_profile(c360, rfm), reporting.dashboard_predictions(predictions, c360, rfm)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_lookup_and_report_status(spark):
