@@ -57,6 +57,21 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 
 # --- tokens ----------------------------------------------------------------------------------
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers compressed plane by plane of their bytes; most high bytes of frequency ranks are 0."""
+    import zstandard
+
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes))
+
+
+def _unpacked(data: pa.Scalar, kind: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and class of each token, the end after each text, and the bounds of the texts."""
     hashes, endings, counts = [], [], []
@@ -83,7 +98,9 @@ def encode(docs: DataFrame, held_out: Column) -> DataFrame:
         if not len(batch):
             return
         hashes, endings, bounds = _tokens(batch.column("text"))
-        distinct, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, codes, uses = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        frequent = np.argsort(-uses, kind="stable")  # small codes for frequent words
+        distinct, first, codes = distinct[frequent], first[frequent], np.argsort(frequent)[codes]
         held = batch.column("held").to_numpy(zero_copy_only=False)
         trained = np.bincount(codes[np.repeat(~held, np.diff(bounds))], minlength=len(distinct))
         yield {
@@ -91,7 +108,7 @@ def encode(docs: DataFrame, held_out: Column) -> DataFrame:
             "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
             "held": pa.array([held], pa.list_(pa.bool_())),
             "bounds": pa.array([bounds.astype(np.int64)], pa.list_(pa.int64())),
-            "codes": pa.array([codes.astype("<u4").tobytes()], pa.binary()),
+            "codes": pa.array([_packed(codes.astype("<u4"))], pa.binary()),
             "hashes": pa.array([distinct.view(np.int64)], pa.list_(pa.int64())),
             "endings": pa.array([endings[first].astype(np.int32)], pa.list_(pa.int32())),
             "trained": pa.array([trained.astype(np.int64)], pa.list_(pa.int64())),
@@ -206,7 +223,7 @@ def symbols(encoded: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
             hashes, endings, bounds, ats, counts = (
                 np.asarray(part[c].flatten()) for c in ("hashes", "endings", "bounds", "ats", "counts")
             )
-            codes = np.frombuffer(part["codes"][0].as_buffer(), "<u4")
+            codes = _unpacked(part["codes"][0], "<u4")
             number, count = model.lookup(hashes.view(np.uint64)), np.zeros(len(hashes), np.int64)
             count[ats] = counts
             if len(model.own):
@@ -220,7 +237,7 @@ def symbols(encoded: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
             starts, sizes = bounds[:-1], np.diff(bounds)
             scale = np.log10(model.train_tokens + model.train_words + 1)
             yield {c: part[c] for c in ("block", "doc_ids", "held", "bounds")} | {
-                "symbols": pa.array([symbol.astype("<u2")[codes].tobytes()], pa.binary()),
+                "symbols": pa.array([_packed(symbol.astype("<u2")[codes])], pa.binary()),
                 "known": pa.array([np.add.reduceat((count > 0)[codes].astype(np.int64), starts)], pa.list_(pa.int64())),
                 "base": pa.array([np.add.reduceat(plus_one[codes], starts) - sizes * scale], pa.list_(pa.float64())),
                 "shares": pa.array([np.add.reduceat(share[codes], starts)], pa.list_(pa.float64())),
@@ -325,7 +342,7 @@ def _round(model: Model):
         total |= {"start": np.zeros(states), "later": np.zeros(states)}
         for batch in batches:
             for row in range(len(batch)):
-                symbol = np.frombuffer(batch.column("symbols")[row].as_buffer(), "<u2")
+                symbol = _unpacked(batch.column("symbols")[row], "<u2")
                 bounds = np.asarray(batch.column("bounds").slice(row, 1).flatten())
                 train = ~batch.column("held").slice(row, 1).flatten().to_numpy(zero_copy_only=False)
                 kept = symbol[np.repeat(train, np.diff(bounds))]
@@ -407,7 +424,7 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
         for row in range(len(batch)):
             part = {c: batch.column(c).slice(row, 1).flatten() for c in ("doc_ids", "held", "bounds", "known", "base", "shares")}
             bounds = np.asarray(part["bounds"])
-            symbol = np.frombuffer(batch.column("symbols")[row].as_buffer(), "<u2")
+            symbol = _unpacked(batch.column("symbols")[row], "<u2")
             yield {
                 "doc_id": part["doc_ids"],
                 "held_out": part["held"],
