@@ -603,6 +603,7 @@ def oracle_sql() -> dict[str, str]:
         "customer_360 rfm_segments customer_profile"
     ).split()
     out = {name: table(name) for name in same_name}
+    out["incremental_panel"] = table("churn_feature_panel")
     out["snapshot_dates"] = table("snapshot_dates_60")
     out["snapshot_dates_long"] = table("snapshot_dates_120")
     out["churn_features"] = sql(f"SELECT {FEATURES} FROM churn_feature_panel", "churn_feature_panel")

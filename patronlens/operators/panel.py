@@ -13,6 +13,7 @@ day, events and tickets to one row per customer and snapshot, before the shuffle
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,10 @@ def _snap() -> Column:
     return F.col("snapshot_date")
 
 
+def _ntz(date: datetime) -> Column:
+    return F.lit(date.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+
+
 # --- snapshot grid ---------------------------------------------------------------------------
 
 def snapshot_bounds(orders: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
@@ -153,8 +158,13 @@ def _at_snapshot(df: DataFrame) -> DataFrame:
 
 # --- the rollup ------------------------------------------------------------------------------
 
-def _rollup(spans: DataFrame, parts: list[DataFrame], measures: list[Column]) -> DataFrame:
-    """Shuffle all parts once by customer, expand to month starts, group, keep the spine."""
+def _rollup(
+    spans: DataFrame, parts: list[DataFrame], measures: list[Column], dates: list[datetime] | None = None
+) -> DataFrame:
+    """Shuffle all parts once by customer, expand to month starts, group, keep the spine.
+
+    With ``dates`` only rows that count for these snapshots are shuffled and expanded.
+    """
     spine = spans.select(
         "customer_id",
         F.col("first_snapshot").alias("first_month"),
@@ -162,10 +172,15 @@ def _rollup(spans: DataFrame, parts: list[DataFrame], measures: list[Column]) ->
         F.lit(1).alias("in_spine"),
     )
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spine, *parts])
+    if dates is not None:
+        rows = rows.filter((F.col("first_month") <= _ntz(max(dates))) & (F.col("last_month") >= _ntz(min(dates))))
+    expanded = rows.repartition("customer_id").withColumn(
+        "snapshot_date", F.explode(month_starts(F.col("first_month"), F.col("last_month")))
+    )
+    if dates is not None:
+        expanded = expanded.filter(_snap().isin([_ntz(d) for d in dates]))
     return (
-        rows.repartition("customer_id")
-        .withColumn("snapshot_date", F.explode(month_starts(F.col("first_month"), F.col("last_month"))))
-        .groupBy("customer_id", "snapshot_date")
+        expanded.groupBy("customer_id", "snapshot_date")
         .agg(F.max("in_spine").alias("in_spine"), *measures)
         .filter(F.col("in_spine") == 1)
         .drop("in_spine")
@@ -238,15 +253,24 @@ def ticket_features(spans: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def feature_panel(spans: DataFrame, orders: DataFrame, events: DataFrame, tickets: DataFrame) -> DataFrame:
-    """The full panel: ten features, the BI-only recency and the label, per customer and month."""
+def feature_panel(
+    spans: DataFrame,
+    orders: DataFrame,
+    events: DataFrame,
+    tickets: DataFrame,
+    dates: list[datetime] | None = None,
+) -> DataFrame:
+    """The full panel: ten features, the BI-only recency and the label, per customer and month.
+
+    ``dates`` limits it to these snapshots; their rows are those of the full panel.
+    """
     parts = [
         _order_days(orders),
         _at_snapshot(_event_counts(events)),
         _at_snapshot(_ticket_totals(tickets)),
     ]
     measures = _order_measures() + _event_measures() + _ticket_measures()
-    return _rollup(spans, parts, measures).select(
+    return _rollup(spans, parts, measures, dates).select(
         "customer_id",
         "snapshot_date",
         day_diff(F.col("last_order"), _snap()).alias("days_since_last_order"),
@@ -264,6 +288,36 @@ def feature_panel(spans: DataFrame, orders: DataFrame, events: DataFrame, ticket
     )
 
 
+def touched_dates(
+    spans_before: DataFrame, spans: DataFrame, orders: DataFrame, events: DataFrame, tickets: DataFrame
+) -> list[datetime]:
+    """The snapshots whose panel rows may differ, at most one per month of the grid.
+
+    ``orders``, ``events`` and ``tickets`` are the rows that came, went or changed (old and
+    new form); the spans those of all customers, before and now. Month starts that only one
+    of a customer's two spans holds are touched too.
+    """
+    grid = spans.agg(F.min("first_snapshot").alias("first"), F.max("last_snapshot").alias("last"))
+    months = [_order_days(orders).select("first_month", "last_month")]
+    months += [df.select(_snap().alias("first_month"), _snap().alias("last_month")) for df in (events, tickets)]
+    old = spans_before.select("customer_id", F.col("first_snapshot").alias("old_first"), F.col("last_snapshot").alias("old_last"))
+    both = spans.join(old, "customer_id", "full")
+    moved_start = ~F.col("first_snapshot").eqNullSafe(F.col("old_first"))
+    moved_end = ~F.col("last_snapshot").eqNullSafe(F.col("old_last"))
+    ends = F.least("last_snapshot", "old_last"), F.greatest("last_snapshot", "old_last")
+    months.append(both.filter(moved_start).select(F.least("first_snapshot", "old_first"), F.greatest("first_snapshot", "old_first")))
+    months.append(both.filter(moved_end).select(*ends))
+    # a customer in one of the two only: all of the span
+    months.append(both.filter(F.col("first_snapshot").isNull() | F.col("old_first").isNull()).select(
+        F.coalesce("first_snapshot", "old_first"), F.coalesce("last_snapshot", "old_last")
+    ))
+    ranges = reduce(DataFrame.union, months).distinct()
+    touched = ranges.toDF("low", "high").select(F.explode(month_starts(F.col("low"), F.col("high"))).alias("date")).distinct()
+    bounds = grid.select(F.struct("first", "last")).scalar()
+    inside = touched.filter(F.col("date").between(bounds["first"], bounds["last"]))
+    return sorted(r["date"] for r in inside.collect())
+
+
 # --- model view of the panel -----------------------------------------------------------------
 
 def churn_features(panel: DataFrame) -> DataFrame:

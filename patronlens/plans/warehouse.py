@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from patronlens.fixed_values import MAX_MONTHS
 from patronlens.operators import core, marts, panel, quality, staging
-from patronlens.sources.storage import TABLE_LAYERS, publish, stash
+from patronlens.sources.storage import TABLE_LAYERS, clustered, lookup_options, publish, stash
 
 
 @dataclass(frozen=True)
@@ -114,11 +114,6 @@ PARTITIONING = {"churn_feature_panel": ["snapshot_date"]}
 CLUSTERED = {"dim_customers", "mart_customer_360", "mart_rfm_segments"}
 
 
-def clustered(df: DataFrame, buckets: int, column: str = "customer_id") -> tuple[DataFrame, tuple[int, list[str]]]:
-    """``df`` dealt out so that each bucket is one file, and the buckets to store it in."""
-    return df.repartition(buckets, column), (buckets, [column])
-
-
 def publish_all(warehouse: Warehouse, buckets: int | None = None) -> dict[str, str]:
     """Publish every table to its layer and return the names.
 
@@ -137,6 +132,7 @@ def publish_all(warehouse: Warehouse, buckets: int | None = None) -> dict[str, s
         verify = None
         if layer in TABLE_LAYERS:
             df, verify = quality.watched(df, [c for c in quality.STANDARD_CHECKS if c.table == table])
-        names[table] = publish(df, layer, table, PARTITIONING.get(table), by, verify)
+        options = lookup_options("customer_id") if by else None
+        names[table] = publish(df, layer, table, PARTITIONING.get(table), by, verify, options)
         warehouse.__dict__[table] = spark.table(names[table])
     return names

@@ -15,6 +15,7 @@ from patronlens.sources import versions
 
 VIEW_LAYERS = ("stg", "features")
 TABLE_LAYERS = ("core", "marts", "analytics")
+LOOKUP_GROUP_BYTES, LOOKUP_PAGE_ROWS = 8 << 20, 2_000
 
 
 # --- parquet ---------------------------------------------------------------------------------
@@ -53,6 +54,7 @@ def publish(
     partition_by: list[str] | None = None,
     cluster_by: tuple[int, list[str]] | None = None,
     verify: Callable[[], None] | None = None,
+    options: dict[str, str] | None = None,
 ) -> str:
     """Publish to a layer: a session view for cheap layers, a replaced table for the others.
 
@@ -64,16 +66,42 @@ def publish(
         return f"{layer}_{name}"
     if layer not in TABLE_LAYERS:
         raise ValueError(f"unknown layer {layer!r}")
-    return versions.replace_table(df, layer, name, partition_by, cluster_by, verify)
+    return versions.replace_table(df, layer, name, partition_by, cluster_by, verify, options)
 
 
 def read_published(spark: SparkSession, layer: str, name: str) -> DataFrame:
     return spark.table(f"{layer}_{name}" if layer in VIEW_LAYERS else f"{layer}.{name}")
 
 
-def write_predictions(scored: DataFrame, name: str = "churn_predictions") -> str:
-    """Replace all rows of the predictions table, with its declared schema."""
-    return publish(conform(scored, PREDICTIONS), "analytics", name)
+def clustered(df: DataFrame, buckets: int, column: str = "customer_id") -> tuple[DataFrame, tuple[int, list[str]]]:
+    """``df`` dealt out so that each bucket is one file, and the buckets to store it in."""
+    return df.repartition(buckets, column), (buckets, [column])
+
+
+def lookup_options(column: str) -> dict[str, str]:
+    """Small pages with indexes and a Bloom filter: a file sorted by ``column`` is read a few pages per value."""
+    return {
+        f"parquet.bloom.filter.enabled#{column}": "true",
+        "parquet.block.size": str(LOOKUP_GROUP_BYTES),
+        "parquet.page.row.count.limit": str(LOOKUP_PAGE_ROWS),
+    }
+
+
+def write_predictions(scored: DataFrame, name: str = "churn_predictions", buckets: int | None = None) -> str:
+    """Replace all rows of the predictions table, with its declared schema.
+
+    The table is bucketed and sorted by customer (``buckets`` files, by default as many as
+    the session's shuffle partitions), so a lookup of a few customers reads a few pages of
+    their buckets, and joins with other tables by customer move no rows.
+    """
+    buckets = buckets or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, by = clustered(conform(scored, PREDICTIONS), buckets)
+    return publish(rows, "analytics", name, cluster_by=by, options=lookup_options("customer_id"))
+
+
+def lookup(spark: SparkSession, name: str, customers: list[int]) -> DataFrame:
+    """The rows of a few customers from a table stored by customer."""
+    return spark.table(name).filter(F.col("customer_id").isin(customers))
 
 
 def create_interventions(spark: SparkSession, path: str, reset: bool = False) -> None:

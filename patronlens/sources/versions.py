@@ -40,19 +40,21 @@ def replace_table(
     partition_by: list[str] | None = None,
     cluster_by: tuple[int, list[str]] | None = None,
     verify: Callable[[], None] | None = None,
+    options: dict[str, str] | None = None,
 ) -> str:
     """Write ``df`` as the next version and switch ``database.name`` to it.
 
     ``cluster_by`` (buckets, columns) stores the rows bucketed and sorted by the columns, so
     that joins of equally bucketed tables need no shuffle. ``verify`` runs after the write
-    and before the switch; if it raises, the version is dropped.
+    and before the switch; if it raises, the version is dropped. ``options`` are those of
+    the writer.
     """
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     held = versions(spark, database, name)
     number = int(_VERSION.fullmatch(held[-1])[2]) + 1 if held else 1
     version = f"{name}__v{number:08d}_{uuid.uuid4().hex[:8]}"
-    writer = df.write.format("parquet")
+    writer = df.write.format("parquet").options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if cluster_by:

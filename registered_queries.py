@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.functions.dates import timestamp_text
+from patronlens.functions.dates import months, parse_timestamp, timestamp_text
 from patronlens.operators import (
     attribution,
     core,
@@ -20,8 +20,8 @@ from patronlens.operators import (
     scoring,
     training,
 )
-from patronlens.plans import churn, retention
-from patronlens.plans.warehouse import Warehouse
+from patronlens.plans import churn, incremental, retention
+from patronlens.plans.warehouse import RawInputs, Warehouse
 from patronlens.schemas import RAW_EVENTS
 from patronlens.sources import bindings, invoices, storage
 from patronlens.sources.bindings import TestTables
@@ -113,6 +113,28 @@ _warehouse_query(
 _warehouse_query("churn_feature_panel", lambda w: w.churn_feature_panel)
 _warehouse_query("churn_features", lambda w: panel.assert_no_leakage(w.churn_features))
 
+
+
+@query
+def incremental_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel built without the newest months of raw rows, then refreshed when these arrive late."""
+    whole = BoundInputs(_tables(spark, folder))
+    raw = RawInputs(stash(whole.invoices, "invoices"), stash(whole.events, "events"), stash(whole.tickets, "tickets"))
+    newest = raw.invoices.agg(F.max(parse_timestamp(F.col("InvoiceDate")))).scalar() - months(2)
+    last_events = raw.events.agg(F.max("snapshot_date")).scalar()
+    is_late = {
+        "invoices": F.coalesce(parse_timestamp(F.col("InvoiceDate")) >= newest, F.lit(False)),
+        "events": F.coalesce(F.col("snapshot_date") >= last_events, F.lit(False)),
+        "tickets": F.coalesce(F.col("snapshot_date") >= last_events, F.lit(False)),
+    }
+    late = RawInputs(**{n: getattr(raw, n).filter(c) for n, c in is_late.items()})
+    before = Warehouse(RawInputs(**{n: getattr(raw, n).filter(~c) for n, c in is_late.items()}), WHOLE_GRID)
+    now, path = Warehouse(raw, WHOLE_GRID), storage.scratch_path(spark, "panel")
+    incremental.write_panel(before.churn_feature_panel, path)
+    incremental.refresh_panel(path, before, now, late)
+    return incremental.read_panel(spark, path, now.churn_feature_panel)
+
+
 # --- marts -----------------------------------------------------------------------------------
 
 _warehouse_query("customer_360", lambda w: w.mart_customer_360)

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 
 from patronlens.operators import offers
-from patronlens.plans.retention import outcome_counts, retention_run
+from patronlens.plans.retention import outcome_counts, retention_run, retry_rounds
 from patronlens.schemas import PROPOSALS
 
 GOOD = {"customer_id": 1, "discount_pct": 10, "channel": "email", "product_focus": "22139", "messaging": "Come back!"}
@@ -139,3 +139,35 @@ def test_feedback_of_a_failed_attempt(spark, products):
     assert row["feedback"] == "channel, profanity"
     assert json.loads(row["profile_json"])["avg_purchase_interval"] is None
     assert json.loads(row["explanation_json"])["top_features"] == [{"name": "events_30d", "impact": -0.25}]
+
+
+def test_retry_rounds_pass_failures_on(spark, products):
+    contexts = spark.createDataFrame([(c, f"profile {c}") for c in range(1, 6)], "customer_id long, profile_json string")
+    seen = []
+
+    def answer(requests, attempt):
+        seen.append({r["customer_id"]: r["feedback"] for r in requests.collect()})
+        rows = []
+        for c in seen[-1]:
+            good = {1: 1, 2: 2, 3: 3, 4: 9}.get(c)
+            if good is None:  # customer 5 is never answered
+                continue
+            change = {} if attempt >= good else {"channel": "fax", "discount_pct": attempt}
+            rows.append((c, json.dumps({**GOOD, "customer_id": c, **change})))
+            if c == 2 and attempt == 2:
+                rows.append((c, "{oops"))  # one valid answer is enough
+        return spark.createDataFrame(rows, "customer_id long, payload string")
+
+    rounds = retry_rounds(contexts, answer, products)
+    failed = "discount_pct, channel"
+    assert seen == [
+        dict.fromkeys(range(1, 6)),
+        {2: failed, 3: failed, 4: failed, 5: "no_answer"},
+        {3: failed, 4: failed, 5: "no_answer"},
+    ]
+    assert {(r["customer_id"], r["attempt"]) for r in rounds.requests.collect()} == {
+        (c, n + 1) for n, open_now in enumerate(seen) for c in open_now}
+    assert {(r["customer_id"], r["attempt"]) for r in rounds.state.filter("accepted").collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert rounds.state.filter("attempt = 3 AND NOT accepted").select("customer_id", "feedback").count() == 2
+    assert set(rounds.requests.columns) == {"customer_id", "profile_json", "feedback", "attempt"}
+    assert retry_rounds(contexts.limit(0), answer, products).state.count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patronlens.functions.values import lower_names
 from patronlens.operators import marts, quality, reporting
 from patronlens.operators.quality import ACCEPTED, NOT_NULL, UNIQUE, Check
-from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, clustered, publish_all
+from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, publish_all
 from patronlens.schemas import INTERVENTIONS, PREDICTIONS
 from patronlens.sources import bindings, storage, versions
 from patronlens.sources.bindings import TestTables
@@ -104,6 +104,29 @@ def test_predictions_are_replaced_as_a_whole(spark):
     assert spark.table(name).first()["churn_probability"] == 0.75
 
 
+def test_a_lookup_reads_a_few_pages_of_one_bucket(spark):
+    stamp = F.lit("2024-06-01").cast("timestamp_ntz")
+    rows = spark.range(60_000).select(
+        F.col("id").alias("customer_id"), F.lit("2024-01-01").cast("date").alias("snapshot_date"),
+        (F.col("id") / 60_000).alias("churn_probability"), F.lit("low").alias("risk_band"), stamp.alias("scored_at"),
+    )
+    name = storage.write_predictions(rows, "looked_up", buckets=4)
+
+    def read_rows(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        text = plan.toString()
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value(), text
+
+    found = storage.lookup(spark, name, [4711])
+    scanned, plan = read_rows(found)
+    assert [r["customer_id"] for r in found.collect()] == [4711]
+    assert 0 < scanned <= 2 * storage.LOOKUP_PAGE_ROWS and "SelectedBucketsCount: 1 out of 4" in plan
+    assert read_rows(storage.lookup(spark, name, [10**9]))[0] == 0
+    assert storage.lookup(spark, name, [1, 2, 10**9]).count() == 2
+
+
 def test_checks_taken_while_writing(spark):
     df = spark.createDataFrame([("a", 1), (None, 7), (None, None)], "k string, v int")
     checks = [Check("t", "k", NOT_NULL, (), "warn"), Check("t", "v", ACCEPTED, (1, 2), "warn"), Check("t", "k", UNIQUE)]
@@ -147,7 +170,7 @@ def test_publish_all_layers(spark):
     stamp = F.lit("2024-06-01").cast("timestamp_ntz")
     predictions = c360.select("customer_id", F.lit("2024-01-01").cast("date").alias("snapshot_date"), F.lit(0.5).alias("churn_probability"), F.lit("low").alias("risk_band"), stamp.alias("scored_at"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df, by = clustered(predictions, buckets)
+    df, by = storage.clustered(predictions, buckets)
     predictions = spark.table(storage.publish(df, "analytics", "clustered_predictions", cluster_by=by))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
