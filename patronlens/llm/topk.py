@@ -21,6 +21,7 @@ from patronlens.llm.common import in_small_batches, read, stash
 
 K = 5
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4_096  # rows of a block; a score array has QUERY_ROWS * CANDIDATE_ROWS doubles
+EXACT = 1 << 53  # whole doubles below are exact
 _BLOCK = "block long, ids binary, rows binary, terms binary, weights binary"
 
 
@@ -28,11 +29,19 @@ def integer_rows(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and the nonzero components floor(scale * x) as ``terms`` and ``weights``.
 
     Rows without an id or vector, or whose vector holds a null or non-finite component,
-    take no part. Weights are whole doubles, so sums are exact below 2**53.
+    take no part. Weights are whole doubles. Scores are sums of at most ``size`` products, so
+    they are exact while size * weight**2 stays below 2**53; a larger component is an error.
     """
     x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    whole = F.transform(x, lambda v: F.floor(v * scale).cast("double"))
+    most = F.sqrt(F.lit(float(EXACT)) / F.size("embedding"))
+    message = F.lit("a component is so large that scores would not be exact")
+    whole = F.transform(
+        x,
+        lambda v: F.when(F.abs(v * scale) < most - 1, F.floor(v * scale).cast("double")).otherwise(
+            F.raise_error(message).cast("double")
+        ),
+    )
     numbered = F.transform(whole, lambda v, i: F.struct(i.alias("term"), v.alias("weight")))
     kept = F.filter(numbered, lambda t: t["weight"] != 0)
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
