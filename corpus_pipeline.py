@@ -1,4 +1,9 @@
-"""A training corpus from documents: drop toxic ones, near copies and repeated passages, mix, pack."""
+"""A training corpus from documents: drop toxic ones, near copies and repeated passages, mix, pack.
+
+Every stage but the last returns the columns of its documents, whatever their names. A null
+text counts as empty, repeated rows are judged each, rows without an id are kept by the
+filters, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -36,16 +41,21 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies, _ = mixing.mix(docs)
-    taken = copies.filter("whole > 0").select(
-        F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), "mark", "whole"
+    taken = copies.filter("whole > 0").select("doc_id", "source", "mark", "whole")
+    # a document travels as one column, so no name of its columns meets one of the mix
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("of_doc"),
+        F.col("source").cast("string").alias("of_source"),
+        F.xxhash64("text").alias("of_mark"),
     )
     match = (
         F.col("doc_id").eqNullSafe(F.col("of_doc"))
         & F.col("source").eqNullSafe(F.col("of_source"))
-        & (F.xxhash64("text") == F.col("mark"))
+        & (F.col("mark") == F.col("of_mark"))
     )
-    repeated = docs.join(taken, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
-    return repeated.select(docs.columns)
+    repeated = rows.join(taken, match).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
+    return repeated.select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
