@@ -104,7 +104,7 @@ def test_predictions_are_replaced_as_a_whole(spark):
     assert spark.table(name).first()["churn_probability"] == 0.75
 
 
-def test_a_lookup_reads_a_few_pages_of_one_bucket(spark):
+def test_a_lookup_reads_a_few_pages(spark):
     stamp = F.lit("2024-06-01").cast("timestamp_ntz")
     rows = spark.range(60_000).select(
         F.col("id").alias("customer_id"), F.lit("2024-01-01").cast("date").alias("snapshot_date"),
@@ -114,16 +114,14 @@ def test_a_lookup_reads_a_few_pages_of_one_bucket(spark):
 
     def read_rows(df):
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan()
-        text = plan.toString()
-        leaf = plan.collectLeaves().head()
-        return leaf.metrics().apply("numOutputRows").value(), text
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
 
     found = storage.lookup(spark, name, [4711])
-    scanned, plan = read_rows(found)
+    scanned = read_rows(found)
     assert [r["customer_id"] for r in found.collect()] == [4711]
-    assert 0 < scanned <= 2 * storage.LOOKUP_PAGE_ROWS and "SelectedBucketsCount: 1 out of 4" in plan
-    assert read_rows(storage.lookup(spark, name, [10**9]))[0] == 0
+    assert 0 < scanned <= 2 * storage.LOOKUP_PAGE_ROWS
+    assert read_rows(storage.lookup(spark, name, [10**9])) == 0
     assert storage.lookup(spark, name, [1, 2, 10**9]).count() == 2
 
 
