@@ -754,6 +754,30 @@ def oracle_sql() -> dict[str, str]:
            FROM customer_profile""",
         "customer_profile",
     )
+    layers = {t: t for t in """stg_invoices stg_events stg_support_tickets fct_order_lines fct_orders dim_customers
+        dim_products churn_feature_panel""".split()}
+    layers |= {
+        "customer_snapshot_dates": "snapshot_dates_120",
+        "mart_customer_360": "customer_360",
+        "mart_rfm_segments": "rfm_segments",
+        "churn_features": "churn_feature_panel",
+    }
+    out["published_layers"] = sql(
+        " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {of}" for t, of in layers.items()),
+        *dict.fromkeys(layers.values()),
+    )
+    out["lowered_names"] = sql(
+        """SELECT "InvoiceNo" AS invoiceno, "StockCode" AS stockcode, "Description" AS description, "Quantity" AS quantity,
+                  "InvoiceDate" AS invoicedate, "UnitPrice" AS unitprice, "CustomerID" AS customerid, "Country" AS country,
+                  source_sheet FROM raw_invoices""",
+        "raw_invoices",
+    )
+    out["feature_columns"] = sql(
+        """SELECT frequency_180d, monetary_180d, order_trend_90d, return_cancel_rate_90d, events_30d, events_90d,
+                  engagement_decay_30d, support_tickets_90d, avg_resolution_days_90d, days_since_last_ticket
+           FROM churn_feature_panel""",
+        "churn_feature_panel",
+    )
     out["landed_events"] = table("raw_events")
     out["stored_predictions"] = table("predictions")
     out["stored_interventions"] = sql(
