@@ -9,6 +9,7 @@ they are split off first, and what lies between is encoded as if it were a text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -106,8 +107,12 @@ def encoder(path: str) -> Encoder:
 
 
 def forget_encoders() -> None:
-    """Free what this Python worker remembers of encoding."""
-    _encoders.clear()
+    """Free what this Python worker remembers of encoding, and give the memory back to the system."""
+    if _encoders:
+        _encoders.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
 
 
 def standard_tokenizer() -> str:
