@@ -1,13 +1,15 @@
 """Best-fit packing of token pieces into sequences, with certified bin counts.
 
 Documents are encoded where they lie; only piece descriptions (id, place, length, crc)
-are shuffled. Pieces are dealt to partitions of bounded size by a hash. Each partition
-packs its pieces by best-fit decreasing and gets a lower bound on its sequences from
-dual-feasible functions: any function u with u(a) + u(b) + ... <= 1 wherever
-a + b + ... <= 1 bounds the count by the sum of u over the pieces. Sequences that are
-full stay. A partition with a gap gives up its emptiest sequences, a partition whose count
-meets its bound only the emptiest one, which might be filled elsewhere. What was given up
-is exchanged, several partitions to one, and packed again, until one partition is left.
+are shuffled. The pieces of each length are dealt in turn to partitions of bounded size,
+so all partitions have the same mix of lengths. Each partition packs its pieces by
+best-fit decreasing and gets a lower bound on its sequences from dual-feasible functions:
+any function u with u(a) + u(b) + ... <= 1 wherever a + b + ... <= 1 bounds the count by
+the sum of u over the pieces. Sequences that are full stay. A partition with a gap gives
+up all its other sequences, one whose count meets its bound only the emptiest, which
+might be filled elsewhere. What was given up is dealt out and packed again; where that
+needs no fewer sequences, the earlier placement stays and only the emptiest sequence of
+each partition is exchanged, until one partition is left or nothing is saved.
 """
 
 from __future__ import annotations
@@ -15,32 +17,27 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from patronlens.llm.common import in_small_batches, read, stash, text_rows
 from patronlens.llm.tokens import encoded_slices, standard_tokenizer
 
 LENGTH = 1024
-# pieces of a partition, partitions that merge, pieces that each gives up: merged partitions are no larger
-BLOCK_PIECES, FAN_IN, GIVEN_UP = 20_000, 32, 600
+# pieces of a partition, and rounds in which partitions with a gap give up all but their full sequences
+BLOCK_PIECES, GAP_ROUNDS = 20_000, 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECE}, salt long, block long, bin long, offset long, open boolean, bins long, bound long"
+PLACED = f"{PIECE}, copy long, block long, bin long, offset long, room long, emptiest boolean, bins long, bound long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """The pieces of every text (null: empty): whole if it fits, else cut so that only the first may be shorter.
-
-    ``salt`` tells apart rows that are otherwise equal.
-    """
+    """The pieces of every text (null: empty): whole if it fits, else cut so that only the first may be shorter."""
 
     def run(batches):
-        seen = 0
         for batch in batches:
-            own = np.asarray(batch.column("doc_id").fill_null(0))
             ids_of = batch.column("doc_id")
             for first, ids, bounds in encoded_slices(batch.column("text"), tokenizer):
                 raw = memoryview(ids.tobytes())
@@ -49,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                     head = (b - a - 1) % length + 1
                     for k, at in enumerate([a, *range(a + head, b, length)]):
                         end = a + head if k == 0 else at + length
-                        out.append((first + i, k, at - a, end - at, zlib.crc32(raw[4 * at : 4 * end]), seen + first + i))
+                        out.append((first + i, k, at - a, end - at, zlib.crc32(raw[4 * at : 4 * end])))
                 rows = [np.array(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -57,11 +54,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                         pa.array(rows[1].astype(np.int32)),
                         *[pa.array(c.astype(np.int64)) for c in rows[2:]],
                     ],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-            seen += len(own)
 
-    return in_small_batches(text_rows(docs)).mapInArrow(run, f"{PIECE}, salt long")
+    return in_small_batches(text_rows(docs)).mapInArrow(run, PIECE)
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
@@ -72,7 +68,11 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     bound on the rest). For k = 1, 2, ..., a piece x with x * (k + 1) not a multiple of
     the capacity counts floor(x * (k + 1) / capacity) / k, others x / capacity.
     """
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1]
+    return least_bins_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1], capacity)
+
+
+def least_bins_of_counts(count: np.ndarray, capacity: int) -> int:
+    """``least_bins`` for ``count[n]`` pieces of each length n."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     below, mass = np.cumsum(count), np.cumsum(count * size)
@@ -115,60 +115,108 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, left
 
 
-def _pack_block(capacity: int, last: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(
-            ["length", "doc_id", "piece", "ids_crc32", "salt"], ascending=[False, True, True, True, True]
-        )
+def _pack_block(capacity: int):
+    def run(group: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("copy", "ascending")]
+        group = group.sort_by(order)
         lengths = group["length"].to_numpy()
         bins, offsets, left = best_fit(lengths.tolist(), capacity)
-        bound, room = least_bins(lengths, capacity), np.array(left)
-        given_up = np.zeros(len(left), dtype=bool)
-        if not last:
-            # the emptiest bins, up to GIVEN_UP pieces; with a certified count only the emptiest one
-            emptiest = np.argsort(-room, kind="stable")
-            held = np.cumsum(np.bincount(bins, minlength=len(left))[emptiest])
-            take = emptiest[: max(1, int((held <= GIVEN_UP).sum()))] if len(left) > bound else emptiest[:1]
-            given_up[take] = room[take] > 0
-        return group.assign(
-            bin=np.array(bins, dtype=np.int64),
-            offset=np.array(offsets, dtype=np.int64),
-            open=given_up[np.array(bins, dtype=np.int64)],
-            bins=len(left),
-            bound=bound,
-        )
+        bins, room = np.array(bins, dtype=np.int64), np.array(left, dtype=np.int64)
+        found = {
+            "bin": bins,
+            "offset": np.array(offsets, dtype=np.int64),
+            "room": room[bins],
+            "emptiest": bins == np.argmax(room),
+            "bins": np.full(len(bins), len(left)),
+            "bound": np.full(len(bins), least_bins(lengths, capacity)),
+        }
+        for name, column in found.items():
+            group = group.append_column(name, pa.array(column))
+        return group
 
     return run
 
 
+def _deal(rows: DataFrame, blocks: int, level: int) -> DataFrame:
+    """``rows`` with a ``block``: those of each length go to the blocks in turn, the next length where it stopped.
+
+    A row's turn is its number in a slice of its length plus the rows before that slice, so
+    no task sorts more than a slice, however common a length. Slices and numbers follow from
+    ids; so reruns agree, also over other file splits.
+    """
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "copy", F.lit(level)), F.lit(blocks)))
+    counts = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each length here
+    shorter = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("first"))
+    earlier = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).join(first, "length")
+    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32", "copy")
+    turn = F.col("first") + F.col("before") + F.row_number().over(within)
+    return (
+        sliced.join(before, ["length", "slice"])
+        .withColumn("block", F.pmod(turn, F.lit(blocks)))
+        .select(*rows.columns, "block")
+    )
+
+
+def _round(rows: DataFrame, length: int, level: int) -> tuple[DataFrame, int]:
+    """``rows`` placed by best-fit decreasing in partitions, and the number of these."""
+    blocks = max(1, -(-rows.count() // BLOCK_PIECES))
+    dealt = _deal(rows, blocks, level) if blocks > 1 else rows.withColumn("block", F.lit(0).cast("long"))
+    return stash(dealt.groupBy("block").applyInArrow(_pack_block(length), PLACED), f"packed-{level}"), blocks
+
+
+def _sequences(placed: DataFrame) -> int:
+    return placed.filter("offset = 0").count()
+
+
 def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     """``cut`` (from ``pieces``) with sequence_id and offset; every piece is placed once.
 
     ``bins`` and ``bound`` are those of the partition that placed the piece last. Pieces
-    of equal length are taken by id, so reruns agree. No pieces, no rows.
+    of equal length are taken by id, so reruns agree; repeated rows are placed each. No
+    pieces, no rows.
     """
-    cut = stash(cut, "pieces")
-    blocks = max(1, -(-cut.count() // BLOCK_PIECES))
-    state = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks)))
-    done, level = [], 0
-    while True:
-        placed = stash(
-            state.withColumns({c: F.lit(0).cast("long") for c in ("bin", "offset", "bins", "bound")})
-            .withColumn("open", F.lit(False))
-            .groupBy("block")
-            .applyInPandas(_pack_block(length, blocks == 1), PLACED),
-            f"packed-{level}",
-        )
+    columns = cut.columns
+    distinct = cut.groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+    rows = stash(distinct.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")), "pieces")
+
+    def numbered(placed: DataFrame, level: int) -> DataFrame:
         number = (F.lit(level).cast("long") * (1 << 58)) + F.col("block") * (1 << 24) + F.col("bin")
-        done.append(placed.filter("NOT open").withColumn("sequence_id", number))
-        if blocks == 1:
+        return placed.withColumn("sequence_id", number)
+
+    placed, blocks = _round(rows, length, 0)
+    done, level, of_level, gaps = [], 0, 0, True
+    while blocks > 1:
+        gaps = gaps and level < GAP_ROUNDS
+        given_up = (F.col("room") > 0) & (F.col("emptiest") | (F.lit(gaps) & (F.col("bins") > F.col("bound"))))
+        given = placed.filter(given_up)
+        before = _sequences(given)
+        if not before:
             break
-        state = placed.filter("open").select(*cut.columns, F.floor(F.col("block") / FAN_IN).alias("block"))
-        blocks, level = -(-blocks // FAN_IN), level + 1
-    out = done[0]
-    for more in done[1:]:
+        level += 1
+        again, fewer = _round(given.select(*rows.columns), length, level)
+        if _sequences(again) < before:
+            done.append(numbered(placed.filter(~given_up), of_level))
+            placed, blocks, of_level = again, fewer, level
+        elif gaps:
+            gaps = False
+        else:
+            break
+    out = numbered(placed, of_level)
+    for more in done:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound")
+    return out.select(*columns, "sequence_id", "offset", "bins", "bound")
+
+
+def certificate(packed: DataFrame, length: int = LENGTH) -> tuple[int, int]:
+    """The number of sequences of a packing, and a lower bound on that of any packing of its pieces."""
+    counts = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length
+    count = np.zeros(length + 1, dtype=np.int64)
+    for r in counts:
+        count[r["length"]] = r["n"]
+    return _sequences(packed), least_bins_of_counts(count, length)
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,13 +192,49 @@ def check_packing(rows, texts, capacity):
 @pytest.mark.parametrize("block", [20_000, 10])
 def test_packing_places_every_piece_once(spark, monkeypatch, odd_docs, odd_texts, no_docs, block):
     monkeypatch.setattr(packing, "BLOCK_PIECES", block)
-    monkeypatch.setattr(packing, "FAN_IN", 2)
     rows = packing.pack(packing.pieces(odd_docs, tokens.standard_tokenizer())).collect()
     n = check_packing(rows, odd_texts, packing.LENGTH)
     assert n <= packing.least_bins(np.array([r.length for r in rows]), packing.LENGTH) + 2
     assert packing.pack(packing.pieces(no_docs, tokens.standard_tokenizer())).count() == 0
 
 
+def made_pieces(spark, n, length):
+    return spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.lit(0).alias("piece"),
+        F.lit(0).cast("long").alias("start"),
+        F.expr(length).cast("long").alias("length"),
+        F.col("id").alias("ids_crc32"),
+    )
+
+
+@pytest.mark.parametrize(
+    "length", ["pmod(xxhash64(id), 1024) + 1", "300 + pmod(xxhash64(id), 121)", "if(id % 3 = 0, 513, 1 + pmod(xxhash64(id), 700))"]
+)
+def test_partitions_of_the_real_size_need_no_more_than_one_run(spark, length):
+    cut = made_pieces(spark, 60_000, length)
+    packed = packing.pack(cut).cache()
+    lengths = sorted((r.length for r in packed.select("length").collect()), reverse=True)
+    one_run = len(packing.best_fit(lengths, packing.LENGTH)[2])
+    sequences, bound = packing.certificate(packed)
+    assert bound == packing.least_bins(np.array(lengths), packing.LENGTH)
+    assert bound <= sequences <= one_run * 1.0001 + 1
+    held = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert held.filter("n <> end OR n > 1024").count() == 0 and held.count() == sequences
+    assert packed.select("doc_id").distinct().count() == packed.count() == 60_000
+
+
+def test_packing_agrees_over_file_splits_and_with_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 100)
+    cut = made_pieces(spark, 400, "1 + pmod(xxhash64(id), 900)")
+    odd = cut.filter("doc_id < 30").withColumn("doc_id", F.lit(None).cast("long"))
+    big = cut.filter("doc_id < 5").withColumn("doc_id", F.col("doc_id") + (1 << 60) + 1)
+    cut = cut.union(cut.filter("doc_id < 50")).union(odd).union(big)
+    first, again = (sorted(map(tuple, packing.pack(cut.repartition(n)).collect()), key=str) for n in (1, 5))
+    assert first == again and len(first) == 485
+    assert sum(r[0] is not None and r[0] > 1 << 60 for r in first) == 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
 def test_bounds_and_best_fit_enclose_the_optimum(lengths):
