@@ -5,47 +5,93 @@ beginnings of others. Every turn gets a rolling hash of all turns up to it (posi
 role and text; sums of two hashes in decimal, so they never overflow). A conversation
 whose last rolling hash is that of an earlier turn of another one is dropped by an
 anti-join; of equal conversations the least id stays. Only DataFrame functions.
+
+Turns are stored once in range order, so a conversation of any length spreads over several
+parts. Places and rolling hashes are running numbers of a part plus what its earlier parts
+hold, taken from hashes; texts come in again only to render what is kept. A rendered
+conversation is one string, so it is gathered in one task and must stay below 2 GB.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patronlens.llm.common import read
+from patronlens.llm.common import read, stash
 
 # The turn markers of the chat markup.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+# a part's rows have the numbers part * 2**33, part * 2**33 + 1, ...
+PART_BITS = 33
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
+    """Turns in order, stored: ``at`` numbers them over all conversations, ``part`` is the stretch each lies in."""
     rows = conversations.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.withColumn("place", F.row_number().over(order))
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return stash(
+        numbered.select(
+            "conv_id",
+            F.shiftright("at", PART_BITS).alias("part"),
+            "at",
+            "role",
+            "text",
+            F.xxhash64("role", "text").alias("mark"),
+            F.xxhash64("text", "role").alias("other"),
+        ),
+        "turns",
+    )
+
+
+def _before(rows: DataFrame, **sums: Column) -> DataFrame:
+    """conv_id, part and for each name the sum over the earlier parts of the conversation: a row per part."""
+    parts = rows.groupBy("conv_id", "part").agg(*[c.alias(name) for name, c in sums.items()])
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(
+        "conv_id",
+        "part",
+        *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_before") for name in sums],
+        *[F.sum(name).over(Window.partitionBy("conv_id")).alias(f"{name}_in_all") for name in sums],
+    )
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of conversations that no longer one begins with; the least id of equal ones."""
-    hashed = turns.select(
-        "conv_id",
-        "place",
-        F.xxhash64("place", "role", "text").cast("decimal(38,0)").alias("one"),
-        F.xxhash64("text", "role", "place").cast("decimal(38,0)").alias("two"),
+    in_part = Window.partitionBy("conv_id", "part").orderBy("at")
+    so_far = in_part.rowsBetween(Window.unboundedPreceding, 0)
+    narrow = turns.select("conv_id", "part", "at", "mark", "other")
+    placed = (
+        narrow.join(_before(narrow, n=F.count(F.lit(1))), ["conv_id", "part"])
+        .withColumn("place", F.col("n_before") + F.row_number().over(in_part))
+        .withColumnRenamed("n_in_all", "n_turns")
+    )
+    hashed = stash(
+        placed.select(
+            "conv_id",
+            "part",
+            "at",
+            "place",
+            "n_turns",
+            F.xxhash64("place", "mark").cast("decimal(38,0)").alias("one"),
+            F.xxhash64("other", "place").cast("decimal(38,0)").alias("two"),
+        ),
+        "hashed-turns",
     )
-    so_far = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("conv_id")
-    rolling = hashed.select(
+    rolling = hashed.join(_before(hashed, a=F.sum("one"), b=F.sum("two")), ["conv_id", "part"]).select(
         "conv_id",
         "place",
-        F.sum("one").over(so_far).alias("one"),
-        F.sum("two").over(so_far).alias("two"),
-        F.count(F.lit(1)).over(whole).alias("n_turns"),
+        "n_turns",
+        (F.col("a_before") + F.sum("one").over(so_far)).cast("decimal(38,0)").alias("one"),
+        (F.col("b_before") + F.sum("two").over(so_far)).cast("decimal(38,0)").alias("two"),
     )
     longest = (
         rolling.filter("place = n_turns").groupBy("place", "one", "two").agg(F.min("conv_id").alias("conv_id"))
@@ -60,14 +106,15 @@ def render(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns and ``rendered`` of every maximal conversation.
 
     Turns go by number, nulls first, equal numbers by role and text; repeated rows are
-    turns like others. Null roles and texts are empty. Rows without a conversation id
-    belong to none and are left out. Other columns are ignored. An empty table gives no rows.
+    turns like others. Null roles and texts are empty. Texts are rendered as they are, also
+    where they hold the markers themselves. Rows without a conversation id belong to none
+    and are left out. Other columns are ignored. An empty table gives no rows.
     """
     turns = _turns(conversations)
-    kept = turns.join(maximal_conversations(turns), "conv_id")
+    kept = turns.select("conv_id", "at", "role", "text").join(maximal_conversations(turns), "conv_id")
     line = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
     return (
-        kept.select("conv_id", "n_turns", F.struct("place", line.alias("line")).alias("turn"))
+        kept.select("conv_id", "n_turns", F.struct("at", line.alias("line")).alias("turn"))
         .groupBy("conv_id", "n_turns")
         .agg(F.array_sort(F.collect_list("turn")).alias("turns"))
         .select("conv_id", "n_turns", F.array_join("turns.line", "").alias("rendered"))
