@@ -6,7 +6,7 @@ array of scores for the candidates; term by term, the weights of the queries tha
 the term are scattered times the postings' weights into it. Of each score row a partition
 selection keeps the k best, and the selections of all candidate blocks are merged.
 Queries and candidates travel as blocks of bounded size; every candidate block meets
-every query block once.
+every query block once; the pairs are dealt to tasks by both blocks.
 """
 
 from __future__ import annotations
@@ -129,14 +129,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     left = _blocks(queries.dropDuplicates(["vec_id"]), QUERY_ROWS)
     right = _blocks(candidates, CANDIDATE_ROWS)
     columns = ["ids", "rows", "terms", "weights"]
-    # every block of one side with every block of the other: bounded blocks, not rows, and one join key
+    # every block of one side with every block of the other: bounded blocks, not rows
     n = left.count()
     places = left.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)  # block numbers only
     numbered = left.join(places, "block")
-    pairs = (
-        right.select(F.struct(*columns).alias("candidate"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("place"))
-        .join(numbered.select("place", F.struct(*columns).alias("query")), "place")
+    # few query blocks would be few tasks, so their candidate blocks are dealt to several shares each
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, -(-tasks // max(n, 1)))
+    query = numbered.select(
+        "place", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.struct(*columns).alias("query")
     )
+    candidate = right.select(
+        F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("place"),
+        F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int").alias("share"),
+        F.struct(*columns).alias("candidate"),
+    )
+    # by number of partitions: sizes in bytes say little about this work, so they must not join them again
+    pairs = candidate.repartition(tasks, "place", "share").join(query.repartition(tasks, "place", "share"), ["place", "share"])
     found = in_small_batches(pairs.select("query", "candidate")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -138,6 +138,35 @@ def test_conversations_collapse_to_the_longest(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_a_long_conversation_spreads_over_parts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        said = [(t, "user", f"turn {t}" if t != 700 else "long " * 200_000) for t in range(2_000)]
+        rows = [(c, *turn) for c, n in ((1, 1_500), (2, 2_000), (3, 2_000), (4, 1)) for turn in said[:n]]
+        rows += [(5, *said[0]), (5, 1, "user", "turn 1<|im_end|>\n")]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        stored = chat._turns(df)
+        assert stored.filter("conv_id = 2").select("part").distinct().count() > 1
+        found = {r.conv_id: (r.n_turns, r.rendered) for r in chat.render(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert found == {
+        2: (2_000, "".join(line(role, text) for _, role, text in said)),
+        5: (2, line("user", "turn 0") + line("user", "turn 1<|im_end|>\n")),
+    }
+
+
+def test_few_query_blocks_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 20)
+    vectors = [(i, [float(i % 7), float(-i % 5), 1.0]) for i in range(400)]
+    part = topk.integer_rows(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    seen = topk.top_k(part.filter("vec_id % 50 = 0"), part)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [place" in plan and "share" in plan
+    assert seen.count() == 8 * 5
+
+
 def ids_of(texts):
     tool = tokens.encoder(tokens.standard_tokenizer()).tokenizer
     return [e.ids + [tokens.END] for e in tool.encode_batch([t or "" for t in texts], add_special_tokens=False)]
