@@ -6,9 +6,10 @@ role and text; sums of two hashes in decimal, so they never overflow). A convers
 whose last rolling hash is that of an earlier turn of another one is dropped by an
 anti-join; of equal conversations the least id stays. Only DataFrame functions.
 
-Turns are stored once in range order, so a conversation of any length spreads over several
-parts. Places and rolling hashes are running numbers of a part plus what its earlier parts
-hold, taken from hashes; texts come in again only to render what is kept. A rendered
+Hashes of turns are stored in range order, so a conversation of any length spreads over
+several parts. Places and rolling hashes are running numbers of a part plus what its
+earlier parts hold. Texts are moved only to render what is kept, and before that where
+several turns have one number and role, as text then decides their order. A rendered
 conversation is one string, so it is gathered in one task and must stay below 2 GB.
 """
 
@@ -29,27 +30,26 @@ PART_BITS = 33
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    """Turns in order, stored: ``at`` numbers them over all conversations, ``part`` is the stretch each lies in."""
-    rows = conversations.filter(F.col("conv_id").isNotNull()).select(
+    return conversations.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    return stash(
-        numbered.select(
-            "conv_id",
-            F.shiftright("at", PART_BITS).alias("part"),
-            "at",
-            "role",
-            "text",
-            F.xxhash64("role", "text").alias("mark"),
-            F.xxhash64("text", "role").alias("other"),
-        ),
-        "turns",
+
+
+def _ordered(turns: DataFrame) -> DataFrame:
+    """Hashes of turns in order, stored: ``at`` numbers them over all conversations, ``part`` is the stretch each lies in."""
+    marked = turns.withColumn("mark", F.xxhash64("role", "text")).withColumn("other", F.xxhash64("text", "role"))
+    groups = marked.groupBy("conv_id", "turn", "role").agg(F.min("mark").alias("least"), F.max("mark").alias("most"))
+    tied = stash(groups.filter("least <> most").select(*[F.col(c).alias(f"tied_{c}") for c in ("conv_id", "turn", "role")]), "tied")
+    same = (F.col("conv_id") == F.col("tied_conv_id")) & F.col("turn").eqNullSafe(F.col("tied_turn")) & (F.col("role") == F.col("tied_role"))
+    narrow = marked.join(tied, same, "left").select(
+        "conv_id", "turn", "role", "mark", "other", F.when(F.col("tied_conv_id").isNotNull(), F.col("text")).alias("text")
     )
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    numbered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return stash(numbered.select("conv_id", F.shiftright("at", PART_BITS).alias("part"), "at", "mark", "other"), "turns")
 
 
 def _before(rows: DataFrame, **sums: Column) -> DataFrame:
@@ -68,7 +68,7 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of conversations that no longer one begins with; the least id of equal ones."""
     in_part = Window.partitionBy("conv_id", "part").orderBy("at")
     so_far = in_part.rowsBetween(Window.unboundedPreceding, 0)
-    narrow = turns.select("conv_id", "part", "at", "mark", "other")
+    narrow = _ordered(turns)
     placed = (
         narrow.join(_before(narrow, n=F.count(F.lit(1))), ["conv_id", "part"])
         .withColumn("place", F.col("n_before") + F.row_number().over(in_part))
@@ -111,13 +111,13 @@ def render(conversations: DataFrame) -> DataFrame:
     and are left out. Other columns are ignored. An empty table gives no rows.
     """
     turns = _turns(conversations)
-    kept = turns.select("conv_id", "at", "role", "text").join(maximal_conversations(turns), "conv_id")
-    line = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
+    kept = turns.join(maximal_conversations(turns), "conv_id")
+    line = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE + "\n"))
     return (
-        kept.select("conv_id", "n_turns", F.struct("at", line.alias("line")).alias("turn"))
+        kept.select("conv_id", "n_turns", F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text").alias("turn"))
         .groupBy("conv_id", "n_turns")
         .agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-        .select("conv_id", "n_turns", F.array_join("turns.line", "").alias("rendered"))
+        .select("conv_id", "n_turns", F.array_join(F.transform("turns", line), "").alias("rendered"))
     )
 
 

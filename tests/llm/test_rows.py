@@ -125,6 +125,7 @@ def test_only_block_numbers_meet_the_window_without_a_partition(spark):
 def test_conversations_collapse_to_the_longest(spark):
     turns = ["hi", "hello", "bye", "ok"]
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", turns[t]) for c, n in ((1, 2), (2, 4), (3, 3), (4, 4)) for t in range(n)]
+    rows += [(8, 0, "user", x) for x in ("q", "p", "r")] + [(9, 0, "user", "p"), (10, 0, "user", "r"), (11, 0, "user", "p"), (11, 0, "user", "q")]
     rows += [(5, 0, "user", "hi"), (5, 1, "user", "hello"), (6, None, None, None), (7, 3, "user", "b"), (7, 3, "user", "a"), (None, 0, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(9)).repartition(3)
     found = {r.conv_id: (r.n_turns, r.rendered) for r in chat.render(df).collect()}
@@ -134,6 +135,8 @@ def test_conversations_collapse_to_the_longest(spark):
         5: (2, line("user", "hi") + line("user", "hello")),
         6: (1, line("", "")),
         7: (2, line("user", "a") + line("user", "b")),
+        8: (3, line("user", "p") + line("user", "q") + line("user", "r")),
+        10: (1, line("user", "r")),
     }
     assert chat.render(df.limit(0)).count() == 0
 
@@ -145,7 +148,7 @@ def test_a_long_conversation_spreads_over_parts(spark):
         rows = [(c, *turn) for c, n in ((1, 1_500), (2, 2_000), (3, 2_000), (4, 1)) for turn in said[:n]]
         rows += [(5, *said[0]), (5, 1, "user", "turn 1<|im_end|>\n")]
         df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-        stored = chat._turns(df)
+        stored = chat._ordered(chat._turns(df))
         assert stored.filter("conv_id = 2").select("part").distinct().count() > 1
         found = {r.conv_id: (r.n_turns, r.rendered) for r in chat.render(df).collect()}
     finally:
