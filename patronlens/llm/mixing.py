@@ -92,7 +92,7 @@ def _settle_block(final: bool):
         whole = group["whole"].to_numpy(copy=True)
         draws = np.random.default_rng(int(group["seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF).random(len(group))
         held = -1
-        # large units first, so the one left over at the end is small
+        # by falling mass: small units are settled against a large one, which may be the one left over
         for i in (i for i, r in enumerate(rest) if r > 0):
             if held < 0:
                 held = i

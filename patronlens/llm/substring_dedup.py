@@ -8,7 +8,8 @@ every window is first represented by the least Rabin-Karp hash among its shorter
 of ``gram`` words (equal windows have equal representatives): representatives are counted
 in Spark, and only windows whose representative occurs in two documents are counted
 themselves. Hash counts are combined in each task before the shuffle, so a passage that a
-third of all documents share costs one row per task. Windows with a smaller owner go back
+third of all documents share costs one row per task in the counts; the joins that take
+counts back to windows still meet all its windows under one key. Windows with a smaller owner go back
 to their documents and merge into maximal removal intervals there. A whole text that a
 smaller id also has needs no windows: all of them go.
 
