@@ -97,13 +97,24 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts - starts, counts)
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of an Arrow string array; null counts as empty. ``lower`` folds A-Z."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row and the bounds of each; null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the bytes from each start to before its end."""
+    values = _EXACT[data]
+    return _BYTES.ranges(values, starts, ends), _WINDOWS[1].ranges(values, starts, ends)
+
+
+def split(texts: pa.Array, lower: bool = False) -> Words:
+    """Words of an Arrow string array; null counts as empty. ``lower`` folds A-Z."""
+    data, offsets = text_bytes(texts)
     gap = np.ones(len(data) + 2, dtype=bool)
     gap[1:-1] = _SPACE[data]
     left, right = ~gap[1:-1] & gap[:-2], ~gap[1:-1] & gap[2:]

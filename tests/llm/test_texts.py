@@ -195,6 +195,57 @@ def test_a_marker_is_one_token():
     assert found[2] == [50256, 50256, tokens.END] and 50256 not in found[4]
 
 
+ODD = [" ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\u1680", "\u0085", "\x1c", "\u201cq\u201d", "\u00c2", "\u3042", "\U0001f600", "a", "b", "1", ".", "x" * 70]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(ODD), max_size=14).map("".join), max_size=5))
+def test_wide_spaces_and_long_cuts_have_the_ids_of_the_library(texts):
+    whole = [library().encode(t or "", add_special_tokens=False).ids + [tokens.END] for t in texts]
+    ids, bounds = tokens.encoder(tokens.standard_tokenizer()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == whole
+
+
+def odd_words(seed: int, n: int) -> str:
+    return " ".join(f"w{(seed * 7919 + i * i) % 997}{'-' * (i % 5)}" for i in range(n))
+
+
+def test_forgotten_cuts_are_learned_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    monkeypatch.setattr(tokens, "_RECENT", 50)
+    monkeypatch.setattr(tokens, "_BLOCK", 64)
+    tool = tokens.Encoder(tokens.standard_tokenizer())
+    for seed in range(12):
+        texts = [odd_words(seed, 400), "always the the the same", None, odd_words(seed + 1, 30)]
+        ids, bounds = tool.encode(texts)
+        whole = [library().encode(t or "", add_special_tokens=False).ids + [tokens.END] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == whole
+    tool._drop_rare()
+    assert tool.check.size <= 150
+    assert (tool._find(*hashes_of(" the")) >= 0).all()
+
+
+def hashes_of(cut: str):
+    data = np.frombuffer(cut.encode(), dtype=np.uint8)
+    return words.byte_hashes(data, np.array([0]), np.array([len(data)]))
+
+
+def test_cuts_of_one_hash_are_told_apart(monkeypatch):
+    real = words.byte_hashes
+
+    def crowded(data, starts, ends):
+        one, two = real(data, starts, ends)
+        return one % np.uint64(5), two
+
+    monkeypatch.setattr(words, "byte_hashes", crowded)
+    tool = tokens.Encoder(tokens.standard_tokenizer())
+    for seed in range(4):
+        texts = [odd_words(seed, 60), "", odd_words(seed + 1, 60)]
+        ids, bounds = tool.encode(texts)
+        whole = [library().encode(t, add_special_tokens=False).ids + [tokens.END] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == whole
+
+
 def test_queries_on_the_smallest_tables(spark):
     rows = [(r.doc_id, r.text) for r in common.read(spark, SF, "documents").collect()]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op2(spark, SF).collect()}
