@@ -9,12 +9,16 @@ counts for. The final grouping reuses that partitioning.
 
 A hot customer stays small: orders are reduced to at most two rows per customer and
 day, events and tickets to one row per customer and snapshot, before the shuffle.
+
+The rows are many times more after the expansion than Spark sees in the shuffle, so the
+number of tasks follows from the customer months that the spans hold.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,9 @@ from patronlens.functions.dates import (
 from patronlens.functions.values import count_where, ratio
 from patronlens.operators.core import completed
 
+GROUPS_PER_TASK = 250_000  # customer months that one task groups at most, about
+
+
 def _snap() -> Column:
     return F.col("snapshot_date")
 
@@ -158,12 +165,29 @@ def _at_snapshot(df: DataFrame) -> DataFrame:
 
 # --- the rollup ------------------------------------------------------------------------------
 
+def _customer_months(spans: DataFrame, dates: list[datetime] | None) -> int:
+    """Rows of the panel, or with ``dates`` no fewer than it has of them."""
+    held = F.size(month_starts(F.col("first_snapshot"), F.col("last_snapshot"))).cast("long")
+    if dates is not None:
+        held = F.least(held, F.lit(len(dates)).cast("long"))
+    return spans.agg(F.sum(held)).first()[0] or 0
+
+
+def _by_customer(rows: DataFrame, groups: int) -> DataFrame:
+    """The rows dealt out by customer, over so many tasks that each has GROUPS_PER_TASK groups at most."""
+    tasks = ceil(groups / GROUPS_PER_TASK)
+    if tasks <= rows.sparkSession.sparkContext.defaultParallelism:
+        return rows.repartition("customer_id")  # small: Spark chooses
+    return rows.repartition(tasks, "customer_id")
+
+
 def _rollup(
     spans: DataFrame, parts: list[DataFrame], measures: list[Column], dates: list[datetime] | None = None
 ) -> DataFrame:
     """Shuffle all parts once by customer, expand to month starts, group, keep the spine.
 
-    With ``dates`` only rows that count for these snapshots are shuffled and expanded.
+    With ``dates`` only rows that count for these snapshots are shuffled and expanded. The
+    spans are read twice, so pass a stored table.
     """
     spine = spans.select(
         "customer_id",
@@ -174,7 +198,7 @@ def _rollup(
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spine, *parts])
     if dates is not None:
         rows = rows.filter((F.col("first_month") <= _ntz(max(dates))) & (F.col("last_month") >= _ntz(min(dates))))
-    expanded = rows.repartition("customer_id").withColumn(
+    expanded = _by_customer(rows, _customer_months(spans, dates)).withColumn(
         "snapshot_date", F.explode(month_starts(F.col("first_month"), F.col("last_month")))
     )
     if dates is not None:

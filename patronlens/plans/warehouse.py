@@ -23,7 +23,8 @@ class Warehouse:
     """Each table is a lazy DataFrame, built on first use.
 
     ``invoice_totals`` feeds orders, customers and everything after them, so it is
-    written once to the shared folder and the later tables scan it. With
+    written once to the shared folder and the later tables scan it, as are the customers'
+    spans, from which the panel takes its rows and its number of tasks. With
     ``store_lines`` the staged lines are written too; use it when products or purchases
     are needed next to the orders.
     """
@@ -66,7 +67,7 @@ class Warehouse:
 
     @cached_property
     def customer_spans(self) -> DataFrame:
-        return panel.customer_spans(self.fct_orders, self.dim_customers, self.max_months)
+        return stash(panel.customer_spans(self.fct_orders, self.dim_customers, self.max_months), "customer-spans")
 
     @cached_property
     def customer_snapshot_dates(self) -> DataFrame:
