@@ -12,11 +12,16 @@ from patronlens.operators.order_statistics import quantiles
 def latest_snapshot(panel: DataFrame) -> DataFrame:
     """The newest row of each customer; ``panel`` has one row per customer and date.
 
-    A hash aggregate finds the newest date of each customer, then a semi-join keeps the
-    rows with it. Pass a stored table, as it is read twice.
+    One hash aggregate takes every column at the customer's newest date, so ``panel`` is
+    read once and, where it is partitioned by customer already, not shuffled.
     """
-    newest = panel.groupBy("customer_id").agg(F.max("snapshot_date").alias("snapshot_date"))
-    return panel.join(newest, ["customer_id", "snapshot_date"], "left_semi").select(panel.columns)
+    keys = ("customer_id", "snapshot_date")
+    rest = [c for c in panel.columns if c not in keys]
+    dated = panel.filter(F.col("customer_id").isNotNull() & F.col("snapshot_date").isNotNull())
+    newest = dated.groupBy("customer_id").agg(
+        F.max("snapshot_date").alias("snapshot_date"), *[F.max_by(c, "snapshot_date").alias(c) for c in rest]
+    )
+    return newest.select(panel.columns)
 
 
 def band_edges(scored: DataFrame) -> list[float]:
