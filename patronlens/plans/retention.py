@@ -82,25 +82,26 @@ def retry_rounds(contexts: DataFrame, answer: Answer, products: DataFrame, max_a
 
     A round asks for the customers whose earlier answers all failed; ``feedback`` holds the
     rules that the last one broke, or ``no_answer``. Of several answers to a request one
-    valid one is enough, else the least list of rules is the feedback. The state and the
-    checked answers of each round are stored, so a lost executor repeats neither the
-    questions nor the checks, and later rounds join few narrow rows.
+    valid one is enough, else the least list of rules is the feedback. The contexts, and the
+    state and the checked answers of each round are stored, so no round builds the contexts
+    again, a lost executor repeats neither the questions nor the checks, and later rounds
+    join few narrow rows.
     """
-    base = contexts.drop("feedback")
+    base = stash(contexts.drop("feedback"), "contexts")
     unasked = F.lit(None).cast("string").alias("feedback")
     open_now = base.select("customer_id", unasked)
     rounds, asked, checked = [], [], []
     for attempt in range(1, max_attempts + 1):
         number = F.lit(attempt).alias("attempt")
-        open_now = stash(open_now, f"open-{attempt}")
-        requests = base.join(open_now, "customer_id").select("*", number)
+        asked_now = stash(open_now, f"open-{attempt}")
+        requests = base.join(asked_now, "customer_id").select("*", number)
         answers = answer(requests, attempt).select("customer_id", number, "payload")
         found = stash(o.check_offers(answers, products), f"answers-{attempt}")
         ended = found.groupBy("customer_id").agg(
             F.bool_or(F.size("reasons") == 0).alias("accepted"), F.min(F.concat_ws(", ", "reasons")).alias("rules")
         )
         accepted = F.coalesce("accepted", F.lit(False))
-        state = open_now.select("customer_id").join(ended, "customer_id", "left").select(
+        state = asked_now.select("customer_id").join(ended, "customer_id", "left").select(
             "customer_id",
             number,
             accepted.alias("accepted"),
@@ -109,10 +110,10 @@ def retry_rounds(contexts: DataFrame, answer: Answer, products: DataFrame, max_a
         state = stash(state, f"state-{attempt}")
         open_now = state.filter("NOT accepted").select("customer_id", "feedback")
         rounds.append(state)
-        asked.append(requests)
+        asked.append(asked_now.select("*", number))
         checked.append(found)
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return RetryRounds(union(asked), union(checked), union(rounds))
+    return RetryRounds(base.join(union(asked), "customer_id"), union(checked), union(rounds))
 
 
 def run_with_retries(
@@ -132,7 +133,8 @@ def run_with_retries(
     chosen = high_risk(predictions)
     chosen = stash(by_risk(chosen, limit) if limit else chosen, "high-risk")
     own = [df.join(chosen.select("customer_id"), "customer_id", "left_semi") for df in (profiles, explanations, candidates)]
-    explained = stash(o.explanation_json(own[1]), "explained")
+    own[1] = stash(own[1], "explanations")
+    explained = o.explanation_json(own[1])
     rounds = retry_rounds(o.offer_context(*own), answer, products)
     made = rounds.state.groupBy("customer_id").agg(F.max("attempt").alias("attempts"))
     valid = o.first_valid(o.accepted(rounds.answers)).select(

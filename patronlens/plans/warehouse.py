@@ -25,8 +25,8 @@ class Warehouse:
     ``invoice_totals`` feeds orders, customers and everything after them, so it is
     written once to the shared folder and the later tables scan it, as are the customers'
     spans, from which the panel takes its rows and its number of tasks. With
-    ``store_lines`` the staged lines are written too; use it when products or purchases
-    are needed next to the orders.
+    ``store_lines`` the staged lines and the products are written too; use it when products
+    or purchases are needed next to the orders.
     """
 
     def __init__(self, raw: RawInputs, max_months: int | None = MAX_MONTHS, store_lines: bool = False):
@@ -63,7 +63,8 @@ class Warehouse:
 
     @cached_property
     def dim_products(self) -> DataFrame:
-        return core.products(self.fct_order_lines)
+        products = core.products(self.fct_order_lines)
+        return stash(products, "products") if self.store_lines else products
 
     @cached_property
     def customer_spans(self) -> DataFrame:

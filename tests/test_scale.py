@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+import registered_queries
 from patronlens.operators import offers, panel, scoring
 from patronlens.plans.retention import retry_rounds
 
@@ -77,3 +79,16 @@ def test_contexts_are_built_once_however_many_rounds(spark):
         (c, n, None if n == 1 else "malformed_json") for c in range(5) for n in (1, 2, 3)
     )
     assert rounds.requests.columns == ["customer_id", "profile_json", "feedback", "attempt"]
+
+
+def test_products_are_counted_once_where_lines_are_stored(spark):
+    warehouse = registered_queries._warehouse(spark, "/root/testdata/sf0.001", store_lines=True)
+    plan = plan_of(warehouse.dim_products)
+    assert "Aggregate" not in plan and "/products-" in plan
+
+
+def test_tables_are_judged_by_more_than_their_files(spark):
+    folder = "/root/testdata/sf0.001"
+    part = registered_queries._tables(spark, folder).part
+    reckoned = int(part._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    assert reckoned >= 8 * Path(folder, "part.parquet").stat().st_size
