@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Rows take about so many times the bytes of their parquet file. Spark judges by the file
+# whether a table is small enough to be sent to every task.
+FILE_COMPRESSION = "8.0"
+
 
 def get_session(app_name: str = "patronlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are tuned for.
@@ -18,6 +22,7 @@ def get_session(app_name: str = "patronlens", master: str | None = None, **conf:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.sources.fileCompressionFactor", FILE_COMPRESSION)
     )
     if master:
         builder = builder.master(master)

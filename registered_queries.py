@@ -24,6 +24,7 @@ from patronlens.operators import (
 from patronlens.plans import churn, incremental, retention
 from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, publish_all
 from patronlens.schemas import RAW_EVENTS
+from patronlens.session import FILE_COMPRESSION
 from patronlens.sources import bindings, invoices, storage
 from patronlens.sources.bindings import TestTables
 from patronlens.sources.storage import stash
@@ -38,6 +39,7 @@ _QUERIES: dict[str, Query] = {}
 
 def _tables(spark: SparkSession, folder: str) -> TestTables:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", FILE_COMPRESSION)
     return TestTables(spark, folder)
 
 
