@@ -90,5 +90,5 @@ def test_products_are_counted_once_where_lines_are_stored(spark):
 def test_tables_are_judged_by_more_than_their_files(spark):
     folder = "/root/testdata/sf0.001"
     part = registered_queries._tables(spark, folder).part
-    reckoned = int(part._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    reckoned = int(str(part._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert reckoned >= 8 * Path(folder, "part.parquet").stat().st_size
