@@ -1,7 +1,7 @@
 """Boosted trees with second-order splits and a learned direction for missing values.
 
 Features become bins once, between approximate quantiles; bin 0 holds the missing values.
-A tree grows level by level: one pass adds up gradients and hessians per node, feature and
+Rows that agree in all bins, label and role become one row that counts for all of them. A tree grows level by level: one pass adds up gradients and hessians per node, feature and
 bin inside every task, Spark sums them, and the driver takes at most nodes x features x
 bins rows and picks each node's split, trying the missing values on both sides. The pass
 of a tree's first level also counts the validation rows by score and label, which gives
@@ -117,7 +117,7 @@ def _numbers(batch: pd.DataFrame, columns: tuple[str, ...] | list[str]) -> np.nd
 
 
 def _binned(rows: DataFrame, booster: Booster) -> DataFrame:
-    """The rows' bins as bytes, with label, weight, role and a margin of 0."""
+    """The rows' bins as bytes, with label, weight, role, number of rows and a margin of 0; equal rows merged."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bins = booster.bins(_numbers(batch, booster.features))
@@ -127,18 +127,19 @@ def _binned(rows: DataFrame, booster: Booster) -> DataFrame:
                     "label": batch["label"],
                     "weight": batch["weight"],
                     "validation": batch["validation"],
-                    "margin": 0.0,
                 }
             )
 
     columns = [F.col(f).cast("double").alias(f) for f in booster.features]
-    schema = "bins binary, label double, weight double, validation boolean, margin double"
-    return rows.select(*columns, "label", "weight", "validation").mapInPandas(run, schema)
+    schema = "bins binary, label double, weight double, validation boolean"
+    binned = rows.select(*columns, "label", "weight", "validation").mapInPandas(run, schema)
+    merged = binned.groupBy("bins", "label", "weight", "validation").agg(F.count(F.lit(1)).cast("double").alias("held"))
+    return merged.withColumn("margin", F.lit(0.0))
 
 
 def _read(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.int16).reshape(-1, width)
-    return bins, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight", "validation", "margin"))
+    return bins, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight", "validation", "held", "margin"))
 
 
 def _with_margins(stored: DataFrame, booster: Booster, first: int) -> DataFrame:
@@ -175,13 +176,15 @@ def _pass(booster: Booster, first: int, tree: Tree, level: int):
         sums = np.zeros((2, nodes, width, BINS))
         cells = np.zeros((2, SCORE_CELLS))
         for batch in batches:
-            bins, label, weight, validation, margin = _read(batch, width)
+            bins, label, weight, validation, held, margin = _read(batch, width)
             p = 1.0 / (1.0 + np.exp(-(margin + booster.margins(bins, first))))
             if level == 0 and validation.any():
                 cell = np.minimum((p[validation] * SCORE_CELLS).astype(np.int64), SCORE_CELLS - 1)
-                cells += [np.bincount(cell[label[validation] == k], minlength=SCORE_CELLS) for k in (1, 0)]
+                of = [label[validation] == k for k in (1, 0)]
+                cells += [np.bincount(cell[k], held[validation][k], SCORE_CELLS) for k in of]
             at = tree.nodes(bins, level) - (nodes - 1)
             kept = ~validation & (at >= 0)  # rows in a leaf above are done
+            weight = weight * held
             g, h = (weight * (p - label))[kept], (weight * p * (1 - p))[kept]
             sums += histogram(bins[kept], at[kept], g, h, nodes)
         node, feature, at = np.nonzero(sums[1])

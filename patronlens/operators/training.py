@@ -1,12 +1,19 @@
-"""Churn model: gradient-boosted trees over the panel features."""
+"""Churn model: gradient-boosted trees over the panel features.
+
+The trees see a feature only by its bin, of which it has at most BINS. So values are binned
+once, before the fit, and rows that agree in all bins and the label become one row that
+weighs as much as all of them: the same sums and splits, over as many rows as there are
+different ones. The bins belong to the model, which takes raw rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, isfinite
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,38 +30,66 @@ from patronlens.fixed_values import (
     TREE_DEPTH,
     TREES,
 )
+from patronlens.operators.boosting import bin_edges
 from patronlens.operators.evaluation import class_weight, cutoff_date
 from patronlens.operators.panel import assert_no_leakage
 from patronlens.sources.storage import scratch_path, stash
 
+BINS = 32  # of a feature; as many as Spark's trees use
+ROWS_PER_TASK = 20_000  # merged rows that one task fits, about
 SCORE_CELLS = 1 << 20  # for the AUC of a round; scores in a cell count as equal
 VALUE, MISSING = "__value", "__missing"
 
 
 def model_columns(features: tuple[str, ...]) -> list[str]:
-    """Per feature the value, 0 where it is NULL, and a flag for NULL."""
+    """Per feature the bin of the value, of 0 where it is NULL, and a flag for NULL."""
     return [f + suffix for f in features for suffix in (VALUE, MISSING)]
 
 
-def model_stages(features: tuple[str, ...], trees: int) -> Pipeline:
+def feature_edges(rows: DataFrame, features: tuple[str, ...], bins: int = BINS) -> list[list[float]]:
+    """Per feature at most ``bins - 1`` edges; bin n holds the values above n of them.
+
+    Edges are quantiles. Places that frequent values leave open, as they are several
+    quantiles at once, go to quantiles of the other values. NULL counts as 0. Two scans.
+    """
+    values = rows.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    common = [[e for e in edges if isfinite(e)] for edges in bin_edges(values, features, bins + 1)]
+    others = [F.when(~F.col(f).isin(edges), F.col(f)).alias(f) if edges else F.col(f) for f, edges in zip(features, common)]
+    found = []
+    for edges, rest in zip(common, bin_edges(values.select(*others), features, bins + 1)):
+        rest, room = [e for e in rest if isfinite(e)], bins - 1 - len(edges)
+        rest = rest if len(rest) <= room else [rest[n * len(rest) // room] for n in range(room)]
+        found.append(sorted({*edges, *rest}))
+    return found
+
+
+def _bin(value: str, edges: list[float], below: int = 0) -> str:
+    """The number of edges under a value, by halving."""
+    if not edges:
+        return f"{below}D"
+    mid = len(edges) // 2
+    left, right = _bin(value, edges[:mid], below), _bin(value, edges[mid + 1 :], below + mid + 1)
+    return f"if({value} <= {edges[mid]!r}D, {left}, {right})"
+
+
+def model_stages(features: tuple[str, ...], edges: list[list[float]], trees: int) -> tuple[SQLTransformer, VectorAssembler, GBTClassifier]:
     columns = ", ".join(
-        f"coalesce(cast({f} AS double), 0D) AS {f}{VALUE}, cast({f} IS NULL AS double) AS {f}{MISSING}"
-        for f in features
+        f"{_bin(f'coalesce(cast({f} AS double), 0D)', of)} AS {f}{VALUE}, cast({f} IS NULL AS double) AS {f}{MISSING}"
+        for f, of in zip(features, edges)
     )
-    return Pipeline(
-        stages=[
-            SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
-            VectorAssembler(inputCols=model_columns(features), outputCol="features_vector"),
-            GBTClassifier(
-                featuresCol="features_vector",
-                labelCol="label",
-                weightCol="row_weight",
-                maxIter=trees,
-                maxDepth=TREE_DEPTH,
-                stepSize=LEARNING_RATE,
-                seed=SEED,
-            ),
-        ]
+    return (
+        SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
+        VectorAssembler(inputCols=model_columns(features), outputCol="features_vector"),
+        GBTClassifier(
+            featuresCol="features_vector",
+            labelCol="label",
+            weightCol="row_weight",
+            maxIter=trees,
+            maxDepth=TREE_DEPTH,
+            maxBins=BINS,
+            stepSize=LEARNING_RATE,
+            seed=SEED,
+        ),
     )
 
 
@@ -82,26 +117,34 @@ def train_rounds(
     newest training dates, on which the AUC of every round is then taken; the test dates
     stay unseen. The model is cut to the rounds up to the best one, judged as if boosting
     had ended when ``patience`` rounds in a row brought no higher AUC. Pass a stored table:
-    fitting reads it several times.
+    it is read several times. The trees are fitted on its merged rows.
     """
     assert_no_leakage(train_rows.select(*features))
     weight = class_weight(train_rows).first()["positive_weight"]
     if not weight:
         raise ValueError("training needs rows of both classes")
-    positive = F.col(LABEL_COLUMN) == 1
-    prepared = train_rows.select(
-        *features,
-        F.col(LABEL_COLUMN).cast("double").alias("label"),
-        F.when(positive, F.lit(float(weight))).otherwise(1.0).alias("row_weight"),
-        (F.col("snapshot_date") >= cutoff_date(train_rows, validation_fraction)).alias("is_validation"),
+    label = F.col(LABEL_COLUMN).cast("double")
+    is_validation = F.col("snapshot_date") >= cutoff_date(train_rows, validation_fraction)
+    prepared = train_rows.select(*features, label.alias("label"), is_validation.alias("is_validation"))
+    binning, assembler, gbt = model_stages(features, feature_edges(prepared.filter("NOT is_validation"), features), trees)
+    columns = model_columns(features)
+    merged = stash(
+        binning.transform(prepared).groupBy("is_validation", "label", *columns).agg(F.count(F.lit(1)).alias("n_rows")),
+        "training-rows",
     )
-    prepared = stash(prepared, "training-rows")
-    fitted = prepared.filter("NOT is_validation")
-    model = model_stages(features, trees).fit(fitted)
-    aucs = round_aucs(model, prepared.filter("is_validation"))
+    one = F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(1.0)
+    fitted = spread(merged.filter("NOT is_validation").withColumn("row_weight", one * F.col("n_rows")))
+    model = PipelineModel([binning, assembler, gbt.fit(assembler.transform(fitted))])
+    aucs = _merged_aucs(model, merged.filter("is_validation"))
     return cut(model, best_round([-auc for auc in aucs], patience)), aucs
 
 
+def spread(stored: DataFrame) -> DataFrame:
+    """The rows over as many tasks as they keep busy: few rows take one, many all cores."""
+    tasks = max(1, ceil(stored.count() / ROWS_PER_TASK))
+    return stored.repartition(min(tasks, stored.sparkSession.sparkContext.defaultParallelism))
+
+
 def best_round(losses: list[float], patience: int) -> int:
     """The number of rounds with the least loss, if rounds end after ``patience`` ones without a lower one."""
     best = 0
@@ -173,29 +216,36 @@ def margins_by_round(trees: list[dict[int, tuple]], weights: list[float], x: np.
 
 
 def round_aucs(model: PipelineModel, rows: DataFrame, label: str = "label") -> list[float]:
-    """The AUC of the first 1, 2, ... trees on ``rows``; 0.5 where they hold one class only.
+    """The AUC of the first 1, 2, ... trees on ``rows``; 0.5 where they hold one class only."""
+    columns = model_columns(model_features(model))
+    binned = model.stages[0].transform(rows).select(*columns, F.col(label).alias("label"))
+    return _merged_aucs(model, binned.groupBy("label", *columns).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def _merged_aucs(model: PipelineModel, merged: DataFrame) -> list[float]:
+    """The AUCs on rows of bins and label that stand for ``n_rows`` each.
 
     Each task adds up its rows by round and score cell; the counts of all tasks are then
     summed and ranked round by round. A round has at most SCORE_CELLS cells, so no task
     grows with the rows.
     """
     gbt = model.stages[-1]
-    by_tree = tree_nodes(rows.sparkSession, gbt)
+    by_tree = tree_nodes(merged.sparkSession, gbt)
     trees, weights = [by_tree[n] for n in sorted(by_tree)], gbt.treeWeights
     columns = model_columns(model_features(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            positive = batch["label"].to_numpy() == 1
+            positive, held = batch["label"].to_numpy() == 1, batch["n_rows"].to_numpy()
             x = batch[columns].to_numpy(dtype=float)
             for n, margin in enumerate(margins_by_round(trees, weights, x)):
                 p = 1.0 / (1.0 + np.exp(-2.0 * margin))
                 cell, at = np.unique((p * SCORE_CELLS).astype(np.int64), return_inverse=True)
-                counts = [np.bincount(at[k], minlength=len(cell)) for k in (positive, ~positive)]
+                # sums of whole numbers below 2**53 stay exact
+                counts = [np.bincount(at[k], held[k], len(cell)).astype(np.int64) for k in (positive, ~positive)]
                 yield pd.DataFrame({"round": n, "cell": cell, "positives": counts[0], "negatives": counts[1]})
 
-    prepared = model.stages[0].transform(rows).select(*columns, F.col(label).alias("label"))
-    counted = prepared.mapInPandas(run, "round int, cell long, positives long, negatives long")
+    counted = merged.select("label", "n_rows", *columns).mapInPandas(run, "round int, cell long, positives long, negatives long")
     cells = counted.groupBy("round", "cell").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
     lower = Window.partitionBy("round").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("negatives").over(lower), F.lit(0))
