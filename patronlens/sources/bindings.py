@@ -27,8 +27,11 @@ class TestTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
     def __getattr__(self, name: str) -> DataFrame:
-        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(self.path(name))
         setattr(self, name, scan)
         return scan
 

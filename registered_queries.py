@@ -24,7 +24,7 @@ from patronlens.operators import (
 from patronlens.plans import churn, incremental, retention
 from patronlens.plans.warehouse import LAYERS, RawInputs, Warehouse, publish_all
 from patronlens.schemas import RAW_EVENTS
-from patronlens.session import FILE_COMPRESSION
+from patronlens.session import FILE_COMPRESSION, size_shuffles
 from patronlens.sources import bindings, invoices, storage
 from patronlens.sources.bindings import TestTables
 from patronlens.sources.storage import stash
@@ -33,6 +33,9 @@ from patronlens.sources.storage import stash
 # events use the whole grid within the bounds; ``snapshot_dates`` keeps 60.
 WHOLE_GRID = None
 
+# the large tables behind the raw inputs and the proposals
+SIZING_TABLES = ("customer", "orders", "lineitem", "part", "events", "documents")
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -40,7 +43,9 @@ _QUERIES: dict[str, Query] = {}
 def _tables(spark: SparkSession, folder: str) -> TestTables:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.fileCompressionFactor", FILE_COMPRESSION)
-    return TestTables(spark, folder)
+    tables = TestTables(spark, folder)
+    size_shuffles(spark, [tables.path(t) for t in SIZING_TABLES])
+    return tables
 
 
 class BoundInputs:
