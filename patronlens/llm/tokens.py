@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, in Arrow batches.
 
 The byte-level tokenizer first splits a text into pieces and never joins pieces across
-white space that is followed by something else. So texts are cut there, and each distinct
+white space that is followed by something else, nor a letter and a punctuation mark after
+it. So texts are cut there (at ASCII letters and marks only, which bytes tell), and each distinct
 cut is encoded once and remembered; the ids are those of the whole text. Cuts are found,
 hashed and looked up as arrays of whole slices; only those not yet known become strings.
 
@@ -32,6 +33,11 @@ _encoders: dict[str, Encoder] = {}
 _AFTER = np.ones(256, dtype=np.uint8)
 _AFTER[:0x21] = 0
 _AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
+# a mark after a letter starts a piece: no piece that holds the letter can take it in
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+_MARK[0x30:0x3A] = False
 _WIDE_SPACES = [
     int.from_bytes(chr(c).encode())
     for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -57,7 +63,7 @@ class _Column:
 
 
 def _cut_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where cuts start: at texts that are not empty, and at spaces and line ends before something else."""
+    """Where cuts start: at texts that are not empty, at spaces and line ends before something else, at marks after letters."""
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     at = np.flatnonzero((data == 0x20) | (data == 0x0A))
@@ -70,6 +76,7 @@ def _cut_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     code = np.where(lead == 0xC2, code, (code << 8) | data[np.minimum(unsure + 3, len(data) - 1)])
     first[at[after == 1]] = True
     first[unsure[~np.isin(code, _WIDE_SPACES)]] = True
+    first[1:-1] |= _MARK[data[1:]] & _LETTER[data[:-1]]
     return np.flatnonzero(first[:-1])
 
 
