@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from patronlens.sources.storage import stash
 
-__all__ = ["arrow_pass", "components", "in_small_batches", "read", "stash", "text_rows"]
+__all__ = ["arrow_pass", "components", "give_back", "in_small_batches", "read", "stash", "text_rows"]
 
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
@@ -38,6 +39,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return the free memory that Arrow's and C's allocators keep to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def arrow_pass(
     df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]], schema: str, encodes: bool = False
 ) -> DataFrame:
@@ -56,7 +65,7 @@ def arrow_pass(
                     [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns)
                 )
         # workers are used again by later tasks: give back what this one needed
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return in_small_batches(df).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patronlens.llm.common import in_small_batches, read, stash, text_rows
+from patronlens.llm.common import arrow_pass, read, stash, text_rows
 from patronlens.llm.tokens import encoded_slices, standard_tokenizer
 
 LENGTH = 1024
@@ -36,28 +36,26 @@ PLACED = f"{PIECE}, copy long, block long, bin long, offset long, room long, emp
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """The pieces of every text (null: empty): whole if it fits, else cut so that only the first may be shorter."""
 
-    def run(batches):
-        for batch in batches:
-            ids_of = batch.column("doc_id")
-            for first, ids, bounds in encoded_slices(batch.column("text"), tokenizer):
-                raw = memoryview(ids.tobytes())
-                out = []
-                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                    head = (b - a - 1) % length + 1
-                    for k, at in enumerate([a, *range(a + head, b, length)]):
-                        end = a + head if k == 0 else at + length
-                        out.append((first + i, k, at - a, end - at, zlib.crc32(raw[4 * at : 4 * end])))
-                rows = [np.array(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids_of.take(pa.array(rows[0])),
-                        pa.array(rows[1].astype(np.int32)),
-                        *[pa.array(c.astype(np.int64)) for c in rows[2:]],
-                    ],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
-
-    return in_small_batches(text_rows(docs)).mapInArrow(run, PIECE)
+    def build(batch: pa.RecordBatch):
+        ids_of = batch.column("doc_id")
+        for first, ids, bounds in encoded_slices(batch.column("text"), tokenizer):
+            raw = memoryview(ids.tobytes())
+            out = []
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                head = (b - a - 1) % length + 1
+                for k, at in enumerate([a, *range(a + head, b, length)]):
+                    end = a + head if k == 0 else at + length
+                    out.append((first + i, k, at - a, end - at, zlib.crc32(raw[4 * at : 4 * end])))
+            rows = [np.array(c) for c in zip(*out)]
+            yield {
+                "doc_id": ids_of.take(pa.array(rows[0])),
+                "piece": rows[1].astype(np.int32),
+                "start": rows[2].astype(np.int64),
+                "length": rows[3].astype(np.int64),
+                "ids_crc32": rows[4].astype(np.int64),
+            }
+
+    return arrow_pass(text_rows(docs), build, PIECE, encodes=True)
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:

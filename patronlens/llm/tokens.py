@@ -13,13 +13,13 @@ with strings of the tokenizer's added tokens, whole: they become those tokens th
 
 from __future__ import annotations
 
-import ctypes
 import os
 
 import numpy as np
 import pyarrow as pa
 
 from patronlens.llm import words
+from patronlens.llm.common import give_back
 
 END = 2
 LONGEST = 64  # bytes of a cut that is remembered
@@ -45,7 +45,7 @@ _WIDE_SPACES = [
 
 
 class _Column:
-    """Values in room that doubles."""
+    """Values in room that grows by a quarter, as both rooms are held while it does."""
 
     def __init__(self, dtype):
         self.room, self.size = np.zeros(1 << 10, dtype), 0
@@ -53,7 +53,9 @@ class _Column:
     def add(self, values: np.ndarray) -> None:
         end = self.size + len(values)
         if end > len(self.room):
-            self.room = np.concatenate([self.room, np.zeros(max(end, len(self.room)), self.room.dtype)])
+            room = np.zeros(end + (end >> 2), self.room.dtype)
+            room[: self.size] = self.held
+            self.room = room
         self.room[self.size : end] = values
         self.size = end
 
@@ -243,9 +245,7 @@ def forget_encoders() -> None:
     """Free what this Python worker remembers of encoding, and give the memory back to the system."""
     if _encoders:
         _encoders.clear()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim:
-            trim(0)
+        give_back()
 
 
 def standard_tokenizer() -> str:
@@ -255,7 +255,7 @@ def standard_tokenizer() -> str:
 
 
 def encoded_slices(texts: pa.Array, path: str):
-    """First row, ids and bounds of consecutive slices of about a megabyte; a text is never cut."""
+    """First row, ids and bounds of consecutive slices of about CHUNK_BYTES; a text is never cut."""
     tool = encoder(path)
     for first, part in words.chunks(texts):
         yield first, *tool.encode(part)

@@ -18,7 +18,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[ord("A") : ord("Z") + 1] += 32
 _MASK = (1 << 64) - 1
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10  # the arrays for words, windows and token ids take some 100 times as much
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,7 +39,7 @@ class _Polynomial:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = max(n, 2 * len(self._up))
+            size = n + (n >> 3)
             self._up = np.ones(size, dtype=np.uint64)
             self._up[1:] = np.uint64(self.base)
             self._down = np.ones(size, dtype=np.uint64)
@@ -126,12 +126,12 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data)
 
 
-def chunks(texts: pa.Array):
-    """Consecutive slices of about CHUNK_BYTES (a text is never cut), as (first row, slice)."""
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
+    """Consecutive slices of about ``most`` bytes (a text is never cut), as (first row, slice)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     first, held = 0, 0
     for i, size in enumerate(sizes):
-        if held and held + size > CHUNK_BYTES:
+        if held and held + size > most:
             yield first, texts.slice(first, i - first)
             first, held = i, 0
         held += int(size)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from patronlens.llm import tokens
+from patronlens.llm import tokens, words
 
 TEXTS = [
     "",
@@ -44,3 +48,28 @@ def test_a_word_is_learned_once_whatever_mark_follows(encoder):
     ids, _ = encoder.encode([text])
     assert ids.tolist() == whole(encoder, text)
     assert encoder.check.size <= 1 + len(words) + 6  # the first word has no space before it
+
+
+def test_memory_of_encoding_does_not_follow_the_batch():
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randrange(40_000)}" for _ in range(2_000)) for _ in range(150)]
+    batch = pa.array(texts)
+    tokens.forget_encoders()
+    tokens.encoder(tokens.standard_tokenizer())
+    tracemalloc.start()
+    try:
+        found = [ids.tolist()[:5] for _, ids, _ in tokens.encoded_slices(batch, tokens.standard_tokenizer())]
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(found) > 1 and batch.nbytes > 1_500_000
+    assert peak < 60 << 20
+
+
+def test_powers_of_hashes_take_little_more_room_than_the_longest_slice():
+    powers = words._Polynomial(0x5851F42D4C957F2D)
+    values = np.arange(1 << 16, dtype=np.uint64)
+    for n in (1 << 15, 1 << 16):
+        powers.ranges(values[:n], np.array([0]), np.array([n]))
+    powers.ranges(np.arange((1 << 16) + 9, dtype=np.uint64), np.array([0]), np.array([9]))
+    assert len(powers._up) <= 1.2 * (1 << 16)
