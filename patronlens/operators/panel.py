@@ -16,7 +16,7 @@ number of tasks follows from the customer months that the spans hold.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from math import ceil
 
@@ -105,11 +105,28 @@ def snapshot_dates(spans: DataFrame) -> DataFrame:
     )
 
 
+def newest(spans: DataFrame) -> tuple[DataFrame, list[datetime] | None]:
+    """The spans cut to the last snapshot of each customer, and all these dates (at most one per month of the grid).
+
+    The panel over both has the newest row of each customer, as the whole panel has it. ``spans``
+    are read twice, so pass a stored table.
+    """
+    dates = [r[0] for r in spans.select("last_snapshot").distinct().collect()]
+    return spans.withColumn("first_snapshot", F.col("last_snapshot")), dates or None
+
+
 # --- sources reduced to narrow rows ----------------------------------------------------------
 
-def _order_days(orders: DataFrame) -> DataFrame:
-    """Orders by customer and half day, with the month starts they can count for."""
+def _order_days(orders: DataFrame, dates: list[datetime] | None = None) -> DataFrame:
+    """Orders by customer and half day, with the month starts they can count for.
+
+    With ``dates`` those that can count for none of them are left out by their plain time,
+    before anything is derived from it.
+    """
     done = ~F.col("is_cancelled")
+    if dates is not None:
+        low, high = min(dates) - timedelta(LOOKBACK_DAYS + 1), max(dates) + timedelta(HORIZON_DAYS + 1)
+        orders = orders.filter(F.col("invoice_date").between(_ntz(low), _ntz(high)))
     return (
         orders.filter(F.col("invoice_date").isNotNull())
         .select(
@@ -197,7 +214,11 @@ def _rollup(
     )
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spine, *parts])
     if dates is not None:
-        rows = rows.filter((F.col("first_month") <= _ntz(max(dates))) & (F.col("last_month") >= _ntz(min(dates))))
+        low, high = _ntz(min(dates)), _ntz(max(dates))
+        rows = rows.filter((F.col("first_month") <= high) & (F.col("last_month") >= low))
+        rows = rows.withColumns(
+            {"first_month": F.greatest("first_month", low), "last_month": F.least("last_month", high)}
+        )
     expanded = _by_customer(rows, _customer_months(spans, dates)).withColumn(
         "snapshot_date", F.explode(month_starts(F.col("first_month"), F.col("last_month")))
     )
@@ -247,8 +268,8 @@ def _ticket_measures() -> list[Column]:
     ]
 
 
-def order_features(spans: DataFrame, orders: DataFrame) -> DataFrame:
-    return _rollup(spans, [_order_days(orders)], _order_measures()).select(
+def order_features(spans: DataFrame, orders: DataFrame, dates: list[datetime] | None = None) -> DataFrame:
+    return _rollup(spans, [_order_days(orders, dates)], _order_measures(), dates).select(
         "customer_id",
         "snapshot_date",
         day_diff(F.col("last_order"), _snap()).alias("days_since_last_order"),
@@ -289,7 +310,7 @@ def feature_panel(
     ``dates`` limits it to these snapshots; their rows are those of the full panel.
     """
     parts = [
-        _order_days(orders),
+        _order_days(orders, dates),
         _at_snapshot(_event_counts(events)),
         _at_snapshot(_ticket_totals(tickets)),
     ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -84,6 +85,18 @@ class Warehouse:
     def churn_features(self) -> DataFrame:
         return panel.churn_features(self.churn_feature_panel)
 
+    @cached_property
+    def newest_spans(self) -> tuple[DataFrame, list[datetime] | None]:
+        return panel.newest(self.customer_spans)
+
+    @cached_property
+    def newest_features(self) -> DataFrame:
+        """``churn_features`` at the last snapshot of each customer; no other customer month is built."""
+        spans, dates = self.newest_spans
+        return panel.churn_features(
+            panel.feature_panel(spans, self.fct_orders, self.stg_events, self.stg_support_tickets, dates)
+        )
+
     @cached_property
     def mart_customer_360(self) -> DataFrame:
         return marts.customer_360(self.fct_orders, self.dim_customers)

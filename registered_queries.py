@@ -153,6 +153,12 @@ _warehouse_query("customer_profile", lambda w: w.customer_profile)
 # --- split and evaluation on the fixed score -------------------------------------------------
 
 
+def _scores(orders_only: DataFrame) -> DataFrame:
+    scored = bindings.fixed_score(orders_only)
+    label = (F.lit(1) - F.col("has_future_order")).alias("churned_next_90d")
+    return scored.select("customer_id", "snapshot_date", "churn_probability", label)
+
+
 class Scored:
     """The panel with the fixed score, and predictions from it, for one set of tables."""
 
@@ -164,15 +170,15 @@ class Scored:
     def panel_scores(self) -> DataFrame:
         """Score and label of every panel row; only order features are needed for them."""
         w = self.warehouse
-        orders_only = panel.order_features(w.customer_spans, w.fct_orders)
-        scored = bindings.fixed_score(orders_only)
-        label = (F.lit(1) - F.col("has_future_order")).alias("churned_next_90d")
-        return scored.select("customer_id", "snapshot_date", "churn_probability", label)
+        return _scores(panel.order_features(w.customer_spans, w.fct_orders))
 
     @cached_property
     def predictions(self) -> DataFrame:
+        """Of the newest panel row of each customer; no other is built."""
         stamp = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
-        return scoring.with_risk_bands(stash(scoring.latest_snapshot(self.panel_scores), "latest"), stamp)
+        spans, dates = self.warehouse.newest_spans
+        newest = _scores(panel.order_features(spans, self.warehouse.fct_orders, dates))
+        return scoring.with_risk_bands(stash(scoring.latest_snapshot(newest), "latest"), stamp)
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -201,7 +207,7 @@ class Scored:
 
     @cached_property
     def explanations(self) -> DataFrame:
-        latest = scoring.latest_snapshot(self.warehouse.churn_features)
+        latest = scoring.latest_snapshot(self.warehouse.newest_features)
         return bindings.fixed_score(latest).select(
             "customer_id",
             "snapshot_date",
