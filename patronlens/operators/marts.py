@@ -26,9 +26,10 @@ def completed_order_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def customer_360(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Every customer with its completed-order figures, NULL where it has none."""
-    stats = completed_order_stats(orders)
+def customer_360(orders: DataFrame, customers: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Every customer with its completed-order figures (``stats``, if stored already), NULL where it has none."""
+    if stats is None:
+        stats = completed_order_stats(orders)
     return customers.select("customer_id", "country").join(stats, "customer_id", "left").select(
         "customer_id",
         "country",
@@ -39,11 +40,18 @@ def customer_360(orders: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def rfm_measures(orders: DataFrame) -> DataFrame:
-    """Recency, frequency, money and purchase interval of customers with a completed order."""
-    as_of = completed(orders).agg(F.max("invoice_date")).scalar()
+def rfm_measures(orders: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Recency, frequency, money and purchase interval of customers with a completed order.
+
+    ``stats`` are the figures of ``orders``, if they are stored already.
+    """
+    if stats is None:
+        stats, newest = completed_order_stats(orders), completed(orders).agg(F.max("invoice_date"))
+    else:
+        newest = stats.agg(F.max("last_order_date"))
+    as_of = newest.scalar()
     lifespan = day_diff(F.col("first_order_date"), F.col("last_order_date"))
-    return completed_order_stats(orders).select(
+    return stats.select(
         "customer_id",
         day_diff(F.col("last_order_date"), as_of).alias("recency_days"),
         F.col("order_count").alias("frequency_lifetime"),
@@ -54,9 +62,9 @@ def rfm_measures(orders: DataFrame) -> DataFrame:
     )
 
 
-def rfm_segments(orders: DataFrame, tiles: int = 5) -> DataFrame:
+def rfm_segments(orders: DataFrame, tiles: int = 5, stats: DataFrame | None = None) -> DataFrame:
     """RFM scores and the segment. Runs small jobs to find the tile boundaries."""
-    measures = stash(rfm_measures(orders), "rfm")
+    measures = stash(rfm_measures(orders, stats), "rfm")
     scored = with_ntiles(
         measures,
         {

@@ -136,10 +136,12 @@ def offer_context(
     ``previous_failures`` (customer_id, reasons) of a rejected attempt becomes feedback.
     """
     listed = F.array_sort(F.collect_list(F.struct("position", "product_id", "description")))
-    lines = F.transform(
-        listed,
-        lambda p: F.format_string("- %s (description: %s)", p["product_id"], F.coalesce(p["description"], F.lit("None"))),
-    )
+
+    def line(product: Column) -> Column:
+        name, description = F.coalesce(product["product_id"], F.lit("null")), F.coalesce(product["description"], F.lit("None"))
+        return F.concat(F.lit("- "), name, F.lit(" (description: "), description, F.lit(")"))
+
+    lines = F.transform(listed, line)
     products = candidates.groupBy("customer_id").agg(F.concat_ws("\n", lines).alias("products_block"))
     context = (
         profile_json(profiles)
@@ -219,10 +221,12 @@ def check_offers(proposals: DataFrame, products: DataFrame) -> DataFrame:
 
     Payloads are parsed once, and products join with their ids only. Spark sends the ids to
     every task where they are small; else its join splits the rows of a product that many
-    proposals name, and of those that name none.
+    proposals name, and of those that name none. Messages are checked before that join, once,
+    so it need not move their texts where only the reasons are wanted.
     """
     known = products.select(F.col("product_id").alias("product_focus"), F.lit(True).alias("known"))
-    parsed = parse_proposals(proposals).join(known, "product_focus", "left")
+    message = F.array_compact(F.array(*message_problems(F.col("messaging")))).alias("message_problems")
+    parsed = parse_proposals(proposals).select("*", message).join(known, "product_focus", "left")
     ok_object = F.col("is_object")
     field_rules = [
         F.when(F.col("offer_customer_id").isNull(), "customer_id"),
@@ -230,9 +234,9 @@ def check_offers(proposals: DataFrame, products: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.col("channel").isin(*CHANNELS), F.lit(False)), "channel"),
         F.when(F.col("product_focus").isNull(), "product_focus"),
         F.when(F.col("product_focus").isNotNull() & F.col("known").isNull(), "unknown_product"),
-        *message_problems(F.col("messaging")),
     ]
-    reasons = F.when(ok_object, F.array_compact(F.array(*field_rules))).otherwise(F.array(F.lit("malformed_json")))
+    broken = F.concat(F.array_compact(F.array(*field_rules)), F.col("message_problems"))
+    reasons = F.when(ok_object, broken).otherwise(F.array(F.lit("malformed_json")))
     return parsed.select(
         "customer_id",
         "attempt",

@@ -9,14 +9,19 @@ from patronlens.functions.dates import day_diff, parse_timestamp
 from patronlens.functions.values import whole_number
 
 
-def stage_invoices(raw_invoices: DataFrame) -> DataFrame:
+INVOICE_KEY = ["invoice_no", "customer_id"]
+
+
+def stage_invoices(raw_invoices: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct typed invoice lines with a customer.
 
     The sheet is part of the line, so copies are removed within a sheet only. The
     customer filter runs before the shuffle. That is by invoice and customer, so removing
-    copies and the totals of each invoice need no other one.
+    copies and the totals of each invoice need no other one. ``tasks`` is the number of
+    parts it makes (None: Spark chooses).
     """
     number = F.col("InvoiceNo")
+    parts = [] if tasks is None else [tasks]
     return (
         raw_invoices.filter(F.col("CustomerID").isNotNull())
         .select(
@@ -31,7 +36,7 @@ def stage_invoices(raw_invoices: DataFrame) -> DataFrame:
             F.col("source_sheet"),
             F.coalesce(F.substring(number, 1, 1) == "C", F.lit(False)).alias("is_cancelled"),
         )
-        .repartition("invoice_no", "customer_id")
+        .repartition(*parts, *INVOICE_KEY)
         .distinct()
     )
 

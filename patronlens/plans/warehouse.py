@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from patronlens.fixed_values import MAX_MONTHS
 from patronlens.operators import core, marts, panel, quality, staging
+from patronlens.session import shuffle_partitions
 from patronlens.sources.storage import TABLE_LAYERS, clustered, lookup_options, publish, stash
 
 
@@ -26,8 +27,9 @@ class Warehouse:
     ``invoice_totals`` feeds orders, customers and everything after them, so it is
     written once to the shared folder and the later tables scan it, as are the customers'
     spans, from which the panel takes its rows and its number of tasks. With
-    ``store_lines`` the staged lines and the products are written too; use it when products
-    or purchases are needed next to the orders.
+    ``store_lines`` the staged lines, the products, the customers and their order figures
+    are written too; use it when products or purchases are needed next to the orders. The
+    lines stay dealt out by invoice and customer, so their totals need no shuffle.
     """
 
     def __init__(self, raw: RawInputs, max_months: int | None = MAX_MONTHS, store_lines: bool = False):
@@ -35,8 +37,11 @@ class Warehouse:
 
     @cached_property
     def stg_invoices(self) -> DataFrame:
-        staged = staging.stage_invoices(self.raw.invoices)
-        return stash(staged, "stg-invoices") if self.store_lines else staged
+        raw = self.raw.invoices
+        if not self.store_lines:
+            return staging.stage_invoices(raw)
+        tasks = shuffle_partitions(raw.sparkSession)
+        return stash(staging.stage_invoices(raw, tasks), "stg-invoices", (tasks, staging.INVOICE_KEY))
 
     @cached_property
     def stg_events(self) -> DataFrame:
@@ -60,7 +65,13 @@ class Warehouse:
 
     @cached_property
     def dim_customers(self) -> DataFrame:
-        return core.customers(self.invoice_totals)
+        customers = core.customers(self.invoice_totals)
+        return stash(customers, "customers") if self.store_lines else customers
+
+    @cached_property
+    def order_stats(self) -> DataFrame | None:
+        """The figures that both marts take from the orders, if they are stored."""
+        return stash(marts.completed_order_stats(self.fct_orders), "order-stats") if self.store_lines else None
 
     @cached_property
     def dim_products(self) -> DataFrame:
@@ -99,11 +110,11 @@ class Warehouse:
 
     @cached_property
     def mart_customer_360(self) -> DataFrame:
-        return marts.customer_360(self.fct_orders, self.dim_customers)
+        return marts.customer_360(self.fct_orders, self.dim_customers, self.order_stats)
 
     @cached_property
     def mart_rfm_segments(self) -> DataFrame:
-        return marts.rfm_segments(self.fct_orders)
+        return marts.rfm_segments(self.fct_orders, stats=self.order_stats)
 
     @cached_property
     def customer_profile(self) -> DataFrame:

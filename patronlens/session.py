@@ -56,3 +56,9 @@ def size_shuffles(spark: SparkSession, paths: list[str]) -> int:
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLED_PER_TASK)
     spark.conf.set("spark.sql.files.maxPartitionBytes", FILE_PER_TASK)
     return partitions
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Into how many parts a shuffle deals its rows before AQE merges any."""
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", least))

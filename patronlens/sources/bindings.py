@@ -60,9 +60,10 @@ def raw_invoices(t: TestTables) -> DataFrame:
     )
     cancelled = (F.col("l_returnflag") == "R") | (customer_key % 50 == 3)
     lines = (
+        # the parts first, while lines are narrow: past the broadcast size that join moves every line
+        t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         # two facts: their compressed size is no guide to a hash table's size
-        t.lineitem.join(headers.hint("merge"), F.col("l_orderkey") == order_key)
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(headers.hint("merge"), F.col("l_orderkey") == order_key)
         .select(
             F.concat(F.when(cancelled, "C").otherwise(""), order_key.cast("string")).alias("InvoiceNo"),
             F.when(customer_key % 50 != 11, F.col("l_partkey").cast("string")).alias("StockCode"),

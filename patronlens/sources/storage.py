@@ -16,6 +16,7 @@ from patronlens.sources import versions
 VIEW_LAYERS = ("stg", "features")
 TABLE_LAYERS = ("core", "marts", "analytics")
 LOOKUP_GROUP_BYTES, LOOKUP_PAGE_ROWS = 8 << 20, 2_000
+CONCURRENT_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 # --- parquet ---------------------------------------------------------------------------------
@@ -139,15 +140,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/patronlens/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
     Used where a result feeds several branches or jobs: the branches read the same
     rows, column pruning applies per branch, and a lost executor costs one re-read.
+    Rows that are dealt out to a number of tasks by columns already keep that with ``by``:
+    they are stored in as many buckets, and groupings on these columns shuffle nothing.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    number, columns = by
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    writers = spark.conf.get(CONCURRENT_WRITERS)
+    spark.conf.set(CONCURRENT_WRITERS, 2)  # a task has one bucket: no sort by bucket before the write
+    try:
+        df.write.format("parquet").bucketBy(number, *columns).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set(CONCURRENT_WRITERS, writers)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its entry only; the files stay, and the scan knows their buckets
+    return stored
 
 
 def release(spark: SparkSession) -> None:
