@@ -5,13 +5,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property
+from math import ceil
 
 from pyspark.sql import DataFrame
 
 from patronlens.fixed_values import MAX_MONTHS
 from patronlens.operators import core, marts, panel, quality, staging
 from patronlens.session import shuffle_partitions
-from patronlens.sources.storage import TABLE_LAYERS, clustered, lookup_options, publish, stash
+from patronlens.sources.storage import (
+    CONCURRENT_WRITERS,
+    SPARE_DISK,
+    TABLE_LAYERS,
+    clustered,
+    discard,
+    lookup_options,
+    publish,
+    settings,
+    stash,
+)
 
 
 @dataclass(frozen=True)
@@ -138,27 +149,50 @@ LAYERS = {
 PARTITIONING = {"churn_feature_panel": ["snapshot_date"]}
 # one row per customer each; joins between them need no shuffle
 CLUSTERED = {"dim_customers", "mart_customer_360", "mart_rfm_segments"}
+# stored steps that no table after this one reads
+LAST_READER = {"dim_customers": "invoice_totals"}
+# A task writes so many grouping tasks' rows of the panel, with a file for each date; without sorting them, up to so many dates.
+GROUPINGS_PER_WRITER, OPEN_DATES = 8, 128
+
+
+def _few_writers(rows: DataFrame, months: int) -> DataFrame:
+    """The panel's rows in fewer tasks: a date has a file of each, and small files are mostly footers.
+
+    Such a task groups one part after the other, so its hash map doesn't grow.
+    """
+    enough = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(enough, ceil(months / (GROUPINGS_PER_WRITER * panel.GROUPS_PER_TASK))))
 
 
 def publish_all(warehouse: Warehouse, buckets: int | None = None) -> dict[str, str]:
     """Publish every table to its layer and return the names.
 
-    After a table is written, later tables read the written copy. A table whose rows fail a
-    not_null or accepted_values check of severity ``error``, counted during the write, isn't
-    switched to. ``buckets`` is the number of files of tables by customer (default: the
-    session's shuffle partitions).
+    After a table is written, later tables read the written copy, and what the warehouse had
+    stored of it, or for it alone, is deleted. The lines are bucketed by invoice and customer, so
+    their totals need no shuffle. A table whose rows fail a not_null or accepted_values check of
+    severity ``error``, counted during the write, isn't switched to. ``buckets`` is the number of
+    files of tables by customer (default: the session's shuffle partitions).
     """
     spark = warehouse.raw.invoices.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = {}
-    for table, layer in LAYERS.items():
-        df, by = getattr(warehouse, table), None
-        if table in CLUSTERED:
-            df, by = clustered(df, buckets)
-        verify = None
-        if layer in TABLE_LAYERS:
-            df, verify = quality.watched(df, [c for c in quality.STANDARD_CHECKS if c.table == table])
-        options = lookup_options("customer_id") if by else None
-        names[table] = publish(df, layer, table, PARTITIONING.get(table), by, verify, options)
-        warehouse.__dict__[table] = spark.table(names[table])
+    with settings(spark, SPARE_DISK | {CONCURRENT_WRITERS: str(OPEN_DATES)}):
+        for table, layer in LAYERS.items():
+            own = df = getattr(warehouse, table)
+            by = options = verify = None
+            if table in CLUSTERED:
+                df, by = clustered(df, buckets)
+                options = lookup_options("customer_id")
+            if table == "fct_order_lines":
+                by = shuffle_partitions(spark), staging.INVOICE_KEY
+            if table in PARTITIONING:
+                df = _few_writers(df, warehouse.customer_snapshot_dates.count())
+            if layer in TABLE_LAYERS:
+                df, verify = quality.watched(df, [c for c in quality.STANDARD_CHECKS if c.table == table])
+            names[table] = publish(df, layer, table, PARTITIONING.get(table), by, verify, options)
+            warehouse.__dict__[table] = spark.table(names[table])
+            spent = warehouse.__dict__.pop(LAST_READER[table], None) if table in LAST_READER else None
+            for stored in (spent, own if layer in TABLE_LAYERS else None):
+                if stored is not None and "stash_path" in stored.__dict__:
+                    discard(stored)
     return names

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ VIEW_LAYERS = ("stg", "features")
 TABLE_LAYERS = ("core", "marts", "analytics")
 LOOKUP_GROUP_BYTES, LOOKUP_PAGE_ROWS = 8 << 20, 2_000
 CONCURRENT_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+# small files, and no shuffle of an earlier write beside those of the next one
+SPARE_DISK = {
+    "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 # --- parquet ---------------------------------------------------------------------------------
@@ -80,9 +86,14 @@ def clustered(df: DataFrame, buckets: int, column: str = "customer_id") -> tuple
 
 
 def lookup_options(column: str) -> dict[str, str]:
-    """Small pages with indexes and a Bloom filter: a file sorted by ``column`` is read a few pages per value."""
+    """Small pages with indexes and a Bloom filter: a file sorted by ``column`` is read a few pages per value.
+
+    The filter gets the size its values need; without that it takes 1 MB in every file.
+    """
     return {
         f"parquet.bloom.filter.enabled#{column}": "true",
+        "parquet.bloom.filter.adaptive.enabled": "true",
+        f"parquet.bloom.filter.candidates.number#{column}": "12",
         "parquet.block.size": str(LOOKUP_GROUP_BYTES),
         "parquet.page.row.count.limit": str(LOOKUP_PAGE_ROWS),
     }
@@ -151,24 +162,43 @@ def stash(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None) ->
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     if by is None:
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        stored = spark.read.schema(df.schema).parquet(path)
+        stored.stash_path = path
+        return stored
     number, columns = by
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-    writers = spark.conf.get(CONCURRENT_WRITERS)
-    spark.conf.set(CONCURRENT_WRITERS, 2)  # a task has one bucket: no sort by bucket before the write
-    try:
+    # a task has one bucket: no sort by bucket before the write
+    with settings(spark, {CONCURRENT_WRITERS: "2"}):
         df.write.format("parquet").bucketBy(number, *columns).option("path", path).saveAsTable(name)
-    finally:
-        spark.conf.set(CONCURRENT_WRITERS, writers)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its entry only; the files stay, and the scan knows their buckets
+    stored.stash_path = path
     return stored
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has these settings inside, and those of before afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``stash`` returned and that nothing reads any more."""
+    _delete(stored.sparkSession, stored.stash_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's intermediate tables."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/patronlens/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/patronlens/{spark.sparkContext.applicationId}")

@@ -446,7 +446,12 @@ _scored_query("stored_interventions", _stored_interventions, store_lines=True)
 def published_layers(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of every table after publishing all layers, read back by name."""
     whole = BoundInputs(_tables(spark, folder))
-    warehouse = Warehouse(RawInputs(whole.invoices, whole.events, whole.tickets), WHOLE_GRID)
+    with storage.settings(spark, storage.SPARE_DISK):
+        # the joins' shuffles are gone before the lines are shuffled, and the raw lines once these are stored
+        lines = stash(whole.invoices, "raw-invoices")
+        warehouse = Warehouse(RawInputs(lines, whole.events, whole.tickets), WHOLE_GRID, store_lines=True)
+        warehouse.stg_invoices  # stores them
+        storage.discard(lines)
     names = publish_all(warehouse)
     counts = [
         storage.read_published(spark, LAYERS[t], t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
